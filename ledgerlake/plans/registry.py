@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from ledgerlake.plans import ledger
+from ledgerlake.plans import ledger, receivables
 from ledgerlake.plans.base import Query
 
-FAMILIES = [ledger.FAMILY]
+FAMILIES = [ledger.FAMILY, receivables.FAMILY]
 
 
 def queries() -> dict[str, Query]:
