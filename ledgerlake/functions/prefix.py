@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 HOT_CELL_ROWS = 2_000_000
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n] == b[n] for n in names])
-
-
 def _cell_offsets(cells: DataFrame, within: list[str], along: list[Column], sums: list[str]) -> DataFrame:
     w = Window.partitionBy(*within).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumns({f"_off_{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
@@ -34,16 +30,19 @@ def running_totals(
     measures: dict[str, Column],
     coarse: dict[str, Column],
     fine: dict[str, Column] | None = None,
-    descending: bool = False,
+    descending: tuple[str, ...] = (),
     hot_cell_rows: int = HOT_CELL_ROWS,
 ) -> DataFrame:
     """Add one running total per entry of ``measures``, per ``keys`` along ``order``.
 
     ``keys``, ``coarse`` and ``fine`` values must not be null. ``fine`` may use any order prefix, for
-    instance the document number and a block of line numbers. ``descending`` says that the cells run
-    from the largest to the smallest value.
+    instance the document number and a block of line numbers. ``descending`` names the
+    cells that run from the largest to the smallest value.
     """
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+
+    def along(prefix: str, names: dict[str, Column]) -> list[Column]:
+        return [F.col(prefix + n).desc() if n in descending else F.col(prefix + n).asc() for n in names]
+
     c_names = [f"_c_{n}" for n in coarse]
     sums = [f"_m_{n}" for n in measures]
     out_columns = [*rows.columns, *measures]
@@ -51,7 +50,7 @@ def running_totals(
         {f"_m_{n}": e for n, e in measures.items()})
     cell_key = [*keys, *c_names]
     totals = tagged.groupBy(*cell_key).agg(*[F.sum(s).alias(s) for s in sums], F.count(F.lit(1)).alias("_n"))
-    cells = _cell_offsets(totals, keys, [direction(c) for c in c_names], sums).drop(*sums)
+    cells = _cell_offsets(totals, keys, along("_c_", coarse), sums).drop(*sums)
 
     def finish(df: DataFrame, partition: list[str], bases: list[str]) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +72,7 @@ def running_totals(
     hot_rows = tagged.join(hot_cells, cell_key).withColumns({f"_f_{n}": e for n, e in fine.items()})
     fine_key = [*cell_key, *f_names]
     fine_totals = hot_rows.groupBy(*fine_key).agg(*[F.sum(s).alias(s) for s in sums])
-    fine_cells = _cell_offsets(fine_totals, cell_key, [direction(f) for f in f_names], sums)
+    fine_cells = _cell_offsets(fine_totals, cell_key, along("_f_", fine), sums)
     fine_cells = fine_cells.select(*fine_key, *[F.col(f"_off_{s}").alias(f"_fine_{s}") for s in sums])
     return cold.unionByName(finish(hot_rows.join(fine_cells, fine_key), fine_key, ["_off", "_fine"]))
 
@@ -83,8 +82,14 @@ def block(column: str, size: int = 65_536) -> Column:
     return F.floor(F.col(column) / F.lit(size)).cast("long")
 
 
+def magnitude(column: str) -> Column:
+    """A coarse cell of a numeric column: grows with it, a few hundred values over any range."""
+    v = F.col(column).cast("double")
+    return (F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 16)).cast("int")
+
+
 def row_numbers(rows: DataFrame, name: str, order: list[Column], coarse: dict[str, Column],
-                fine: dict[str, Column] | None = None, descending: bool = False, keys: list[str] | None = None,
+                fine: dict[str, Column] | None = None, descending: tuple[str, ...] = (), keys: list[str] | None = None,
                 hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Global row numbers without sorting the whole input in one task."""
     return running_totals(rows, keys or [], order, {name: F.lit(1).cast("long")}, coarse, fine, descending, hot_cell_rows)

@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from ledgerlake.plans import ledger, receivables
+from ledgerlake.plans import inventory, ledger, receivables
 from ledgerlake.plans.base import Query
 
-FAMILIES = [ledger.FAMILY, receivables.FAMILY]
+FAMILIES = [ledger.FAMILY, receivables.FAMILY, inventory.FAMILY]
 
 
 def queries() -> dict[str, Query]:
