@@ -48,6 +48,7 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "product": (_select(t.PRODUCT, "part"), []),
     "partner": (_select(t.CUSTOMER_PARTNER, "customer") + " UNION ALL " + _select(t.SUPPLIER_PARTNER, "supplier"), []),
     "warehouse": (_select(t.WAREHOUSE, "nation"), []),
+    "vehicle": (_select(t.VEHICLE, "supplier"), []),
     "asset": (_select(t.ASSET, "part"), []),
     "recurring": (_select(t.RECURRING, "customer"), []),
     "fiscal_year": (_select(t.FISCAL_YEAR, "customer"), []),

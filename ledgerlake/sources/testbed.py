@@ -115,7 +115,7 @@ STOCK_MOVE = {
     "dest_usage": "CASE slot WHEN 0 THEN 'internal' WHEN 2 THEN 'internal' WHEN 1 THEN 'customer' "
                   "ELSE CASE linenumber WHEN 5 THEN 'production' WHEN 6 THEN 'transit' ELSE 'inventory' END END",
     "qty": _money("CASE WHEN slot = 3 THEN ROUND(qty * CAST(0.5 AS DECIMAL(2,1)), 2) ELSE qty END"),
-    "date": "CASE slot WHEN 0 THEN orderdate WHEN 1 THEN shipdate WHEN 2 THEN shipdate + 7 ELSE orderdate + 30 END",
+    "date": "CASE slot WHEN 0 THEN orderdate + CAST(linenumber % 6 AS INT) WHEN 1 THEN shipdate WHEN 2 THEN shipdate + 7 ELSE orderdate + 30 END",
     "state": "CASE WHEN slot = 1 AND status <> 'F' THEN 'assigned' "
              "WHEN slot = 0 AND status = 'P' AND flag = 'N' AND linestatus = 'O' THEN 'assigned' ELSE 'done' END",
     "picking_id": "orderkey * 4 + slot",
@@ -170,6 +170,8 @@ REQUISITION_LINE = {
     "line_type": "CASE WHEN linestatus = 'F' THEN 'internal' ELSE 'purchase' END",
     "lot_id": "CASE WHEN linenumber < 7 THEN partkey * 10 + linenumber END",
     "vendor_id": "CASE WHEN flag = 'N' THEN suppkey * 2 + 1 END",
+    "vendor_1": "CASE WHEN linenumber > 1 THEN suppkey * 2 + 1 END",
+    "vendor_2": "CASE WHEN partkey % 2 = 0 THEN (suppkey * 7 + 3) % 10 * 2 + 1 END",
     "request_date": "orderdate",
     "department_id": "CAST(custkey % 7 AS BIGINT)",
     "employee_id": "custkey",
@@ -198,6 +200,12 @@ SUPPLIER_PARTNER = {
     "warning_stage": _money("0"),
     "blocking_stage": _money("0"),
 }
+VEHICLE = {
+    "id": "s_suppkey",
+    "vin_sn": "'VIN' || CAST(s_suppkey % 90 AS STRING)",
+    "car_id": "'CAR' || CAST(s_suppkey % 95 AS STRING)",
+    "title_en": "s_name",
+}
 WAREHOUSE = {
     "id": "CAST(n_nationkey AS BIGINT)",
     "company_id": "CAST(1 + n_regionkey AS BIGINT)",
@@ -349,6 +357,10 @@ class Testbed:
     def warehouse(self) -> DataFrame:
         return _project(self.raw("nation"), WAREHOUSE)
 
+    @cached_property
+    def vehicle(self) -> DataFrame:
+        return _project(self.raw("supplier"), VEHICLE)
+
     @cached_property
     def asset(self) -> DataFrame:
         return _project(self.raw("part"), ASSET)
