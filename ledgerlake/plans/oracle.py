@@ -13,7 +13,7 @@ def _lit(value) -> str:
     if isinstance(value, bool):
         return str(value).upper()
     if isinstance(value, list):
-        return "CAST([" + ", ".join(map(_lit, value)) + "] AS BIGINT[])"
+        return "[" + ", ".join(map(_lit, value)) + "]"
     if isinstance(value, (int, float)):
         return str(value)
     return "'" + value + "'"
@@ -55,6 +55,11 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "account": (_values(t.ACCOUNTS, t.ACCOUNT_SCHEMA), []),
     "journal": (_values(t.JOURNALS, t.JOURNAL_SCHEMA), []),
     "taxes": (_values(t.TAXES, t.TAX_SCHEMA), []),
+    "line_tag": ("SELECT id AS line_id, account_id * 10 + id % 3 AS tag_id FROM move_line WHERE account_id IN (4, 5, 6)", ["move_line"]),
+    "tag": (_values(t.TAGS, t.TAG_SCHEMA), []),
+    "report_tag": (_values(t.REPORT_TAGS, t.REPORT_TAG_SCHEMA), []),
+    "node": (_values(t.NODES, t.NODE_SCHEMA), []),
+    "section": (_values(t.SECTIONS, t.SECTION_SCHEMA), []),
     "level": (_values(t.LEVELS, t.LEVEL_SCHEMA), []),
     "rate": ("SELECT currency_id, CAST(date AS DATE) AS date, CAST(rate AS DECIMAL(18,6)) AS rate FROM ("
              + _values(t.RATES, "currency_id long, date string, rate string") + ")", []),
@@ -78,6 +83,11 @@ def sql(tables: str, body: str, **ctes: str) -> str:
     return ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + body
 
 
+def filtered(name: str, condition: str) -> str:
+    """A derived table restricted to some rows, to be given as an extra CTE."""
+    return f"{TABLES[name][0]} WHERE {condition}"
+
+
 def ratio(numerator: str, denominator: str, scale: int = 2, factor: int = 1) -> str:
     """Exact half-away-from-zero quotient of two DECIMAL(.., 2) values, as DOUBLE.
 

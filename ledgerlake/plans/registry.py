@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from ledgerlake.plans import inventory, ledger, procurement, receivables
+from ledgerlake.plans import inventory, ledger, procurement, receivables, statements
 from ledgerlake.plans.base import Query
 
-FAMILIES = [ledger.FAMILY, receivables.FAMILY, inventory.FAMILY, procurement.FAMILY]
+FAMILIES = [ledger.FAMILY, statements.FAMILY, receivables.FAMILY, inventory.FAMILY, procurement.FAMILY]
 
 
 def queries() -> dict[str, Query]:

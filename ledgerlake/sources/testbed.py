@@ -78,6 +78,8 @@ MOVE_LINE = {
     "analytic_id": "CASE WHEN slot IN (1, 5) THEN 1 + partkey % 10 END",
     "followup_line_id": "CASE WHEN slot = 0 AND orderkey % 4 > 0 THEN CAST(orderkey % 4 AS BIGINT) END",
     "followup_date": "CASE WHEN slot = 0 AND orderkey % 4 > 0 THEN orderdate + 20 END",
+    "move_type": "CASE WHEN slot IN (3, 4) THEN 'entry' ELSE CASE WHEN slot < 3 THEN 'out_' ELSE 'in_' END || CASE WHEN flag = 'R' THEN 'refund' ELSE 'invoice' END END",
+    "cash_basis_rec_id": "CASE WHEN lid % 11 = 0 THEN lid END",
     "product_id": "partkey",
     "asset_category_id": "CASE WHEN slot = 5 AND partkey % 5 = 0 THEN CAST(1 + partkey % 3 AS BIGINT) END",
 }
@@ -87,9 +89,11 @@ PARTIAL = {
     "amount": _money("net + tax"),
     "max_date": "shipdate",
 }
+_RATE = "CAST(rate * 100 AS BIGINT)"
 LINE_TAX = {
     "line_id": "lid * 8 + slot",
-    "tax_id": "CASE slot WHEN 1 THEN 1 + CAST(rate * 100 AS BIGINT) ELSE 101 + CAST(rate * 100 AS BIGINT) END",
+    "tax_id": f"CASE WHEN {_RATE} >= 7 AND lid % 2 = 0 THEN CASE slot WHEN 1 THEN 201 ELSE 202 END "
+              f"WHEN slot = 1 THEN 1 + {_RATE} ELSE 101 + {_RATE} END",
 }
 # Documents: slot 0 customer side, slot 1 supplier side; returned lines are refunds.
 INVOICE = {
@@ -263,14 +267,46 @@ ACCOUNT_SCHEMA = ("id long, code string, name string, account_type string, inter
 JOURNALS = [(1, "INV", "Customer invoices", "sale"), (2, "BILL", "Vendor bills", "purchase"), (3, "BNK", "Bank", "bank")]
 JOURNAL_SCHEMA = "id long, code string, name string, type string"
 TAXES = (
-    [(1 + r, f"Sale {r}%", "sale", "percent", "on_payment" if r % 4 == 3 else "on_invoice", r, 1, 201 if r in (7, 8) else None)
+    [(1 + r, f"Sale {r}%", "none" if r >= 7 else "sale", "percent", "on_payment" if r % 4 == 3 else "on_invoice", r, r, 201 if r >= 7 else None)
      for r in range(9)]
-    + [(101 + r, f"Purchase {r}%", "purchase", "percent", "on_payment" if r % 4 == 3 else "on_invoice", r, 1, 202 if r in (7, 8) else None)
+    + [(101 + r, f"Purchase {r}%", "none" if r >= 7 else "purchase", "percent", "on_payment" if r % 4 == 3 else "on_invoice", r, r, 202 if r >= 7 else None)
        for r in range(9)]
     + [(201, "Sale high", "sale", "group", "on_invoice", 90, 0, None), (202, "Purchase high", "purchase", "group", "on_invoice", 91, 0, None)]
 )
 TAX_SCHEMA = "id long, name string, type_tax_use string, amount_type string, exigibility string, sequence int, amount int, parent_id long"
 LEVELS = [(1, 15, "first reminder"), (2, 45, "second reminder"), (3, 90, "final notice")]
+TAGS = [(t, t % 2 == 1) for t in (40, 41, 42, 50, 51, 52, 60, 61, 62)]
+TAG_SCHEMA = "id long, tax_negate boolean"
+REPORT_TAGS = [(t // 10, t) for t in (40, 41, 42, 50, 51, 52, 60, 61)] + [(9, 40), (9, 50)]
+REPORT_TAG_SCHEMA = "report_line_id long, tag_id long"
+# Report tree: id, parent, name, sequence, type, sign, account types, accounts, referenced node, detail.
+NODES = [
+    (1, None, "Profit and Loss", 1, "sum", -1, [], [], None, "no_detail"),
+    (2, 1, "Income", 1, "account_type", -1, ["income"], [], None, "detail_flat"),
+    (3, 1, "Expense", 2, "account_type", 1, ["expense", "expense_direct_cost"], [], None, "detail_flat"),
+    (10, None, "Balance Sheet", 2, "sum", 1, [], [], None, "no_detail"),
+    (11, 10, "Assets", 1, "sum", 1, [], [], None, "no_detail"),
+    (12, 11, "Liquidity", 1, "accounts", 1, [], [1], None, "detail_with_hierarchy"),
+    (13, 11, "Receivables", 2, "account_type", 1, ["asset_receivable"], [], None, "no_detail"),
+    (17, 11, "Liquidity counted again", 3, "accounts", 1, [], [1, 2], None, "no_detail"),
+    (14, 10, "Liabilities", 2, "sum", -1, [], [], None, "no_detail"),
+    (15, 14, "Debts", 1, "account_type", -1, ["liability_payable", "liability_current"], [], None, "detail_with_hierarchy"),
+    (16, 14, "Profit taken over", 2, "account_report", -1, [], [], 1, "no_detail"),
+    (20, None, "Operating result", 3, "subtract", 1, [], [], None, "no_detail"),
+    (21, 20, "Turnover", 1, "account_type", 1, ["income"], [], None, "no_detail"),
+    (22, 20, "Direct cost", 2, "account_type", 1, ["expense_direct_cost"], [], None, "no_detail"),
+    (23, 20, "Other cost", 3, "account_report", 1, [], [], 3, "no_detail"),
+    (30, None, "Net Profit", 4, "subtract", -1, [], [], None, "no_detail"),
+    (31, 30, "Earned", 1, "account_report", 1, [], [], 2, "no_detail"),
+    (32, 30, "Spent", 2, "account_report", 1, [], [], 3, "no_detail"),
+    (40, None, "Everything", 5, "total", 1, [], [], None, "no_detail"),
+    (41, 40, "Sheet", 1, "account_report", 1, [], [], 10, "no_detail"),
+    (42, 40, "Operating", 2, "account_report", 1, [], [], 20, "no_detail"),
+]
+NODE_SCHEMA = ("id long, parent_id long, name string, sequence int, type string, sign int, account_types array<string>, "
+               "account_ids array<long>, ref_id long, display_detail string")
+SECTIONS = [("operation", 2), ("operation", 3), ("financing", 4), ("investing", 5), ("investing", 6)]
+SECTION_SCHEMA = "section string, account_id long"
 LEVEL_SCHEMA = "id long, delay int, description string"
 RATES = [(1, "1995-01-01", "1.000000"), (2, "1995-01-01", "2.000000"), (2, "1998-01-01", "1.900000"),
          (3, "1995-01-01", "3.000000"), (3, "1999-06-15", "3.300000")]
@@ -385,6 +421,26 @@ class Testbed:
     def tax(self) -> DataFrame:
         return self.spark.createDataFrame(TAXES, TAX_SCHEMA)
 
+    @cached_property
+    def line_tag(self) -> DataFrame:
+        return self.move_line.filter("account_id IN (4, 5, 6)").selectExpr("id AS line_id", "account_id * 10 + id % 3 AS tag_id")
+
+    @cached_property
+    def tag(self) -> DataFrame:
+        return self.spark.createDataFrame(TAGS, TAG_SCHEMA)
+
+    @cached_property
+    def report_tag(self) -> DataFrame:
+        return self.spark.createDataFrame(REPORT_TAGS, REPORT_TAG_SCHEMA)
+
+    @cached_property
+    def node(self) -> DataFrame:
+        return self.spark.createDataFrame(NODES, NODE_SCHEMA)
+
+    @cached_property
+    def section(self) -> DataFrame:
+        return self.spark.createDataFrame(SECTIONS, SECTION_SCHEMA)
+
     @cached_property
     def level(self) -> DataFrame:
         return self.spark.createDataFrame(LEVELS, LEVEL_SCHEMA)
