@@ -18,9 +18,17 @@ from pyspark.sql import functions as F
 HOT_CELL_ROWS = 2_000_000
 
 
-def _cell_offsets(cells: DataFrame, within: list[str], along: list[Column], sums: list[str]) -> DataFrame:
+# How values combine along the order: the aggregate, and joining an offset to it.
+_HOW = {
+    "sum": (F.sum, lambda parts: reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), parts[1:], F.coalesce(parts[0], F.lit(0)))),
+    "max": (F.max, lambda parts: F.greatest(*parts)),
+    "min": (F.min, lambda parts: F.least(*parts)),
+}
+
+
+def _cell_offsets(cells: DataFrame, within: list[str], along: list[Column], names: list[str], fold) -> DataFrame:
     w = Window.partitionBy(*within).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumns({f"_off_{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
+    return cells.withColumns({f"_off_{s}": fold(s).over(w) for s in names})
 
 
 def running_totals(
@@ -32,13 +40,18 @@ def running_totals(
     fine: dict[str, Column] | None = None,
     descending: tuple[str, ...] = (),
     hot_cell_rows: int = HOT_CELL_ROWS,
+    how: str = "sum",
+    inclusive: bool = True,
 ) -> DataFrame:
     """Add one running total per entry of ``measures``, per ``keys`` along ``order``.
 
+    ``how`` may also be ``max`` or ``min``; without ``inclusive`` a row's own value is left out.
+
     ``keys``, ``coarse`` and ``fine`` values must not be null. ``fine`` may use any order prefix, for
     instance the document number and a block of line numbers. ``descending`` names the
     cells that run from the largest to the smallest value.
     """
+    fold, combine = _HOW[how]
 
     def along(prefix: str, names: dict[str, Column]) -> list[Column]:
         return [F.col(prefix + n).desc() if n in descending else F.col(prefix + n).asc() for n in names]
@@ -49,14 +62,13 @@ def running_totals(
     tagged = rows.withColumns({f"_c_{n}": e for n, e in coarse.items()}).withColumns(
         {f"_m_{n}": e for n, e in measures.items()})
     cell_key = [*keys, *c_names]
-    totals = tagged.groupBy(*cell_key).agg(*[F.sum(s).alias(s) for s in sums], F.count(F.lit(1)).alias("_n"))
-    cells = _cell_offsets(totals, keys, along("_c_", coarse), sums).drop(*sums)
+    totals = tagged.groupBy(*cell_key).agg(*[fold(s).alias(s) for s in sums], F.count(F.lit(1)).alias("_n"))
+    cells = _cell_offsets(totals, keys, along("_c_", coarse), sums, fold).drop(*sums)
 
     def finish(df: DataFrame, partition: list[str], bases: list[str]) -> DataFrame:
-        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         done = df.withColumns({
-            n: reduce(lambda a, b: a + b, [F.col(f"{base}_{s}") for base in bases], F.sum(s).over(w))
-            for n, s in zip(measures, sums)})
+            n: combine([*[F.col(f"{base}_{s}") for base in bases], fold(s).over(w)]) for n, s in zip(measures, sums)})
         return done.select(*out_columns)
 
     if not fine:
@@ -71,8 +83,8 @@ def running_totals(
     hot_cells = F.broadcast(cells.filter(F.col("_n") > hot_cell_rows).drop("_n"))
     hot_rows = tagged.join(hot_cells, cell_key).withColumns({f"_f_{n}": e for n, e in fine.items()})
     fine_key = [*cell_key, *f_names]
-    fine_totals = hot_rows.groupBy(*fine_key).agg(*[F.sum(s).alias(s) for s in sums])
-    fine_cells = _cell_offsets(fine_totals, cell_key, along("_f_", fine), sums)
+    fine_totals = hot_rows.groupBy(*fine_key).agg(*[fold(s).alias(s) for s in sums])
+    fine_cells = _cell_offsets(fine_totals, cell_key, along("_f_", fine), sums, fold)
     fine_cells = fine_cells.select(*fine_key, *[F.col(f"_off_{s}").alias(f"_fine_{s}") for s in sums])
     return cold.unionByName(finish(hot_rows.join(fine_cells, fine_key), fine_key, ["_off", "_fine"]))
 
@@ -93,3 +105,25 @@ def row_numbers(rows: DataFrame, name: str, order: list[Column], coarse: dict[st
                 hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Global row numbers without sorting the whole input in one task."""
     return running_totals(rows, keys or [], order, {name: F.lit(1).cast("long")}, coarse, fine, descending, hot_cell_rows)
+
+
+def range_sums(facts: DataFrame, ranges: DataFrame, keys: list[str], range_id: str) -> DataFrame:
+    """Sum of ``facts.amount`` over the dates ``start`` to ``end`` of each range, per key.
+
+    ``facts`` has the keys, ``date`` and ``amount``; ``ranges`` has ``range_id``, the keys, ``start`` and
+    ``end``. Each range becomes two marks on the time line of its key, at its end and at the day before
+    its start; the answer is the difference of the running totals there. No pair of fact and range is
+    ever formed, so wide ranges cost the same as narrow ones.
+    """
+    daily = facts.groupBy(*keys, "date").agg(F.sum("amount").alias("amount")).select(
+        *keys, "date", F.lit(0).alias("_mark"), F.lit(0).cast("long").alias("_range"), F.col("amount").cast("decimal(28,2)").alias("amount"))
+    zero = F.lit(0).cast("decimal(28,2)")
+    ends = ranges.filter(F.col("start") <= F.col("end")).select(*keys, F.col(range_id).alias("_range"), F.explode(F.array(
+        F.struct(F.col("end").alias("date"), F.lit(1).alias("_mark")),
+        F.struct(F.date_sub("start", 1).alias("date"), F.lit(-1).alias("_mark")))).alias("m"))
+    marks = ends.select(*keys, "m.date", "m._mark", "_range", zero.alias("amount"))
+    order = [F.col("date"), F.abs("_mark"), F.col("_range"), F.col("_mark")]
+    run = running_totals(daily.unionByName(marks), keys, order, {"_total": F.col("amount")}, {"day": F.col("date")},
+                         {"kind": F.abs("_mark"), "ranges": block("_range")})
+    return run.filter("_mark <> 0").groupBy(F.col("_range").alias(range_id)).agg(
+        F.sum(F.col("_total") * F.col("_mark")).cast("decimal(28,2)").alias("amount"))

@@ -89,23 +89,25 @@ def financial_report(lines: DataFrame, accounts: DataFrame, nodes: DataFrame, wh
     per_leaf = leaves.join(amounts, "account_id").groupBy("leaf_id").agg(*[F.sum(n).alias(n) for n in names])
     values = node_closure(nodes).join(per_leaf, "leaf_id").groupBy("node_id").agg(
         *[F.sum(F.col(n) * F.col("coef")).cast(MONEY).alias(n) for n in names])
-    info = nodes.select(F.col("id").alias("node_id"), "name", "type", "sign", "display_detail").join(node_paths(nodes), "node_id")
+    info = nodes.select(F.col("id").alias("node_id"), "name", "sign", "display_detail").join(node_paths(nodes), "node_id")
 
     def signed(n: str) -> Column:
         value = F.col(n) * F.col("sign") if n.startswith("balance") else F.col(n)
         return money(F.abs(value) if display_abs and n.startswith("balance") else value).alias(n)
 
-    heads = info.join(values, "node_id", "left").select(
-        "node_id", F.lit(None).cast("long").alias("account_id"), "name", F.lit("report").alias("row_type"), "level", "sort_path", *[signed(n) for n in names])
-    detailed = info.filter((F.col("display_detail") != "no_detail") & F.col("type").isin("accounts", "account_type"))
+    heads = nodes.select(F.col("id").alias("node_id")).join(values, "node_id", "left").select(
+        "node_id", F.lit(None).cast("long").alias("account_id"), F.lit(None).cast("string").alias("_account"), *names)
     chart = accounts.select(F.col("id").alias("account_id"), F.concat_ws(" ", "code", F.col("name")).alias("_account"))
-    rows = detailed.join(leaves.withColumnRenamed("leaf_id", "node_id"), "node_id").join(amounts, "account_id").join(chart, "account_id")
-    visible = F.greatest(*[F.abs(F.round(n, 2)) for n in names]) != 0
-    accounts_shown = rows.filter(visible).select(
-        "node_id", "account_id", F.col("_account").alias("name"), F.lit("account").alias("row_type"),
-        F.when(F.col("display_detail") == "detail_with_hierarchy", 4).otherwise(0).alias("level"),
-        F.concat_ws("/", "sort_path", F.lit("~"), "_account").alias("sort_path"), *[signed(n) for n in names])
-    return heads.unionByName(accounts_shown)
+    details = leaves.withColumnRenamed("leaf_id", "node_id").join(amounts, "account_id").join(chart, "account_id").select(*heads.columns)
+    rows = heads.unionByName(details).join(info, "node_id")
+    is_head = F.col("account_id").isNull()
+    visible = (F.col("display_detail") != "no_detail") & (F.greatest(*[F.abs(F.round(n, 2)) for n in names]) != 0)
+    return rows.filter(is_head | visible).select(
+        "node_id", "account_id", F.when(is_head, F.col("name")).otherwise(F.col("_account")).alias("name"),
+        F.when(is_head, "report").otherwise("account").alias("row_type"),
+        F.when(is_head, F.col("level")).when(F.col("display_detail") == "detail_with_hierarchy", 4).otherwise(0).alias("level"),
+        F.when(is_head, F.col("sort_path")).otherwise(F.concat_ws("/", "sort_path", F.lit("~"), "_account")).alias("sort_path"),
+        *[signed(n) for n in names])
 
 
 def report_items(lines: DataFrame, accounts: DataFrame, nodes: DataFrame, node_id: int, where: LedgerFilter) -> DataFrame:

@@ -50,6 +50,9 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "warehouse": (_select(t.WAREHOUSE, "nation"), []),
     "vehicle": (_select(t.VEHICLE, "supplier"), []),
     "asset": (_select(t.ASSET, "part"), []),
+    "analytic_line": ("SELECT id, analytic_id, account_id AS general_account_id, date, -balance AS amount FROM move_line WHERE analytic_id IS NOT NULL", ["move_line"]),
+    "budget_line": ("SELECT *, CASE position " + " ".join(f"WHEN {k} THEN {v}" for k, v in t.POSITIONS.items() if v) + " ELSE [] END AS account_ids FROM ("
+                    + _select(t.BUDGET_LINE, "customer") + ")", []),
     "recurring": (_select(t.RECURRING, "customer"), []),
     "fiscal_year": (_select(t.FISCAL_YEAR, "customer"), []),
     "account": (_values(t.ACCOUNTS, t.ACCOUNT_SCHEMA), []),
@@ -88,11 +91,11 @@ def filtered(name: str, condition: str) -> str:
     return f"{TABLES[name][0]} WHERE {condition}"
 
 
-def ratio(numerator: str, denominator: str, scale: int = 2, factor: int = 1) -> str:
-    """Exact half-away-from-zero quotient of two DECIMAL(.., 2) values, as DOUBLE.
+def ratio(numerator: str, denominator: str, scale: int = 2, factor: int = 1, unit: int = 100) -> str:
+    """Exact half-away-from-zero quotient of two decimals, as DOUBLE.
 
-    Integer arithmetic on cents; the caller guards a zero denominator.
+    Integer arithmetic on ``1/unit`` steps; the caller guards a zero denominator.
     """
-    n = f"(CAST(({numerator}) * 100 AS HUGEINT) * {factor * 10 ** scale})"
-    d = f"CAST(({denominator}) * 100 AS HUGEINT)"
+    n = f"(CAST(({numerator}) * {unit} AS HUGEINT) * {factor * 10 ** scale})"
+    d = f"CAST(({denominator}) * {unit} AS HUGEINT)"
     return f"(CAST(SIGN({n}) * SIGN({d}) * ((2 * ABS({n}) + ABS({d})) // (2 * ABS({d}))) AS DOUBLE) / {10 ** scale}.0)"

@@ -81,7 +81,7 @@ MOVE_LINE = {
     "move_type": "CASE WHEN slot IN (3, 4) THEN 'entry' ELSE CASE WHEN slot < 3 THEN 'out_' ELSE 'in_' END || CASE WHEN flag = 'R' THEN 'refund' ELSE 'invoice' END END",
     "cash_basis_rec_id": "CASE WHEN lid % 11 = 0 THEN lid END",
     "product_id": "partkey",
-    "asset_category_id": "CASE WHEN slot = 5 AND partkey % 5 = 0 THEN CAST(1 + partkey % 3 AS BIGINT) END",
+    "asset_category_id": "CASE WHEN slot IN (1, 5) AND partkey % 5 = 0 THEN CAST(1 + partkey % 3 AS BIGINT) END",
 }
 PARTIAL = {
     "debit_line_id": "lid * 8",
@@ -102,6 +102,7 @@ INVOICE = {
     "partner_id": "CASE slot WHEN 0 THEN custkey * 2 ELSE suppkey * 2 + 1 END",
     "move_type": "CASE slot WHEN 0 THEN 'out_' ELSE 'in_' END || CASE WHEN flag = 'R' THEN 'refund' ELSE 'invoice' END",
     "state": "CASE WHEN status = 'O' THEN 'draft' WHEN status = 'P' AND orderkey % 50 = 0 THEN 'cancel' ELSE 'posted' END",
+    "company_id": "CAST(1 + orderkey % 3 AS BIGINT)",
     "invoice_date": "orderdate",
     "invoice_date_due": "shipdate",
     "amount_total": _money("CASE slot WHEN 0 THEN net + tax ELSE cost + cost_tax END"),
@@ -233,6 +234,18 @@ ASSET = {
     "company_id": "CAST(1 + p_partkey % 3 AS BIGINT)",
     "state": "CASE WHEN p_partkey % 9 = 0 THEN 'draft' ELSE 'open' END",
 }
+BUDGET_LINE = {
+    "id": "c_custkey",
+    "budget_id": "CAST(c_custkey % 50 AS BIGINT)",
+    "position": "CAST(c_custkey % 4 AS INT)",
+    "analytic_id": "CASE WHEN c_custkey % 3 > 0 THEN CAST(1 + c_custkey % 10 AS BIGINT) END",
+    "date_from": "CAST('1995-01-01' AS DATE) + CAST(c_custkey * 13 % 2000 AS INT)",
+    "date_to": "CAST('1995-01-01' AS DATE) + CAST(c_custkey * 13 % 2000 + c_custkey % 400 AS INT)",
+    "paid_date": "CASE WHEN c_custkey % 11 = 0 THEN CAST('1997-06-30' AS DATE) + CAST(c_custkey % 700 AS INT) END",
+    "planned": _money("c_acctbal * CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE -100 END"),
+}
+# Budgetary positions: number -> accounts.
+POSITIONS = {0: [], 1: [5], 2: [6], 3: [5, 6]}
 RECURRING = {
     "id": "c_custkey",
     "date_begin": "CAST('1995-01-01' AS DATE) + CAST(c_custkey % 365 AS INT)",
@@ -401,6 +414,17 @@ class Testbed:
     def asset(self) -> DataFrame:
         return _project(self.raw("part"), ASSET)
 
+    @cached_property
+    def analytic_line(self) -> DataFrame:
+        return self.move_line.filter("analytic_id IS NOT NULL").selectExpr(
+            "id", "analytic_id", "account_id AS general_account_id", "date", "CAST(-balance AS DECIMAL(18,2)) AS amount")
+
+    @cached_property
+    def budget_line(self) -> DataFrame:
+        accounts = F.create_map(*[x for k, v in POSITIONS.items()
+                                  for x in (F.lit(k), F.array(*[F.lit(a).cast("long") for a in v]).cast("array<long>"))])
+        return _project(self.raw("customer"), BUDGET_LINE).withColumn("account_ids", accounts[F.col("position")])
+
     @cached_property
     def recurring(self) -> DataFrame:
         return _project(self.raw("customer"), RECURRING)
