@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from ledgerlake.plans import inventory, ledger, planning, procurement, receivables, statements
+from ledgerlake.plans import ingest, inventory, ledger, planning, procurement, receivables, statements
 from ledgerlake.plans.base import Query
 
-FAMILIES = [ledger.FAMILY, statements.FAMILY, receivables.FAMILY, planning.FAMILY, inventory.FAMILY, procurement.FAMILY]
+FAMILIES = [ledger.FAMILY, statements.FAMILY, receivables.FAMILY, planning.FAMILY, inventory.FAMILY, procurement.FAMILY, ingest.FAMILY]
 
 
 def queries() -> dict[str, Query]:
