@@ -2,9 +2,10 @@
 
 A plain window keyed by account would sort a whole account in one task, and one bank account may
 hold a third of the ledger. Here the order is cut into cells (for example account and day). Cell
-totals are small, so their prefix sum is an ordinary window; each row then adds the running sum
-inside its own cell. Cells that are still too large are cut again by a finer prefix of the order,
-so the work of a task is bounded by the cell size, and the result stays exact.
+totals are few, so their prefix sum is an ordinary window, kept as a table; each row then adds the
+running sum inside its own cell. If that table shows cells that are still too large, their rows are
+cut again by a finer prefix of the order, so the work of a task is bounded by the cell size, and the
+result stays exact.
 
 The cutting expressions must be monotone in the order: a row in an earlier cell must come first.
 They are plain functions of the row, so a recomputed task always cuts alike.
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.workspace import materialize
+
 HOT_CELL_ROWS = 2_000_000
 
 
@@ -63,7 +66,7 @@ def running_totals(
         {f"_m_{n}": e for n, e in measures.items()})
     cell_key = [*keys, *c_names]
     totals = tagged.groupBy(*cell_key).agg(*[fold(s).alias(s) for s in sums], F.count(F.lit(1)).alias("_n"))
-    cells = _cell_offsets(totals, keys, along("_c_", coarse), sums, fold).drop(*sums)
+    cells = materialize(_cell_offsets(totals, keys, along("_c_", coarse), sums, fold).drop(*sums), "cells")
 
     def finish(df: DataFrame, partition: list[str], bases: list[str]) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -71,16 +74,16 @@ def running_totals(
             n: combine([*[F.col(f"{base}_{s}") for base in bases], fold(s).over(w)]) for n, s in zip(measures, sums)})
         return done.select(*out_columns)
 
-    if not fine:
+    hot_cells = cells.filter(F.col("_n") > hot_cell_rows).drop("_n")
+    if not fine or hot_cells.isEmpty():
         return finish(tagged.join(cells.drop("_n"), cell_key), cell_key, ["_off"])
 
     # At most (all rows / hot_cell_rows) cells are hot, so their list is small by construction.
-    hot = F.broadcast(cells.filter(F.col("_n") > hot_cell_rows).select(*cell_key))
-    cold_rows = tagged.join(hot, cell_key, "left_anti")
+    hot_cells = F.broadcast(hot_cells)
+    cold_rows = tagged.join(hot_cells, cell_key, "left_anti")
     cold = finish(cold_rows.join(cells.drop("_n"), cell_key), cell_key, ["_off"])
 
     f_names = [f"_f_{n}" for n in fine]
-    hot_cells = F.broadcast(cells.filter(F.col("_n") > hot_cell_rows).drop("_n"))
     hot_rows = tagged.join(hot_cells, cell_key).withColumns({f"_f_{n}": e for n, e in fine.items()})
     fine_key = [*cell_key, *f_names]
     fine_totals = hot_rows.groupBy(*fine_key).agg(*[fold(s).alias(s) for s in sums])
@@ -115,8 +118,8 @@ def range_sums(facts: DataFrame, ranges: DataFrame, keys: list[str], range_id: s
     its start; the answer is the difference of the running totals there. No pair of fact and range is
     ever formed, so wide ranges cost the same as narrow ones.
     """
-    daily = facts.groupBy(*keys, "date").agg(F.sum("amount").alias("amount")).select(
-        *keys, "date", F.lit(0).alias("_mark"), F.lit(0).cast("long").alias("_range"), F.col("amount").cast("decimal(28,2)").alias("amount"))
+    daily = materialize(facts.groupBy(*keys, "date").agg(F.sum("amount").cast("decimal(28,2)").alias("amount")), "daily").select(
+        *keys, "date", F.lit(0).alias("_mark"), F.lit(0).cast("long").alias("_range"), "amount")
     zero = F.lit(0).cast("decimal(28,2)")
     ends = ranges.filter(F.col("start") <= F.col("end")).select(*keys, F.col(range_id).alias("_range"), F.explode(F.array(
         F.struct(F.col("end").alias("date"), F.lit(1).alias("_mark")),

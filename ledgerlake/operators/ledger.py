@@ -6,7 +6,7 @@ full_reconcile_id, tax_line_id, parent_state, display_type.
 """
 
 from dataclasses import replace
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.filters import INITIAL, STRICT, LedgerFilter, display_account, states
 from ledgerlake.functions.labels import ledger_display_name
 from ledgerlake.functions.prefix import block, row_numbers, running_totals
+from ledgerlake.functions.workspace import materialize
 
 MONEY = "decimal(18,2)"
 PAGE_SIZE = 20
@@ -71,7 +72,7 @@ def trial_balance_periods(lines: DataFrame, accounts: DataFrame, start: date, en
     One pass over the ledger. With ``carry_profit_to`` (the account type that collects the current
     year's earnings) the opening amounts of income and expense accounts move to that account (A3).
     """
-    base = _opening_and_period(where.apply(lines, accounts), ["account_id"], start, end)
+    base = materialize(_opening_and_period(where.apply(lines, accounts), ["account_id"], start, end), "accounts")
     cols = ["initial_debit", "initial_credit", "debit", "credit"]
     chart = accounts.select(F.col("id").alias("account_id"), "code", F.col("name"), "account_type", "internal_group")
     if carry_profit_to:
@@ -106,8 +107,13 @@ def _named(lines: DataFrame, journals: DataFrame, partners: DataFrame | None) ->
     return out.join(partners.select(F.col("id").alias("partner_id"), F.col("name").alias("partner_name")), "partner_id", "left")
 
 
-def _opening_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
-    return lines.groupBy(*keys).agg(*sums("debit", "credit"), F.sum(F.col("debit") - F.col("credit")).cast(MONEY).alias("running_balance"))
+def _opening_rows(before: DataFrame, start: date) -> DataFrame:
+    """One row per account with its earlier amounts, dated so that it sorts ahead of the period."""
+    text = F.lit(None).cast("string")
+    return before.groupBy("account_id").agg(*sums("debit", "credit")).select(
+        F.lit(0).cast("long").alias("line_id"), F.lit(0).cast("long").alias("move_id"), "account_id", F.lit(start - timedelta(days=1)).alias("date"),
+        F.lit("").alias("journal_code"), text.alias("partner_name"), text.alias("move_name"), text.alias("ref"), F.lit("Initial Balance").alias("name"),
+        F.lit(None).cast("long").alias("currency_id"), F.lit(0).cast(MONEY).alias("amount_currency"), "debit", "credit", F.lit(True).alias("opening"))
 
 
 def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, where: LedgerFilter,
@@ -118,29 +124,28 @@ def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, w
     ``sort_by`` is ``date`` (date, move) or ``journal_partner`` (journal code, partner name, move).
     Accounts to show: ``movement`` needs at least one row, ``not_zero`` a closing balance.
     """
-    detail = _named(where.apply(lines, accounts), journals, partners)
+    detail = _named(where.apply(lines, accounts), journals, partners).select(F.col("id").alias("line_id"), "move_id", *_GL[1:])
+    detail = detail.withColumn("opening", F.lit(False))
+    if initial_balance and where.date_from:
+        # The opening row takes part in the running balance as the first row of its account.
+        before = replace(where, mode=INITIAL, date_to=None).apply(lines, accounts)
+        detail = detail.unionByName(_opening_rows(before, where.date_from).select(*detail.columns))
     delta = (F.col("debit") - F.col("credit")).cast(MONEY)
+    fine = {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("line_id")}
     if sort_by == "date":
-        order = [F.col("date"), F.col("move_id"), F.col("id")]
-        coarse = {"day": F.col("date")}
-        fine = {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("id")}
+        order, coarse = [F.col("date"), F.col("move_id"), F.col("line_id")], {"day": F.col("date")}
     else:
         detail = detail.withColumn("_partner", F.coalesce("partner_name", F.lit("")))
-        order = [F.col("journal_code"), F.col("partner_name").asc_nulls_last(), F.col("move_id"), F.col("id")]
+        nameless = F.col("partner_name").isNull()
+        order = [F.col("journal_code"), nameless, F.col("_partner"), F.col("move_id"), F.col("line_id")]
         # A missing partner sorts last, as in the order itself.
-        coarse = {"journal": F.col("journal_code"), "nameless": F.col("partner_name").isNull(), "partner": F.col("_partner")}
-        fine = {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("id")}
+        coarse = {"journal": F.col("journal_code"), "nameless": nameless, "partner": F.col("_partner")}
     run = running_totals(detail, ["account_id"], order, {"running_balance": delta}, coarse, fine)
-    body = run.select(F.col("id").alias("line_id"), *_GL[1:], F.col("running_balance").cast(MONEY).alias("running_balance"))
-    if initial_balance and where.date_from:
-        opening = _opening_rows(replace(where, mode=INITIAL, date_to=None).apply(lines, accounts), ["account_id"])
-        body = (body.join(opening.select("account_id", F.col("running_balance").alias("_open")), "account_id", "left")
-                .withColumn("running_balance", (F.col("running_balance") + F.coalesce("_open", F.lit(0))).cast(MONEY)).drop("_open"))
-        head = opening.select(F.lit(0).cast("long").alias("line_id"), "account_id", F.lit(None).cast("date").alias("date"),
-                              *[F.lit(None).cast("string").alias(c) for c in ("journal_code", "partner_name", "move_name", "ref")],
-                              F.lit("Initial Balance").alias("name"), F.lit(None).cast("long").alias("currency_id"),
-                              F.lit(0).cast(MONEY).alias("amount_currency"), "debit", "credit", "running_balance")
-        body = head.unionByName(body)
+    missing = F.lit(None).cast("string")
+    body = run.select(
+        "line_id", "account_id", F.when(~F.col("opening"), F.col("date")).alias("date"),
+        F.when(F.col("opening"), missing).otherwise(F.col("journal_code")).alias("journal_code"),
+        *_GL[4:], F.col("running_balance").cast(MONEY).alias("running_balance"))
     if show == "not_zero":
         closing = body.groupBy("account_id").agg(F.sum(F.col("debit") - F.col("credit")).alias("_b")).filter(F.round("_b", 2) != 0)
         body = body.join(closing.select("account_id"), "account_id", "left_semi").select(*body.columns)
@@ -168,19 +173,19 @@ def ledger_page(lines: DataFrame, accounts: DataFrame, journals: DataFrame, acco
     """
     only = replace(where, account_ids=(account_id,), date_from=start, date_to=end, mode=STRICT)
     chosen = only.apply(lines, accounts)
-    opening = replace(only, mode=INITIAL, date_to=None).apply(lines, accounts).agg(
-        money(F.sum(F.col("debit") - F.col("credit")))).scalar()
+    before = F.col("date") < F.lit(start)
+    totals = replace(only, date_from=None).apply(lines, accounts).agg(F.struct(
+        money(F.sum(F.when(before, F.col("debit") - F.col("credit")))).alias("opening"), F.count_if(~before).alias("lines"))).scalar()
     order = [F.col("date"), F.col("move_id"), F.col("id")]
     run = running_totals(chosen, ["account_id"], order,
                          {"row_no": F.lit(1).cast("long"), "running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)},
                          {"day": F.col("date")}, {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("id")})
-    count = chosen.agg(F.count(F.lit(1))).scalar()
     first = page * page_size
     rows = run.filter(F.col("row_no").between(first + 1, first + page_size))
     j = journals.select(F.col("id").alias("journal_id"), F.col("code").alias("journal_code"))
     return rows.join(j, "journal_id").select(
         "row_no", F.col("id").alias("line_id"), "date", "journal_code", "move_name", "name", "debit", "credit",
-        (F.col("running_balance") + opening).cast(MONEY).alias("running_balance"), count.alias("line_count"))
+        (F.col("running_balance") + totals["opening"]).cast(MONEY).alias("running_balance"), totals["lines"].alias("line_count"))
 
 
 # Ledger sides of a partner report.
@@ -298,7 +303,7 @@ def consolidated_journals(lines: DataFrame, where: LedgerFilter, accounts: DataF
     ``level`` is ``account``, ``journal`` or ``total``.
     """
     base = where.apply(lines, accounts).withColumn("month", F.trunc("date", "month"))
-    cells = base.groupBy("month", "journal_id", "account_id", "company_id").agg(*sums("debit", "credit"))
+    cells = materialize(base.groupBy("month", "journal_id", "account_id", "company_id").agg(*sums("debit", "credit")), "months")
     nothing = [F.lit(None).cast("long").alias(c) for c in ("journal_id", "account_id", "company_id")]
     month = [F.date_format("month", "MM").alias("month"), F.date_format("month", "yyyy").alias("year")]
     no_month = [F.lit(None).cast("string").alias(c) for c in ("month", "year")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.filters import LedgerFilter
 from ledgerlake.functions.labels import strip_symbols
 from ledgerlake.functions.periods import Period
+from ledgerlake.functions.workspace import materialize
 from ledgerlake.operators.ledger import MONEY, money
 
 # Account types behind the statement figures.
@@ -84,7 +85,7 @@ def financial_report(lines: DataFrame, accounts: DataFrame, nodes: DataFrame, wh
     Leaf nodes with detail are followed by their accounts that have amounts. Present by ``sort_path``.
     """
     names = _measures(len(periods))
-    amounts = account_periods(where.apply(lines, accounts), periods)
+    amounts = materialize(account_periods(where.apply(lines, accounts), periods), "accounts")
     leaves = leaf_accounts(nodes, accounts)
     per_leaf = leaves.join(amounts, "account_id").groupBy("leaf_id").agg(*[F.sum(n).alias(n) for n in names])
     values = node_closure(nodes).join(per_leaf, "leaf_id").groupBy("node_id").agg(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import LedgerFilter, states
 from ledgerlake.functions.periods import Period, in_periods
+from ledgerlake.functions.workspace import materialize
 from ledgerlake.operators.ledger import MONEY, money
 
 
@@ -49,7 +50,7 @@ def tax_report(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, accoun
 def _tax_cells(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, periods: list[Period]) -> DataFrame:
     """(tax, period) with net and tax amounts; a group's base also counts for its children due on invoice."""
     tagged = in_periods(lines, periods)
-    base = _base_lines(tagged, line_taxes).groupBy("tax_id", "period").agg(F.sum("balance").alias("net"))
+    base = materialize(_base_lines(tagged, line_taxes).groupBy("tax_id", "period").agg(F.sum("balance").alias("net")), "tax-bases")
     groups = taxes.filter(F.col("amount_type") == "group").select(F.col("id").alias("tax_id"))
     children = taxes.filter(F.col("parent_id").isNotNull() & (F.col("exigibility") == "on_invoice") & (F.col("amount_type") != "group"))
     through = base.join(groups, "tax_id", "left_semi").join(
@@ -67,7 +68,7 @@ def taxes_by_period(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, a
 
     A group shows its own base and the tax of its children; children themselves stay hidden.
     """
-    cells = _tax_cells(where.apply(lines, accounts), line_taxes, taxes, periods)
+    cells = materialize(_tax_cells(where.apply(lines, accounts), line_taxes, taxes, periods), "taxes")
     hidden = taxes.filter((F.col("type_tax_use") == "none") & F.col("parent_id").isNotNull())
     up = cells.join(hidden.select(F.col("id").alias("tax_id"), "parent_id"), "tax_id").select(
         F.col("parent_id").alias("tax_id"), "period", F.lit(0).cast(MONEY).alias("net"), "tax")

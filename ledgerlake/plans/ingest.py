@@ -11,7 +11,7 @@ from ledgerlake.plans.base import Family
 from ledgerlake.plans.ledger import POSTED, _TB, d
 from ledgerlake.plans.oracle import sql
 from ledgerlake.sources import bank, sinks, vehicles
-from ledgerlake.sources.testbed import Testbed
+from ledgerlake.sources.testbed import Testbed, spread
 from ledgerlake.streaming import jobs
 
 FAMILY = Family()
@@ -42,7 +42,7 @@ def _(t):
     LEFT JOIN {_KNOWN} p ON n >= 5 AND p.partner_name = s.partner"""))
 def _(t):
     full = f"concat_ws(',', {_NAME}, {_AMOUNT}, {_AMOUNT}, {_DATE}, {_PARTNER}, '0')"
-    records = t.raw("orders").selectExpr(f"CASE WHEN o_orderkey % 19 = 0 THEN concat_ws(',', {_NAME}, {_AMOUNT}, {_AMOUNT}) ELSE {full} END AS value")
+    records = spread(t.raw("orders")).selectExpr(f"CASE WHEN o_orderkey % 19 = 0 THEN concat_ws(',', {_NAME}, {_AMOUNT}, {_AMOUNT}) ELSE {full} END AS value")
     return bank.parse_csv(records, t.partner, TODAY)
 
 
@@ -58,7 +58,7 @@ _SIGNED = "CAST(CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE o_totalprice END AS DE
 def _(t):
     body = (f"'<STMTTRN><TRNTYPE>' || {_KIND} || '\\n<DTPOSTED>' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE date_format(o_orderdate, 'yyyyMMdd') || '120000' END "
             f"|| '\\n<TRNAMT>' || CAST({_SIGNED} AS STRING) || '\\n<FITID>1\\n<NAME>' || {_CUSTOMER} || '\\n'")
-    records = t.raw("orders").selectExpr(
+    records = spread(t.raw("orders")).selectExpr(
         f"CASE WHEN o_orderkey < 100 THEN '<OFX><BANKID>9' || CAST(o_orderkey % 100 AS STRING) || '<ACCTID>5' ELSE '' END || {body} AS value", "CAST(o_orderkey % 100 AS STRING) AS file")
     return bank.parse_ofx(records, t.partner, TODAY)
 
@@ -68,7 +68,7 @@ def _(t):
     FROM (SELECT o_orderkey AS o, {_SIGNED} AS amount, CAST(o_orderdate AS DATE) AS day, {_PARTNER} AS partner FROM orders) s
     LEFT JOIN {_KNOWN} p ON p.partner_name = s.partner WHERE amount <> 0 AND partner <> ''"""))
 def _(t):
-    records = t.raw("orders").selectExpr(
+    records = spread(t.raw("orders")).selectExpr(
         f"""CASE WHEN o_orderkey % 100 = 0 THEN '!Type:Bank' ELSE '' END || '\\nD' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE date_format(o_orderdate, 'dd/MM/yyyy') END
         || '\\nT' || CAST({_SIGNED} AS STRING) || '\\nP' || {_PARTNER} || '\\n' AS value""")
     return bank.parse_qif(records, t.partner, TODAY)
@@ -94,7 +94,7 @@ def _feed(t):
     item = """'{"VIN": "' || CASE WHEN user_id % 9 = 0 THEN '' ELSE 'VIN' || CAST(user_id AS STRING) END || '", "year": ' || CAST(1990 + event_id % 30 AS STRING)
       || ', "make": "' || event_type || '", "model": "", "trim": "T' || CAST(event_id % 5 AS STRING) || '", "car_id": ' || CAST(event_id AS STRING) || '}'"""
     other = """'{"VIN": "ALT' || CAST(event_id % 400 AS STRING) || '", "make": "' || event_type || '"}'"""
-    return t.raw("events").selectExpr(
+    return spread(t.raw("events")).selectExpr(
         "ts", "event_id", f"CASE WHEN event_id % 2 = 0 THEN '[' || {item} || ', ' || {other} || ']' ELSE '{{\"body\": [' || {item} || ']}}' END AS value")
 
 

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MONEY = "DECIMAL(18,2)"
 
@@ -332,6 +333,26 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS `{name}`" for name, expr in columns.items()])
 
 
+# A split becomes at most this many pieces when the input has too few of them.
+PIECES_PER_SPLIT = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over the cores when a scan has fewer splits than there are cores.
+
+    A file of a single row group is read by one task however large the cluster. A real data set comes
+    in more splits than cores and is left as it is, so nothing is shuffled there.
+    """
+    if df.isStreaming:
+        return df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits * 2 > cores else df.repartition(min(cores, splits * PIECES_PER_SPLIT))
+
+
+# Schemas already read from file footers, so that later queries need not open them again.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Testbed:
     """Lazily derived ERP tables over one directory of parquet files."""
 
@@ -342,14 +363,17 @@ class Testbed:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def _slots(self, column) -> DataFrame:
         return self.sale.withColumn("slot", F.explode(column))
 
     @cached_property
     def sale(self) -> DataFrame:
-        joined = self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        joined = spread(self.raw("lineitem")).join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         base = _project(joined, SALE)
         return base.selectExpr("*", *[f"{e} AS `{n}`" for n, e in SALE_AMOUNTS.items()])
 
@@ -392,7 +416,7 @@ class Testbed:
 
     @cached_property
     def requisition(self) -> DataFrame:
-        return _project(self.raw("orders"), REQUISITION)
+        return _project(spread(self.raw("orders")), REQUISITION)
 
     @cached_property
     def product(self) -> DataFrame:
@@ -412,7 +436,7 @@ class Testbed:
 
     @cached_property
     def asset(self) -> DataFrame:
-        return _project(self.raw("part"), ASSET)
+        return _project(spread(self.raw("part")), ASSET)
 
     @cached_property
     def analytic_line(self) -> DataFrame:
@@ -427,7 +451,7 @@ class Testbed:
 
     @cached_property
     def recurring(self) -> DataFrame:
-        return _project(self.raw("customer"), RECURRING)
+        return _project(spread(self.raw("customer")), RECURRING)
 
     @cached_property
     def fiscal_year(self) -> DataFrame:
