@@ -2,17 +2,19 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="ledgerlake-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="ledgerlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The cluster's checkpoint folder; one of our own only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

@@ -50,7 +50,7 @@ def node_closure(nodes: DataFrame) -> DataFrame:
           SELECT id, id, 1 FROM {nodes}
           UNION ALL
           SELECT r.node_id, e.dst, r.coef * e.coef FROM reach r JOIN {edges} e ON e.src = r.leaf_id)
-        SELECT node_id, leaf_id, coef FROM reach""", nodes=nodes, edges=down.unionByName(across))
+        SELECT node_id, leaf_id, coef FROM reach""", nodes=nodes, edges=materialize(down.unionByName(across), "edges"))
 
 
 def leaf_accounts(nodes: DataFrame, accounts: DataFrame) -> DataFrame:

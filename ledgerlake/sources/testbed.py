@@ -8,9 +8,11 @@ array of slot numbers, which keeps the fan-out narrow and free of joins.
 
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MONEY = "DECIMAL(18,2)"
 
@@ -329,6 +331,13 @@ CATEGORY_SCHEMA = ("id long, name string, asset_account_id long, depreciation_ac
                    "group_entries boolean, method_number int, method_period int")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A fixed small table that the planner knows the size of."""
+    schema = T.StructType.fromDDL(ddl)
+    names = schema.fieldNames()
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows], to_arrow_schema(schema)))
+
+
 def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS `{name}`" for name, expr in columns.items()])
 
@@ -459,15 +468,15 @@ class Testbed:
 
     @cached_property
     def account(self) -> DataFrame:
-        return self.spark.createDataFrame(ACCOUNTS, ACCOUNT_SCHEMA)
+        return local_rows(self.spark, ACCOUNTS, ACCOUNT_SCHEMA)
 
     @cached_property
     def journal(self) -> DataFrame:
-        return self.spark.createDataFrame(JOURNALS, JOURNAL_SCHEMA)
+        return local_rows(self.spark, JOURNALS, JOURNAL_SCHEMA)
 
     @cached_property
     def tax(self) -> DataFrame:
-        return self.spark.createDataFrame(TAXES, TAX_SCHEMA)
+        return local_rows(self.spark, TAXES, TAX_SCHEMA)
 
     @cached_property
     def line_tag(self) -> DataFrame:
@@ -475,29 +484,29 @@ class Testbed:
 
     @cached_property
     def tag(self) -> DataFrame:
-        return self.spark.createDataFrame(TAGS, TAG_SCHEMA)
+        return local_rows(self.spark, TAGS, TAG_SCHEMA)
 
     @cached_property
     def report_tag(self) -> DataFrame:
-        return self.spark.createDataFrame(REPORT_TAGS, REPORT_TAG_SCHEMA)
+        return local_rows(self.spark, REPORT_TAGS, REPORT_TAG_SCHEMA)
 
     @cached_property
     def node(self) -> DataFrame:
-        return self.spark.createDataFrame(NODES, NODE_SCHEMA)
+        return local_rows(self.spark, NODES, NODE_SCHEMA)
 
     @cached_property
     def section(self) -> DataFrame:
-        return self.spark.createDataFrame(SECTIONS, SECTION_SCHEMA)
+        return local_rows(self.spark, SECTIONS, SECTION_SCHEMA)
 
     @cached_property
     def level(self) -> DataFrame:
-        return self.spark.createDataFrame(LEVELS, LEVEL_SCHEMA)
+        return local_rows(self.spark, LEVELS, LEVEL_SCHEMA)
 
     @cached_property
     def rate(self) -> DataFrame:
-        raw = self.spark.createDataFrame(RATES, "currency_id long, date string, rate string")
+        raw = local_rows(self.spark, RATES, "currency_id long, date string, rate string")
         return raw.select("currency_id", F.to_date("date").alias("date"), F.col("rate").cast("decimal(18,6)").alias("rate"))
 
     @cached_property
     def asset_category(self) -> DataFrame:
-        return self.spark.createDataFrame(CATEGORIES, CATEGORY_SCHEMA)
+        return local_rows(self.spark, CATEGORIES, CATEGORY_SCHEMA)
