@@ -101,7 +101,7 @@ _GL = ["line_id", "account_id", "date", "journal_code", "partner_name", "move_na
 
 def _named(lines: DataFrame, journals: DataFrame, partners: DataFrame | None) -> DataFrame:
     j = journals.select(F.col("id").alias("journal_id"), F.col("code").alias("journal_code"))
-    out = lines.join(j, "journal_id")
+    out = lines.join(j, "journal_id", "left")
     if partners is None:
         return out.withColumn("partner_name", F.lit(None).cast("string"))
     return out.join(partners.select(F.col("id").alias("partner_id"), F.col("name").alias("partner_name")), "partner_id", "left")
@@ -112,7 +112,7 @@ def _opening_rows(before: DataFrame, start: date) -> DataFrame:
     text = F.lit(None).cast("string")
     return before.groupBy("account_id").agg(*sums("debit", "credit")).select(
         F.lit(0).cast("long").alias("line_id"), F.lit(0).cast("long").alias("move_id"), "account_id", F.lit(start - timedelta(days=1)).alias("date"),
-        F.lit("").alias("journal_code"), text.alias("partner_name"), text.alias("move_name"), text.alias("ref"), F.lit("Initial Balance").alias("name"),
+        F.lit(None).cast("long").alias("journal_id"), F.lit(None).cast("long").alias("partner_id"), text.alias("move_name"), text.alias("ref"), F.lit("Initial Balance").alias("name"),
         F.lit(None).cast("long").alias("currency_id"), F.lit(0).cast(MONEY).alias("amount_currency"), "debit", "credit", F.lit(True).alias("opening"))
 
 
@@ -124,28 +124,28 @@ def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, w
     ``sort_by`` is ``date`` (date, move) or ``journal_partner`` (journal code, partner name, move).
     Accounts to show: ``movement`` needs at least one row, ``not_zero`` a closing balance.
     """
-    detail = _named(where.apply(lines, accounts), journals, partners).select(F.col("id").alias("line_id"), "move_id", *_GL[1:])
-    detail = detail.withColumn("opening", F.lit(False))
+    base = ["move_id", "account_id", "date", "journal_id", "partner_id", *_GL[5:]]
+    detail = where.apply(lines, accounts).select(F.col("id").alias("line_id"), *base).withColumn("opening", F.lit(False))
     if initial_balance and where.date_from:
         # The opening row takes part in the running balance as the first row of its account.
         before = replace(where, mode=INITIAL, date_to=None).apply(lines, accounts)
         detail = detail.unionByName(_opening_rows(before, where.date_from).select(*detail.columns))
-    delta = (F.col("debit") - F.col("credit")).cast(MONEY)
+    delta = {"running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)}
     fine = {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("line_id")}
     if sort_by == "date":
-        order, coarse = [F.col("date"), F.col("move_id"), F.col("line_id")], {"day": F.col("date")}
+        # Names are attached afterwards: the totals need neither journal nor partner.
+        order = [F.col("date"), F.col("move_id"), F.col("line_id")]
+        run = _named(running_totals(detail, ["account_id"], order, delta, {"day": F.col("date")}, fine), journals, partners)
     else:
-        detail = detail.withColumn("_partner", F.coalesce("partner_name", F.lit("")))
         nameless = F.col("partner_name").isNull()
-        order = [F.col("journal_code"), nameless, F.col("_partner"), F.col("move_id"), F.col("line_id")]
-        # A missing partner sorts last, as in the order itself.
-        coarse = {"journal": F.col("journal_code"), "nameless": nameless, "partner": F.col("_partner")}
-    run = running_totals(detail, ["account_id"], order, {"running_balance": delta}, coarse, fine)
-    missing = F.lit(None).cast("string")
-    body = run.select(
-        "line_id", "account_id", F.when(~F.col("opening"), F.col("date")).alias("date"),
-        F.when(F.col("opening"), missing).otherwise(F.col("journal_code")).alias("journal_code"),
-        *_GL[4:], F.col("running_balance").cast(MONEY).alias("running_balance"))
+        detail = _named(detail, journals, partners).withColumns(
+            {"_journal": F.coalesce("journal_code", F.lit("")), "_partner": F.coalesce("partner_name", F.lit(""))})
+        order = [F.col("_journal"), nameless, F.col("_partner"), F.col("move_id"), F.col("line_id")]
+        # A missing partner sorts last, as in the order itself; the opening row has no journal and sorts first.
+        coarse = {"journal": F.col("_journal"), "nameless": nameless, "partner": F.col("_partner")}
+        run = running_totals(detail, ["account_id"], order, delta, coarse, fine)
+    body = run.select("line_id", "account_id", F.when(~F.col("opening"), F.col("date")).alias("date"), *_GL[3:],
+                      F.col("running_balance").cast(MONEY).alias("running_balance"))
     if show == "not_zero":
         closing = body.groupBy("account_id").agg(F.sum(F.col("debit") - F.col("credit")).alias("_b")).filter(F.round("_b", 2) != 0)
         body = body.join(closing.select("account_id"), "account_id", "left_semi").select(*body.columns)

@@ -21,6 +21,17 @@ def plain_numbers(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
+_TESTBEDS: dict[str, Testbed] = {}
+
+
+def testbed(spark: SparkSession, sf_dir: str) -> Testbed:
+    """The derived tables of a directory, analysed once per session (they are plans, not data)."""
+    known = _TESTBEDS.get(sf_dir)
+    if known is None or known.spark is not spark:
+        known = _TESTBEDS[sf_dir] = Testbed(spark, sf_dir)
+    return known
+
+
 class Family:
     """Queries of one report family: ``@family.query(name, sql)`` over a ``Testbed``."""
 
@@ -31,7 +42,7 @@ class Family:
     def query(self, name: str, oracle: str | None = None):
         def register(build: Callable[[Testbed], DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return plain_numbers(build(Testbed(spark, sf_dir)))
+                return plain_numbers(build(testbed(spark, sf_dir)))
 
             self.queries[name] = run
             if oracle:

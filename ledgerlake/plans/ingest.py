@@ -2,8 +2,6 @@
 
 from datetime import date
 
-from pyspark.sql import functions as F
-
 from ledgerlake.functions.filters import LedgerFilter
 from ledgerlake.functions.workspace import fresh_folder
 from ledgerlake.operators import ledger
@@ -141,7 +139,7 @@ def _(t):
 @FAMILY.query("s7_upsert_counts", sql("vehicle", """SELECT 'created' AS action, COUNT(*) AS n FROM matched WHERE id IS NULL UNION ALL SELECT 'updated', COUNT(DISTINCT id) FROM matched WHERE id IS NOT NULL
     UNION ALL SELECT 'kept', COUNT(*) FROM vehicle WHERE id NOT IN (SELECT id FROM matched WHERE id IS NOT NULL)""", **_MERGE))
 def _(t):
-    return vehicles.upsert_vehicles(t.vehicle, _incoming(t), "seq").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return vehicles.upsert_counts(vehicles.upsert_vehicles(t.vehicle, _incoming(t), "seq"))
 
 
 @FAMILY.query("s8_insert_if_absent", sql("vehicle", """SELECT car_id, vin_sn, title_en, seq, CASE WHEN car_id IS NULL THEN 'car_id is required' WHEN vin_sn IS NULL THEN 'vin_sn is required'

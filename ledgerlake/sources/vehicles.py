@@ -86,6 +86,12 @@ def upsert_vehicles(existing: DataFrame, incoming: DataFrame, order: str) -> Dat
     return old.unionByName(new)
 
 
+def upsert_counts(register: DataFrame) -> DataFrame:
+    """How many rows an upsert created, updated and kept, zero counts included."""
+    counts = F.array(*[F.struct(F.lit(a).alias("action"), F.col(a).alias("n")) for a in ("created", "updated", "kept")])
+    return register.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("created", "updated", "kept")]).select(F.explode(counts).alias("c")).select("c.*")
+
+
 def insert_vehicles(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Records to insert, and those refused with the reason."""
     missing = reduce(lambda a, f: a.when(F.coalesce(F.col(f), F.lit("")) == "", f"{f} is required"), FIELDS, F.when(F.lit(False), ""))
