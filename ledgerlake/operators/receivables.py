@@ -238,7 +238,7 @@ def dunning_escalation(lines: DataFrame, accounts: DataFrame, levels: DataFrame,
     base = _unreconciled(lines, accounts).filter(F.col("debit") > 0)
     if company_ids:
         base = base.filter(F.col("company_id").isin(list(company_ids)))
-    due = base.alias("l").join(F.broadcast(steps).alias("s"), F.col("l.followup_line_id").eqNullSafe(F.col("s.followup_line_id")))
+    due = base.alias("l").join(steps.alias("s"), F.col("l.followup_line_id").eqNullSafe(F.col("s.followup_line_id")))
     return due.filter(F.coalesce("date_maturity", "date") <= F.col("limit_date")).select(
         F.col("l.id").alias("line_id"), "partner_id", (F.col("partner_id") * 10000 + F.col("company_id")).alias("stat_id"),
         F.col("l.followup_line_id").alias("old_level"), "next_level")
