@@ -4,7 +4,6 @@ from datetime import date
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from ledgerlake.sources import bank, sinks, vehicles
 

@@ -4,7 +4,6 @@ import json
 from datetime import date
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from ledgerlake.streaming import jobs
 
