@@ -83,7 +83,8 @@ def dedup(docs: DataFrame, text: str = "text", locator: Column | None = None, di
     hit_ids = landed.join(hits, "digest", "left_semi").select("doc_id").distinct()
     content = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
     same_id = content["doc_id"].eqNullSafe(hit_ids["doc_id"])
-    by_bytes = content.join(hit_ids, same_id, "left_semi").groupBy(digest(F.col("norm")).alias("digest"), "norm").agg(
+    # One plan for every size: the list of hits grows with the table, so it is never sent to all tasks.
+    by_bytes = content.join(hit_ids.hint("merge"), same_id, "left_semi").groupBy(digest(F.col("norm")).alias("digest"), "norm").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
     checked = settle(by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_bytes")), "dedup-checked")
 
