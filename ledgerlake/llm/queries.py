@@ -1,13 +1,15 @@
 """Registered queries of the text operators, with checking SQL where SQL can express them."""
 
-from ledgerlake.llm import chat_format, exact_dedup, language_id, sharding, token_counts
+from ledgerlake.llm import chat_format, exact_dedup, language_id, packing, sharding, token_counts, warc
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_language_id": language_id.op4_language_id,
     "op6_sharding": sharding.op6_sharding,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
