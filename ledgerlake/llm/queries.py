@@ -1,10 +1,11 @@
 """Registered queries of the text operators, with checking SQL where SQL can express them."""
 
-from ledgerlake.llm import chat_format, exact_dedup, language_id, packing, sharding, token_counts, warc
+from ledgerlake.llm import chat_format, exact_dedup, language_id, packing, sharding, token_counts, topk_search, warc
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_language_id": language_id.op4_language_id,
+    "op5_topk_search": topk_search.op5_topk_search,
     "op6_sharding": sharding.op6_sharding,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_counts": token_counts.op8_token_counts,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_chat_format": chat_format.OP3_SQL,
+    "op5_topk_search": topk_search.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
