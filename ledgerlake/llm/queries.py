@@ -1,9 +1,10 @@
 """Registered queries of the text operators, with checking SQL where SQL can express them."""
 
-from ledgerlake.llm import chat_format, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, topk_search, warc
+from ledgerlake.llm import chat_format, exact_dedup, language_id, ngram_join, packing, sentence_pieces, sharding, token_counts, topk_search, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_sentencepiece": sentence_pieces.op2_sentencepiece,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_language_id": language_id.op4_language_id,
     "op5_topk_search": topk_search.op5_topk_search,
