@@ -30,7 +30,8 @@ from ledgerlake.llm.components import components
 from ledgerlake.llm.shingles import SHINGLE, exact_overlap, mix, sequence_digest, shingle_set
 
 SIMILARITY = (75, 100)
-LEAST_SEGMENTS = 64
+# Segments of a band: this many percent of the most that a set may need, and so many at least.
+SEGMENTS = (108, 64)
 SLICE_SHINGLES = 1_000_000
 CLASS_BITS = 60
 # Kinds of signature rows: entries of the own band (also probes of budget 1), one-deletion entries, probes of budget 2 in the own
@@ -47,10 +48,11 @@ def bound(sizes, similarity: tuple[int, int]):
     return sizes * (den - num) // (den + num)
 
 
-def segments(band: int, similarity: tuple[int, int]) -> int:
+def segments(band: int, similarity: tuple[int, int], plenty: tuple[int, int]) -> int:
     """Number of segments of a band: some more than the largest number of differences, so that some can be spared."""
     num, den = similarity
-    return max(LEAST_SEGMENTS, -(-(108 * (den - num) << (band + 1)) // (100 * num)))
+    percent, least = plenty
+    return max(least, -(-(percent * (den - num) << (band + 1)) // (100 * num)))
 
 
 def deletion_segments(m: int) -> int:
@@ -62,7 +64,8 @@ def class_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big") >> (64 - CLASS_BITS)
 
 
-def signature_rows(sets: list[np.ndarray], classes: np.ndarray, similarity: tuple[int, int], opened: frozenset[int] | None) -> list[tuple]:
+def signature_rows(sets: list[np.ndarray], classes: np.ndarray, similarity: tuple[int, int], opened: frozenset[int] | None,
+                   plenty: tuple[int, int] = SEGMENTS) -> list[tuple]:
     """(key, who, unit) arrays for the sets of a slice.
 
     ``opened`` None: the usual run. Else only these bands, with budget 1 on every segment, empty ones included.
@@ -85,7 +88,7 @@ def signature_rows(sets: list[np.ndarray], classes: np.ndarray, similarity: tupl
             if opened is not None and int(band) not in opened:
                 continue
             docs = chosen[bands[chosen] == band]
-            m = segments(int(band), similarity)
+            m = segments(int(band), similarity, plenty)
             salt = mix(np.array([int(band)], U) + U(0x5EED))[0]
             tokens = np.concatenate([sets[d] for d in docs])
             at = np.repeat(np.arange(len(docs)), sizes[docs])
@@ -123,7 +126,8 @@ def signature_rows(sets: list[np.ndarray], classes: np.ndarray, similarity: tupl
     return out
 
 
-def signatures(docs: DataFrame, text: str, width: int, similarity: tuple[int, int], opened: frozenset[int] | None = None) -> DataFrame:
+def signatures(docs: DataFrame, text: str, width: int, similarity: tuple[int, int], opened: frozenset[int] | None = None,
+               plenty: tuple[int, int] = SEGMENTS) -> DataFrame:
     """Signature rows of all documents; copies within a task are told once."""
     def sign(batches):
         seen: set[int] = set()
@@ -131,7 +135,7 @@ def signatures(docs: DataFrame, text: str, width: int, similarity: tuple[int, in
             sets, classes, held = [], [], 0
 
             def flush():
-                for key, who, unit in signature_rows(sets, np.array(classes, np.int64), similarity, opened) if sets else ():
+                for key, who, unit in signature_rows(sets, np.array(classes, np.int64), similarity, opened, plenty) if sets else ():
                     for i in range(0, len(key), 200_000):
                         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i:i + 200_000])) for c in (key, who, unit)], names=["key", "who", "unit"])
 
@@ -230,7 +234,8 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[i
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "u long, v long")
 
 
-def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
+                    plenty: tuple[int, int] = SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a set holds the distinct runs of ``width`` words, or the whole
@@ -238,7 +243,8 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
     smallest ``doc_id`` reachable by links, itself included. Null, empty and blank texts have an empty set and no links. Rows that
     repeat a text are one class; rows that repeat a ``doc_id`` are counted each. A null ``doc_id`` takes part and gets the
     component of its links, else null. An empty table gives an empty result; other columns are not read. Links between
-    texts are decided on their words; ``n_shingles`` counts 64-bit fingerprints of them.
+    texts are decided on their words; ``n_shingles`` counts 64-bit fingerprints of them. ``plenty``: percent of the segments that a set may
+    need, 100 at least, and the least number of them; few segments mean more bands that are run again.
     """
     if 2 * similarity[0] <= similarity[1]:
         raise ValueError("similarity must be above 1/2")
@@ -256,14 +262,14 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
     classes = described.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n_shingles").alias("n"))
     classes = settle(classes.filter("rep IS NOT NULL"), "classes")
 
-    shared = settle(shared_rows(signatures(docs, "text", width, similarity)), "shared")
+    shared = settle(shared_rows(signatures(docs, "text", width, similarity, None, plenty)), "shared")
     short = shared.filter(F.col("kind").isin(SPARE, LOW_SPARE) & (F.col("unit") < 0)).select("cls", (F.col("kind") == LOW_SPARE).cast("int").alias("low"))
     band = F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int") - F.col("low")
     opened = frozenset(r["band"] for r in short.join(classes, "cls").select(band.alias("band")).distinct().collect())  # a few dozen bands at most
     entries = [shared.filter(F.col("kind").isin(ENTRY, ENTRY_DELETED)).select("key", "cls")]
     probes = [probes_of(shared)]
     if opened:
-        again = settle(shared_rows(signatures(docs, "text", width, similarity, opened)), "shared")
+        again = settle(shared_rows(signatures(docs, "text", width, similarity, opened, plenty)), "shared")
         entries.append(again.filter(F.col("kind") == ENTRY).select("key", "cls"))
         probes.append(probes_of(again))
     sized = classes.select("cls", "rep", "n")
