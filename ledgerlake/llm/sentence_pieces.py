@@ -12,6 +12,7 @@ No arc spans two characters that stand together in no piece. Inputs fall apart t
 remembered.
 """
 
+import codecs
 import hashlib
 import re
 import struct
@@ -32,6 +33,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 REMEMBERED = 250_000
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 PAIRS = 700_000
 
 
@@ -197,7 +199,7 @@ class Transducer:
         marks = np.flatnonzero(own >= 0)
         for run in np.split(marks, np.flatnonzero(np.diff(marks) > 1) + 1) if len(marks) else ():
             parts += map(out.__getitem__, ids[at:run[0]].tolist())
-            parts.append(bytes(own[run].astype(np.uint8)).decode(errors="replace"))
+            parts.append(bytes(own[run].astype(np.uint8)).decode(errors="each-byte"))
             at = run[-1] + 1
         parts += map(out.__getitem__, ids[at:].tolist())
         text = "".join(parts)

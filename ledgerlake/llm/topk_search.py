@@ -80,7 +80,8 @@ def build_pages(tree: int, ids: np.ndarray, vectors: np.ndarray, extra: np.ndarr
 def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in doubles while those are exact, else in whole numbers, kept within 64 bits."""
     if len(vectors) and np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query)) >= 2**53:
-        exact = vectors.astype(object) @ np.array([int(x) for x in query], dtype=object)
+        whole = np.vectorize(int, otypes=[object])
+        exact = whole(vectors) @ whole(query)
         return np.array([max(-2**63, min(2**63 - 1, int(x))) for x in exact], dtype=np.int64)
     return (vectors @ query).astype(np.int64)
 
