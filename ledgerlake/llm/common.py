@@ -1,10 +1,14 @@
 """Helpers shared by the text operators."""
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import ledgerlake
 from ledgerlake.functions.workspace import shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -15,6 +19,20 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/llm/{purpose}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they need no copy on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlake_sent", False):
+        return
+    root = Path(ledgerlake.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="ledgerlake-code-")) / "ledgerlake_code.zip"  # the driver serves it from there
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._ledgerlake_sent = True
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df`` as a written table in the shared folder.
 

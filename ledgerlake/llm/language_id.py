@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import table
+from ledgerlake.llm.common import ship, table
 
 # Families of languages by code (fixed values); a code that is not listed is a family of its own.
 FAMILIES = {
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: dict
                 "lang": batch.column(0), "at": pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()),
                 "v": pa.array([f[i].astype(np.float32).tobytes() for i, f in out], pa.binary())})
 
+    ship(docs.sparkSession)
     sample = usable.filter(uniform < chance).select("lang", "text").mapInArrow(encode, "lang string, at binary, v binary").collect()
     samples = sorted(((r["lang"], bytes(r["at"]), bytes(r["v"])) for r in sample))
     return Model([(lang, np.frombuffer(at, np.int32), np.frombuffer(v, np.float32).astype(np.float64)) for lang, at, v in samples],
@@ -181,6 +182,7 @@ def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     nothing could be learned. Equal texts get equal predictions. An empty table gives an empty result.
     """
     docs = docs.drop("lang_pred", "score")
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights only: languages times features
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -15,9 +15,9 @@ documents share is given up by nearly all of them before a pair is formed.
 Empty segments agree between any two sets and are not indexed. A set that cannot reach its budget without
 them is found by its negative spare count, and its band is run once more with the empty segments.
 
-Documents with the same word sequence are one class and meet once. Pairs are first formed between a set and one hub
-per set, verified, and joined to components; then all pairs that remain between different components are
-verified. Pairs inside a component are not needed and not formed.
+Documents with the same word sequence are one class and meet once. In a few rounds every set is paired with one hub only,
+the pairs are verified, and what is linked becomes one component; keys within one component are closed. Then all pairs that
+remain between different components are verified. Pairs inside a component are not needed and not formed.
 """
 
 import numpy as np
@@ -25,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import settle, table
+from ledgerlake.llm.common import settle, ship, table
 from ledgerlake.llm.components import components
-from ledgerlake.llm.shingles import SHINGLE, exact_overlap, mix, sequence_digest, shingle_set
+from ledgerlake.llm.shingles import SHINGLE, exact_overlap, least_difference, mix, occupancy, sequence_digest, shingle_set
 
 SIMILARITY = (75, 100)
 # Segments of a band: this many percent of the most that a set may need, and so many at least.
 SEGMENTS = (108, 64)
 SLICE_SHINGLES = 1_000_000
 CLASS_BITS = 60
+HUB_ROUNDS = 3
 # Kinds of signature rows: entries of the own band (also probes of budget 1), one-deletion entries, probes of budget 2 in the own
 # band, probes of budget 1 and 2 in the band below, and what a set can spare in either band.
 ENTRY, ENTRY_DELETED, PROBE2, LOW1, LOW2, SPARE, LOW_SPARE = range(7)
@@ -153,6 +154,7 @@ def signatures(docs: DataFrame, text: str, width: int, similarity: tuple[int, in
                     sets, classes, held = [], [], 0
             yield from flush()
 
+    ship(docs.sparkSession)
     return docs.select(text).mapInArrow(sign, SIGNATURES)
 
 
@@ -215,23 +217,42 @@ def probes_of(shared: DataFrame) -> DataFrame:
     return by_key.unionByName(by_unit).distinct()
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts are similar, decided on the words."""
+def overlaps(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of representatives whose texts are similar: those that sketches do not rule out, decided on the words."""
     num, den = similarity
 
-    def verify(batches):
+    def kept(batches, good):
         for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                n, m, both = exact_overlap(x.as_py().encode(), y.as_py().encode(), width)
-                good.append(both > 0 and den * both >= num * (n + m - both))
-            kept = np.array(good, dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["u", "v"])
+            yield batch.filter(pa.array([good(*(v.as_py() for v in r)) for r in zip(*batch.columns[2:])], pa.bool_())).select([0, 1])
+
+    def possible(batches):
+        return kept(batches, lambda n, m, x, y: least_difference(x, y) <= bound(n + m, similarity))
+
+    def verify(batches):
+        def good(x, y):
+            n, m, both = exact_overlap(x.encode(), y.encode(), width)
+            return den * both >= num * (n + m - both)
+        return kept(batches, good)
+
+    side = lambda table, name, *columns: table.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    left = pairs.join(side(sketches, "a", "n", "bits"), "a").join(side(sketches, "b", "n", "bits"), "b")
+    left = left.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(possible, "a long, b long")
+    both = left.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text_a", "text_b").mapInArrow(verify, "u long, v long")
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "u long, v long")
+
+def hub_pairs(probe: DataFrame, entry: DataFrame, fits, rank) -> DataFrame:
+    """For each set x one set y of another component: of the leading entries of its keys the one it shares most keys with.
+
+    An entry leads a key by ``rank``; sets of the leader's own component get the leader among the other components.
+    """
+    leader = F.struct(rank.alias("rank"), F.col("cy"), F.col("y"), F.col("ny"))
+    first = entry.groupBy("key").agg(F.max(leader).alias("first"))
+    other = entry.join(first, "key").filter(F.col("cy") != F.col("first.cy")).groupBy("key").agg(F.max(leader).alias("other"))
+    met = probe.join(first, "key").join(other, "key", "left").withColumn("hub", F.when(F.col("cx") != F.col("first.cy"), F.col("first")).otherwise(F.col("other")))
+    met = met.select("x", "nx", "hub.y", "hub.ny").filter(fits)
+    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(F.max(F.struct("n", "y")).alias("best")).select(
+        F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
@@ -254,59 +275,68 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
         for batch in batches:
             texts = [v.as_py() or b"" for v in batch.column(1).cast(pa.large_binary())]
             digests = [sequence_digest(t) for t in texts]
+            sets = [shingle_set(t, width) for t in texts]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n_shingles": pa.array([len(shingle_set(t, width)) for t in texts], pa.int64()),
-                "digest": pa.array(digests, pa.binary()), "cls": pa.array([class_of(d) for d in digests], pa.int64())})
+                "doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()),
+                "cls": pa.array([class_of(d) for d in digests], pa.int64()), "bits": pa.array([occupancy(s) for s in sets], pa.binary())})
 
-    described = settle(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, cls long"), "described")
-    classes = described.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n_shingles").alias("n"))
+    ship(docs.sparkSession)
+    described = settle(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, cls long, bits binary"), "described")
+    classes = described.filter("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n_shingles").alias("n"), F.max("bits").alias("bits"))
     classes = settle(classes.filter("rep IS NOT NULL"), "classes")
 
     shared = settle(shared_rows(signatures(docs, "text", width, similarity, None, plenty)), "shared")
     short = shared.filter(F.col("kind").isin(SPARE, LOW_SPARE) & (F.col("unit") < 0)).select("cls", (F.col("kind") == LOW_SPARE).cast("int").alias("low"))
     band = F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int") - F.col("low")
     opened = frozenset(r["band"] for r in short.join(classes, "cls").select(band.alias("band")).distinct().collect())  # a few dozen bands at most
-    entries = [shared.filter(F.col("kind").isin(ENTRY, ENTRY_DELETED)).select("key", "cls")]
-    probes = [probes_of(shared)]
+    rows, probes = shared, probes_of(shared)
     if opened:
         again = settle(shared_rows(signatures(docs, "text", width, similarity, opened, plenty)), "shared")
-        entries.append(again.filter(F.col("kind") == ENTRY).select("key", "cls"))
-        probes.append(probes_of(again))
+        rows, probes = rows.unionByName(again), probes.unionByName(probes_of(again))
     sized = classes.select("cls", "rep", "n")
-    probe = settle((probes[0] if len(probes) == 1 else probes[0].unionByName(probes[1])).join(sized, "cls").select("key", F.col("rep").alias("x"), F.col("n").alias("nx")), "probes")
-    entry = (entries[0] if len(entries) == 1 else entries[0].unionByName(entries[1])).distinct().join(probe.select("key").distinct(), "key", "left_semi").join(
-        sized, "cls").select("key", F.col("rep").alias("y"), F.col("n").alias("ny"))
+    probe = settle(probes.join(sized, "cls").select("key", F.col("rep").alias("x"), F.col("n").alias("nx")), "probes")
+    entry = rows.filter(F.col("kind").isin(ENTRY, ENTRY_DELETED)).groupBy("key", "cls").agg(F.max("cost").alias("cost")).join(
+        probe.select("key").distinct(), "key", "left_semi").join(sized, "cls").select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "cost")
     entry = settle(entry, "entries")
-
-    num, den = similarity
-    fits = (F.col("x") != F.col("y")) & (F.col("ny") <= F.col("nx")) & (F.col("ny") * den >= F.col("nx") * num)
-    as_pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     involved = probe.select(F.col("x").alias("rep")).unionByName(entry.select(F.col("y").alias("rep"))).distinct()
     texts = settle(docs.filter("text IS NOT NULL").join(involved.hint("merge"), docs["doc_id"] == involved["rep"], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(
         F.max("text").alias("text")), "texts")
+    sketches = classes.select("rep", "n", "bits")
 
-    # One hub for each set: of the first entries of its keys the one it shares most keys with.
-    first = entry.groupBy("key").agg(F.max(F.struct("ny", "y")).alias("hub"))
-    hubs = probe.join(first, "key").select("x", "nx", F.col("hub.y").alias("y"), F.col("hub.ny").alias("ny")).filter(fits)
-    best = hubs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(F.max(F.struct("n", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    num, den = similarity
+    fits = (F.col("ny") <= F.col("nx")) & (F.col("ny") * den >= F.col("nx") * num) & (F.col("x") != F.col("y"))
+    # A set leads by how often its subsets occur: what others were copied from comes first. Later rounds draw leaders by chance.
+    fame = entry.groupBy("y").agg(F.sum("cost").alias("fame"))
+    p = probe.withColumn("cx", F.col("x"))
+    e = entry.drop("cost").join(fame, "y").withColumn("cy", F.col("y"))
     # Different texts whose short class identifiers agree are a pair as well.
     clash = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("a")).filter("k > 1").join(classes, "cls").select(
         "a", F.col("rep").alias("b")).filter("a <> b")
-    first_pairs = settle(best.select(*as_pair).unionByName(clash).distinct(), "pairs")
-    links = settle(overlaps(first_pairs, texts, width, similarity), "links")
-
-    # What is left between different components.
-    label = components(links)
-    home = lambda df, c: df.join(label.select(F.col("u").alias(c), F.col("v").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-    p, e = home(probe, "x"), home(entry, "y")
-    open_keys = p.select("key", F.col("_x").alias("c")).unionByName(e.select("key", F.col("_y").alias("c"))).groupBy("key").agg(
-        F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    rest = p.join(open_keys, "key", "left_semi").join(e, "key").filter(fits & (F.col("_x") != F.col("_y"))).select(*as_pair).distinct()
-    rest = rest.join(first_pairs, ["a", "b"], "left_anti")
-    links = settle(links.unionByName(overlaps(settle(rest, "pairs"), texts, width, similarity)), "links")
-    label = components(links)
-
-    of_class = classes.join(label.select(F.col("u").alias("rep"), "v"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component"))
+    label = classes.select("rep", F.col("rep").alias("component"))
+    done = None
+    for turn in range(HUB_ROUNDS + 1):
+        if turn < HUB_ROUNDS:
+            pairs = hub_pairs(p, e, fits, F.col("fame") if turn == 0 else F.xxhash64(F.lit(turn), "y"))
+            pairs = pairs.unionByName(clash) if turn == 0 else pairs
+        else:  # all that are left between different components
+            pairs = p.join(e, "key").filter(fits & (F.col("cx") != F.col("cy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = settle(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        links = overlaps(pairs, sketches, texts, width, similarity)
+        at = lambda c: label.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}"))
+        links = settle(links.join(at("u"), "u").join(at("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")), "links")
+        joined = components(links)  # of components found so far, so each round's graph is small
+        label = settle(label.join(joined, F.col("component") == F.col("u"), "left").select("rep", F.coalesce("v", "component").alias("component")), "labels")
+        if turn < HUB_ROUNDS:
+            renamed = lambda df, c: df.join(joined, F.col(c) == F.col("u"), "left").withColumn(c, F.coalesce("v", c)).drop("u", "v")
+            p, e = renamed(p, "cx"), renamed(e, "cy")
+            still = p.select("key", F.col("cx").alias("c")).unionByName(e.select("key", F.col("cy").alias("c"))).groupBy("key").agg(
+                F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+            still = settle(still, "open-keys")
+            p, e = settle(p.join(still, "key", "left_semi"), "open-probes"), settle(e.join(still, "key", "left_semi"), "open-entries")
+
+    of_class = classes.join(label, "rep").select("digest", "component")
     return described.join(of_class, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

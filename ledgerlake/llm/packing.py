@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import settle, table
+from ledgerlake.llm.common import settle, ship, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -100,6 +100,7 @@ def pieces_of(docs: DataFrame, text: str, path: str, capacity: int, end_id: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (
                 pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, f"doc_id long, {PIECE}")
 
 
@@ -188,6 +189,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, blocks: int | None = N
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], *map(pa.array, done)],
                                              names=[*kept, "sequence_id", "offset"])
 
+    ship(spark)
     ranked = ranked.drop("_block", "_before")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
     return ranked.mapInArrow(place, f"{kept}, sequence_id long, offset long")

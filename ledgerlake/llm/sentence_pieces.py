@@ -25,7 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerlake.llm.common import table
+from ledgerlake.llm.common import ship, table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -230,6 +230,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model_path: str | None =
                     part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))),
                     pa.array([model.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 

@@ -69,19 +69,28 @@ def sequence_digest(text: bytes) -> bytes:
 
 
 def exact_overlap(a: bytes, b: bytes, width: int = SHINGLE) -> tuple[int, int, int]:
-    """Sizes of the two shingle sets and of their intersection, decided on the words themselves.
-
-    Words become numbers by a dictionary, and runs of words become numbers by adding one word after the other and
-    numbering anew, so equal numbers mean equal words.
-    """
-    x, y = a.lower().split(), b.lower().split()
-    if len(x) < width or len(y) < width:
-        sets = [{tuple(s[i:i + width]) for i in range(max(1, len(s) - width + 1))} if s else set() for s in (x, y)]
-        return len(sets[0]), len(sets[1]), len(sets[0] & sets[1])
-    known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in (*x, *y)], dtype=np.int64)
-    runs = ids
-    for i in range(1, width):
-        runs = np.unique(runs[:-1] * len(known) + ids[i:], return_inverse=True)[1]
-    left, right = np.unique(runs[:len(x) - width + 1]), np.unique(runs[len(x):])
-    return len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))
+    """Sizes of the two shingle sets and of their intersection, decided on the words themselves."""
+    sets = []
+    for words in (a.lower().split(), b.lower().split()):
+        sets.append(set(zip(*(words[i:] for i in range(width)))) if len(words) >= width else {tuple(words)} if words else set())
+    x, y = sets
+    return len(x), len(y), len(x & y)
+
+
+def occupancy(prints: np.ndarray) -> bytes:
+    """Which of some four to eight times as many places the fingerprints of a set occupy, as bits; the width is a power of two."""
+    if not len(prints):
+        return b""
+    power = len(prints).bit_length() + 2
+    bits = np.zeros(1 << power, np.uint8)
+    bits[(prints >> np.uint64(64 - power)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many members two sets differ at least: a place that only one of them occupies holds one of its own."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.reshape(len(y), -1).max(axis=1)
+    return int((x != y).sum())

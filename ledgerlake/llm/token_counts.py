@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import table
+from ledgerlake.llm.common import ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -42,6 +42,7 @@ def length_histogram(docs: DataFrame, text: str = "text", ranks_path: str | None
             seen.update(len(encode(t)) if (t := v.as_py()) else 0 for v in batch.column(0))
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
+    ship(docs.sparkSession)
     return docs.select(text).mapInArrow(count, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

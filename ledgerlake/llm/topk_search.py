@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import settle, table
+from ledgerlake.llm.common import settle, ship, table
 
 TREE_SIZE = 4096
 PAGE_SIZE = 512
@@ -127,6 +127,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id"
     gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
+    ship(spark)
     raw = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("_raw"), queries.alias("_query")).filter(
         F.col("vec_id").isNotNull() & usable(F.col("_raw"), scale))
     base = settle(raw.select("vec_id", quantised(F.col("_raw"), scale).alias("v"), "_query").groupBy("vec_id").agg(

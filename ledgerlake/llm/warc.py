@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import new_folder, settle, table
+from ledgerlake.llm.common import new_folder, settle, ship, table
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -159,12 +159,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, captured
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"value": pa.array([record(*r) for r in zip(*(c.to_pylist() for c in batch.columns))], pa.binary())})
 
+    ship(pages.sparkSession)
     rows.select("page_id", "url", "captured", "payload", "refers_to").mapInArrow(build, "value binary").select(
         F.col("value").cast("string")).write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Index rows of all records below ``folder``; each task's rows are sorted: one run per archive."""
+    ship(spark)
     raw = spark.read.option("lineSep", BETWEEN.decode()).text(folder).select(F.col("value").cast("binary"), F.col("_metadata.file_name").alias("archive"))
 
     def index(batches):
@@ -190,6 +192,7 @@ def merge_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
         order = [i for _, i in LoserTree([[(keys[i], i) for i in run] for run in natural_runs(keys)])]
         yield from rows.take(pa.array(order, pa.int64())).to_batches(max_chunksize=10_000)
 
+    ship(runs.sparkSession)
     return runs.repartitionByRange(ranges, *ORDER).mapInArrow(merge, runs.schema)
 
 
