@@ -8,7 +8,7 @@ from calendar import monthrange
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -107,8 +107,15 @@ def same_last_year(base: Period, count: int) -> list[Period]:
     return out
 
 
+def span(periods: list[Period], day: str = "date") -> Column:
+    """From the first start to the last end: what a scan needs for these periods. Without a start on one of them, only the end."""
+    d = F.col(day)
+    upto = d <= F.lit(max(p.end for p in periods))
+    return upto & (d >= F.lit(min(p.start for p in periods))) if all(p.start for p in periods) else upto
+
+
 def in_periods(lines: DataFrame, periods: list[Period], day: str = "date", name: str = "period") -> DataFrame:
     """One row per line and period that contains it; lines outside all periods are dropped."""
     d = F.col(day)
     hits = [F.when((d <= F.lit(p.end)) & (d >= F.lit(p.start) if p.start else F.lit(True)), F.lit(p.label)) for p in periods]
-    return lines.withColumn(name, F.explode(F.array_compact(F.array(*hits))))
+    return lines.filter(span(periods, day)).withColumn(name, F.explode(F.array_compact(F.array(*hits))))

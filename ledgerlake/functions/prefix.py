@@ -1,14 +1,14 @@
 """Running totals that do not depend on any one key fitting into one task.
 
 A plain window keyed by account would sort a whole account in one task, and one bank account may
-hold a third of the ledger. Here the order is cut into cells (for example account and day). Cell
-totals are few, so their prefix sum is an ordinary window, kept as a table; each row then adds the
-running sum inside its own cell. If that table shows cells that are still too large, their rows are
-cut again by a finer prefix of the order, so the work of a task is bounded by the cell size, and the
-result stays exact.
-
-The cutting expressions must be monotone in the order: a row in an earlier cell must come first.
-They are plain functions of the row, so a recomputed task always cuts alike.
+hold a third of the ledger. Here the order is cut into cells on several levels, for example day, block of
+documents, document with block of lines. Totals of the finest cells are added up level by level; on each level
+the cells of one upper cell get a prefix sum, so a window never holds more than the parts of one cell. A row adds the prefix sums of
+its cells and the running sum inside its finest cell. There is one plan for every size.
+
+The cutting expressions must be monotone in the order: a row in an earlier cell must come first. They are plain
+functions of the row, so a recomputed task always cuts alike. Missing values are cells like any other: cells
+are structs, which compare and join with nulls inside.
 """
 
 from functools import reduce
@@ -16,11 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.workspace import materialize
-
-HOT_CELL_ROWS = 2_000_000
-
-
 # How values combine along the order: the aggregate, and joining an offset to it.
 _HOW = {
     "sum": (F.sum, lambda parts: reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), parts[1:], F.coalesce(parts[0], F.lit(0)))),
@@ -29,11 +24,6 @@ _HOW = {
 }
 
 
-def _cell_offsets(cells: DataFrame, within: list[str], along: list[Column], names: list[str], fold) -> DataFrame:
-    w = Window.partitionBy(*within).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumns({f"_off_{s}": fold(s).over(w) for s in names})
-
-
 def running_totals(
     rows: DataFrame,
     keys: list[str],
@@ -42,54 +32,40 @@ def running_totals(
     coarse: dict[str, Column],
     fine: dict[str, Column] | None = None,
     descending: tuple[str, ...] = (),
-    hot_cell_rows: int = HOT_CELL_ROWS,
     how: str = "sum",
     inclusive: bool = True,
 ) -> DataFrame:
     """Add one running total per entry of ``measures``, per ``keys`` along ``order``.
 
+    ``coarse`` is the first level of cells, each entry of ``fine`` a further level inside the one before; it may use any order
+    prefix. Keys and cells may be null. ``descending`` names the cells that run from the largest to the smallest value.
     ``how`` may also be ``max`` or ``min``; without ``inclusive`` a row's own value is left out.
-
-    ``keys``, ``coarse`` and ``fine`` values must not be null. ``fine`` may use any order prefix, for
-    instance the document number and a block of line numbers. ``descending`` names the
-    cells that run from the largest to the smallest value.
     """
     fold, combine = _HOW[how]
-
-    def along(prefix: str, names: dict[str, Column]) -> list[Column]:
-        return [F.col(prefix + n).desc() if n in descending else F.col(prefix + n).asc() for n in names]
-
-    c_names = [f"_c_{n}" for n in coarse]
-    sums = [f"_m_{n}" for n in measures]
-    out_columns = [*rows.columns, *measures]
-    tagged = rows.withColumns({f"_c_{n}": e for n, e in coarse.items()}).withColumns(
-        {f"_m_{n}": e for n, e in measures.items()})
-    cell_key = [*keys, *c_names]
-    totals = tagged.groupBy(*cell_key).agg(*[fold(s).alias(s) for s in sums], F.count(F.lit(1)).alias("_n"))
-    cells = materialize(_cell_offsets(totals, keys, along("_c_", coarse), sums, fold).drop(*sums), "cells")
-
-    def finish(df: DataFrame, partition: list[str], bases: list[str]) -> DataFrame:
-        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        done = df.withColumns({
-            n: combine([*[F.col(f"{base}_{s}") for base in bases], fold(s).over(w)]) for n, s in zip(measures, sums)})
-        return done.select(*out_columns)
-
-    hot_cells = cells.filter(F.col("_n") > hot_cell_rows).drop("_n")
-    if not fine or hot_cells.isEmpty():
-        return finish(tagged.join(cells.drop("_n"), cell_key), cell_key, ["_off"])
-
-    # At most (all rows / hot_cell_rows) cells are hot, so their list is small by construction.
-    hot_cells = F.broadcast(hot_cells)
-    cold_rows = tagged.join(hot_cells, cell_key, "left_anti")
-    cold = finish(cold_rows.join(cells.drop("_n"), cell_key), cell_key, ["_off"])
-
-    f_names = [f"_f_{n}" for n in fine]
-    hot_rows = tagged.join(hot_cells, cell_key).withColumns({f"_f_{n}": e for n, e in fine.items()})
-    fine_key = [*cell_key, *f_names]
-    fine_totals = hot_rows.groupBy(*fine_key).agg(*[fold(s).alias(s) for s in sums])
-    fine_cells = _cell_offsets(fine_totals, cell_key, along("_f_", fine), sums, fold)
-    fine_cells = fine_cells.select(*fine_key, *[F.col(f"_off_{s}").alias(f"_fine_{s}") for s in sums])
-    return cold.unionByName(finish(hot_rows.join(fine_cells, fine_key), fine_key, ["_off", "_fine"]))
+    levels = [coarse, *({n: e} for n, e in (fine or {}).items())]
+    cells, sums = [f"_l{i}" for i in range(len(levels))], [f"_m_{n}" for n in measures]
+    tagged = rows.withColumns(
+        {"_k": F.struct(*keys) if keys else F.lit(0)}
+        | {c: F.struct(*[e.alias(n) for n, e in level.items()]) for c, level in zip(cells, levels)}
+        | {s: e for s, e in zip(sums, measures.values())})
+
+    def along(i: int) -> list[Column]:
+        parts = [(n, F.col(cells[i]).getField(n)) for n in levels[i]]
+        return [p.desc() if n in descending else p.asc() for n, p in parts]
+
+    totals, before = tagged.groupBy("_k", *cells).agg(*[fold(s).alias(s) for s in sums]), []
+    for i in reversed(range(len(levels))):
+        upper = ["_k", *cells[:i]]
+        w = Window.partitionBy(*upper).orderBy(*along(i)).rowsBetween(Window.unboundedPreceding, -1)
+        before.append(totals.select(*upper, cells[i], *[fold(s).over(w).alias(f"_o{i}{s}") for s in sums]))
+        totals = totals.groupBy(*upper).agg(*[fold(s).alias(s) for s in sums])
+    offsets = before.pop()
+    for i in range(1, len(levels)):
+        offsets = before.pop().join(offsets, ["_k", *cells[:i]])
+    w = Window.partitionBy("_k", *cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    done = tagged.join(offsets, ["_k", *cells]).withColumns({
+        n: combine([*[F.col(f"_o{i}{s}") for i in range(len(levels))], fold(s).over(w)]) for n, s in zip(measures, sums)})
+    return done.select(*rows.columns, *measures)
 
 
 def block(column: str, size: int = 65_536) -> Column:
@@ -97,6 +73,11 @@ def block(column: str, size: int = 65_536) -> Column:
     return F.floor(F.col(column) / F.lit(size)).cast("long")
 
 
+def documents(move: str = "move_id", line: str = "id") -> dict[str, Column]:
+    """Levels for an order by document and line: blocks of documents, then documents with blocks of their lines."""
+    return {"documents": block(move, 4096), "lines": F.struct(F.col(move).alias("move"), block(line).alias("lines"))}
+
+
 def magnitude(column: str) -> Column:
     """A coarse cell of a numeric column: grows with it, a few hundred values over any range."""
     v = F.col(column).cast("double")
@@ -104,10 +85,9 @@ def magnitude(column: str) -> Column:
 
 
 def row_numbers(rows: DataFrame, name: str, order: list[Column], coarse: dict[str, Column],
-                fine: dict[str, Column] | None = None, descending: tuple[str, ...] = (), keys: list[str] | None = None,
-                hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+                fine: dict[str, Column] | None = None, descending: tuple[str, ...] = (), keys: list[str] | None = None) -> DataFrame:
     """Global row numbers without sorting the whole input in one task."""
-    return running_totals(rows, keys or [], order, {name: F.lit(1).cast("long")}, coarse, fine, descending, hot_cell_rows)
+    return running_totals(rows, keys or [], order, {name: F.lit(1).cast("long")}, coarse, fine, descending)
 
 
 def range_sums(facts: DataFrame, ranges: DataFrame, keys: list[str], range_id: str) -> DataFrame:
@@ -118,7 +98,7 @@ def range_sums(facts: DataFrame, ranges: DataFrame, keys: list[str], range_id: s
     its start; the answer is the difference of the running totals there. No pair of fact and range is
     ever formed, so wide ranges cost the same as narrow ones.
     """
-    daily = materialize(facts.groupBy(*keys, "date").agg(F.sum("amount").cast("decimal(28,2)").alias("amount")), "daily").select(
+    daily = facts.groupBy(*keys, "date").agg(F.sum("amount").cast("decimal(28,2)").alias("amount")).select(
         *keys, "date", F.lit(0).alias("_mark"), F.lit(0).cast("long").alias("_range"), "amount")
     zero = F.lit(0).cast("decimal(28,2)")
     ends = ranges.filter(F.col("start") <= F.col("end")).select(*keys, F.col(range_id).alias("_range"), F.explode(F.array(

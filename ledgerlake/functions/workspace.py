@@ -4,30 +4,27 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 @cache
-def _own_folder() -> str:
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="ledgerlake-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process (a plain local session, as in tests) may it be left unset.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A folder of its own for one run."""
     return f"{shared_folder(spark)}/ledgerlake/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder.
-
-    For small aggregates that a report reads more than once: the large scan behind them runs once, and
-    the table survives the loss of executors.
-    """
-    path = fresh_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.filters import ProductFilter
 from ledgerlake.functions.labels import product_label
 from ledgerlake.functions.prefix import block, magnitude, running_totals
-from ledgerlake.functions.workspace import materialize
 from ledgerlake.operators.ledger import MONEY, money
 
 ALL_PRODUCTS = ProductFilter()
@@ -100,13 +99,14 @@ def xyz(layers: DataFrame, products: DataFrame, where: ProductFilter = ALL_PRODU
     """
     sums = layers.filter(F.col("remaining_value").isNotNull()).groupBy("product_id", "company_id").agg(
         money(F.sum("remaining_qty")).alias("current_stock"), money(F.sum("remaining_value")).alias("stock_value"))
-    rows = materialize(_labelled(sums, products, True).filter(where.predicate()), "values")
+    rows = _labelled(sums, products, True).filter(where.predicate())
     total = rows.agg(F.sum("stock_value")).scalar()
     rows = rows.withColumn("stock_percentage", _percent(F.col("stock_value"), F.coalesce(total, F.lit(0))))
     out = running_totals(
         rows, [], [F.col("stock_value").desc(), F.col("product_id"), F.col("company_id")],
         {"cumulative_percentage": F.col("stock_percentage")}, {"size": magnitude("stock_value")},
-        {"value": F.col("stock_value"), "products": block("product_id")}, descending=("size", "value"))
+        {"hundreds": F.floor(F.col("stock_value") / 256), "value": F.col("stock_value"), "products": block("product_id")},
+        descending=("size", "hundreds", "value"))
     out = out.withColumn("cumulative_percentage", F.col("cumulative_percentage").cast(MONEY)).withColumn(
         "xyz_classification", share_class(F.col("cumulative_percentage")))
     return out.filter(F.col("xyz_classification") == keep) if keep else out
@@ -118,12 +118,12 @@ def fsn_xyz(moves: DataFrame, layers: DataFrame, products: DataFrame, warehouses
     valued = layers.filter(F.col("remaining_value").isNotNull()).select(F.col("stock_move_id").alias("id"), "remaining_qty", "remaining_value")
     sums = moves.filter(F.col("state") == "done").join(valued, "id").groupBy("product_id", "company_id").agg(
         money(F.sum("remaining_qty")).alias("current_stock"), money(F.sum("remaining_value")).alias("stock_value"), *_fsn_measures(start, end))
-    rows = _with_warehouses(materialize(_fsn(_labelled(sums, products, True)).filter(where.predicate()), "stock"), warehouses, where)
+    rows = _with_warehouses(_fsn(_labelled(sums, products, True)).filter(where.predicate()), warehouses, where)
     total = rows.agg(F.sum("stock_value")).scalar()
     rows = rows.withColumn("stock_percentage", _percent(F.col("stock_value"), F.coalesce(total, F.lit(0))))
     per_value = rows.groupBy("stock_value").agg(F.sum("stock_percentage").alias("_p"))
     upto = running_totals(per_value, [], [F.col("stock_value").desc()], {"cumulative_percentage": F.col("_p")},
-                          {"size": magnitude("stock_value")}, {"value": F.floor("stock_value")}, descending=("size", "value"))
+                          {"size": magnitude("stock_value")}, {"hundreds": F.floor(F.col("stock_value") / 256)}, descending=("size", "hundreds"))
     out = rows.join(upto.select("stock_value", F.col("cumulative_percentage").cast(MONEY).alias("cumulative_percentage")), "stock_value")
     out = out.withColumn("xyz_classification", share_class(F.col("cumulative_percentage")))
     out = out.withColumn("combined_classification", F.concat(F.substring("fsn_classification", 1, 1), F.col("xyz_classification"))).select(
@@ -161,7 +161,6 @@ def stock_ageing(moves: DataFrame, layers: DataFrame, products: DataFrame, asof:
             .withColumn("days_since_receipt", F.datediff(F.lit(asof), "receipt_date"))
             .withColumn("current_value", (F.col("qty_available") * price).cast(MONEY))
             .withColumn("prev_value", (F.col("prev_qty_available") * price).cast(MONEY)))
-    rows = materialize(rows, "ageing")
     totals = rows.agg(F.struct(F.sum("qty_available").alias("q"), F.sum("current_value").alias("v"))).scalar()
     return rows.select(
         "product_id", "product_label", "category", "company_id", "qty_available", "prev_qty_available", "receipt_date",
@@ -266,7 +265,6 @@ def over_stock(moves: DataFrame, products: DataFrame, warehouses: DataFrame | No
     rows = first.select("product_id", "r.*")
     rows = rows.withColumn("over_stock_qty", F.round(F.col("virtual_stock") - F.col("ads") * horizon, 0).cast(MONEY))
     rows = rows.withColumn("over_stock_value", (F.col("over_stock_qty") * F.col("standard_price")).cast("decimal(20,2)"))
-    rows = materialize(rows, "over-stock")
     totals = rows.agg(F.struct(F.sum("over_stock_qty").alias("q"), F.sum("over_stock_value").alias("v"))).scalar()
     rows = rows.select(
         *_POSITION, "over_stock_qty", _percent(F.col("over_stock_qty"), totals.getField("q")).alias("over_stock_qty_percentage"),
@@ -283,7 +281,6 @@ def out_of_stock(moves: DataFrame, products: DataFrame, warehouses: DataFrame |
     missing = F.greatest(F.lit(horizon).cast("decimal(18,2)") - cover.cast("decimal(24,2)"), F.lit(0).cast("decimal(24,2)"))
     rows = rows.withColumn("_missing", missing.cast("decimal(24,2)"))
     rows = rows.withColumn("out_of_stock_qty", F.round(F.col("_missing") * F.col("ads"), 0).cast(MONEY))
-    rows = materialize(rows, "out-of-stock")
     total = rows.agg(F.sum("out_of_stock_qty")).scalar()
     return rows.select(
         *_POSITION, F.round("_missing", 0).cast(MONEY).alias("out_of_stock_days"),

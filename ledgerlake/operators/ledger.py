@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import INITIAL, STRICT, LedgerFilter, display_account, states
 from ledgerlake.functions.labels import ledger_display_name
-from ledgerlake.functions.prefix import block, row_numbers, running_totals
-from ledgerlake.functions.workspace import materialize
+from ledgerlake.functions.prefix import block, documents, row_numbers, running_totals
 
 MONEY = "decimal(18,2)"
 PAGE_SIZE = 20
@@ -72,7 +71,7 @@ def trial_balance_periods(lines: DataFrame, accounts: DataFrame, start: date, en
     One pass over the ledger. With ``carry_profit_to`` (the account type that collects the current
     year's earnings) the opening amounts of income and expense accounts move to that account (A3).
     """
-    base = materialize(_opening_and_period(where.apply(lines, accounts), ["account_id"], start, end), "accounts")
+    base = _opening_and_period(where.apply(lines, accounts), ["account_id"], start, end)
     cols = ["initial_debit", "initial_credit", "debit", "credit"]
     chart = accounts.select(F.col("id").alias("account_id"), "code", F.col("name"), "account_type", "internal_group")
     if carry_profit_to:
@@ -122,16 +121,20 @@ def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, w
     """Ledger lines per account with a running balance, optionally led by an opening row (A4).
 
     ``sort_by`` is ``date`` (date, move) or ``journal_partner`` (journal code, partner name, move).
-    Accounts to show: ``movement`` needs at least one row, ``not_zero`` a closing balance.
+    Accounts to show: ``movement`` needs at least one row, ``not_zero`` a closing balance; ``all`` also lists
+    accounts without lines, by one row without a line.
     """
     base = ["move_id", "account_id", "date", "journal_id", "partner_id", *_GL[5:]]
-    detail = where.apply(lines, accounts).select(F.col("id").alias("line_id"), *base).withColumn("opening", F.lit(False))
-    if initial_balance and where.date_from:
+    opened = initial_balance and where.date_from
+    # With an opening row the detail starts at its day: earlier lines are in the opening already.
+    inside = replace(where, mode=STRICT) if opened else where
+    detail = inside.apply(lines, accounts).select(F.col("id").alias("line_id"), *base).withColumn("opening", F.lit(False))
+    if opened:
         # The opening row takes part in the running balance as the first row of its account.
         before = replace(where, mode=INITIAL, date_to=None).apply(lines, accounts)
         detail = detail.unionByName(_opening_rows(before, where.date_from).select(*detail.columns))
     delta = {"running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)}
-    fine = {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("line_id")}
+    fine = documents(line="line_id")
     if sort_by == "date":
         # Names are attached afterwards: the totals need neither journal nor partner.
         order = [F.col("date"), F.col("move_id"), F.col("line_id")]
@@ -142,13 +145,19 @@ def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, w
             {"_journal": F.coalesce("journal_code", F.lit("")), "_partner": F.coalesce("partner_name", F.lit(""))})
         order = [F.col("_journal"), nameless, F.col("_partner"), F.col("move_id"), F.col("line_id")]
         # A missing partner sorts last, as in the order itself; the opening row has no journal and sorts first.
-        coarse = {"journal": F.col("_journal"), "nameless": nameless, "partner": F.col("_partner")}
-        run = running_totals(detail, ["account_id"], order, delta, coarse, fine)
+        coarse = {"journal": F.col("_journal"), "nameless": nameless}
+        names = {f"partner{n}": F.substring("_partner", 1, n) for n in (3, 6, 9)} | {"partner": F.col("_partner")}
+        run = running_totals(detail, ["account_id"], order, delta, coarse, names | fine)
     body = run.select("line_id", "account_id", F.when(~F.col("opening"), F.col("date")).alias("date"), *_GL[3:],
                       F.col("running_balance").cast(MONEY).alias("running_balance"))
     if show == "not_zero":
         closing = body.groupBy("account_id").agg(F.sum(F.col("debit") - F.col("credit")).alias("_b")).filter(F.round("_b", 2) != 0)
         body = body.join(closing.select("account_id"), "account_id", "left_semi").select(*body.columns)
+    if show == "all":
+        chosen = accounts.filter(F.col("id").isin(list(where.account_ids))) if where.account_ids else accounts
+        idle = chosen.select(F.col("id").alias("account_id")).join(body.select("account_id").distinct(), "account_id", "left_anti")
+        amounts = ("amount_currency", "debit", "credit", "running_balance")
+        body = body.unionByName(idle.select("account_id", *[F.lit(0).cast(MONEY).alias(c) for c in amounts]), allowMissingColumns=True)
     return body
 
 
@@ -179,7 +188,7 @@ def ledger_page(lines: DataFrame, accounts: DataFrame, journals: DataFrame, acco
     order = [F.col("date"), F.col("move_id"), F.col("id")]
     run = running_totals(chosen, ["account_id"], order,
                          {"row_no": F.lit(1).cast("long"), "running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)},
-                         {"day": F.col("date")}, {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("id")})
+                         {"day": F.col("date")}, documents())
     first = page * page_size
     rows = run.filter(F.col("row_no").between(first + 1, first + page_size))
     j = journals.select(F.col("id").alias("journal_id"), F.col("code").alias("journal_code"))
@@ -249,10 +258,10 @@ def journal_audit(lines: DataFrame, journals: DataFrame, accounts: DataFrame, wh
     base = where.apply(lines, accounts).filter(F.col("parent_state").isin(states(target_move)))
     if sort_by == "date":
         order, coarse = [F.col("date"), F.col("move_id"), F.col("id")], {"day": F.col("date")}
-        fine = {"moves": block("move_id"), "move": F.col("move_id"), "lines": block("id")}
+        fine = documents()
     else:
-        order, coarse = [F.col("move_name"), F.col("id")], {"name": F.substring("move_name", 1, 8)}
-        fine = {"name": F.col("move_name"), "lines": block("id")}
+        order, coarse = [F.col("move_name"), F.col("id")], {"start": F.substring("move_name", 1, 4)}
+        fine = {f"name{n}": F.substring("move_name", 1, n) for n in (8, 11, 14)} | {"name": F.col("move_name"), "lines": block("id")}
     numbered = row_numbers(base, "sort_no", order, coarse, fine, keys=["journal_id"])
     j = journals.select(F.col("id").alias("journal_id"), F.col("code").alias("journal_code"))
     a = accounts.select(F.col("id").alias("account_id"), F.col("code").alias("account_code"))
@@ -266,18 +275,23 @@ def journal_totals(lines: DataFrame, accounts: DataFrame, where: LedgerFilter, t
     return base.groupBy("journal_id").agg(*sums("debit", "credit"))
 
 
-def payment_accounts(lines: DataFrame, journals: DataFrame, kind: str) -> DataFrame:
-    """Accounts that the lines of cash (or bank) journals post to."""
+def payment_accounts(lines: DataFrame, journals: DataFrame, kind: str, journal_accounts: DataFrame | None = None) -> DataFrame:
+    """Accounts of the cash (or bank) journals: their payment accounts (journal_id, account_id) if given, else what their lines post to."""
     chosen = journals.filter(F.col("type") == kind).select(F.col("id").alias("journal_id"))
-    return lines.join(chosen, "journal_id", "left_semi").select("account_id").distinct()
+    return (lines if journal_accounts is None else journal_accounts).join(chosen, "journal_id", "left_semi").select("account_id").distinct()
 
 
 def liquidity_book(lines: DataFrame, accounts: DataFrame, journals: DataFrame, where: LedgerFilter, kind: str = "bank",
                    partners: DataFrame | None = None, account_types: tuple[str, ...] = ("asset_cash",),
-                   initial_balance: bool = True) -> DataFrame:
-    """Cash book or bank book: the general ledger of the accounts behind such journals."""
-    typed = accounts.filter(F.col("account_type").isin(list(account_types))).select(F.col("id").alias("account_id"))
-    used = payment_accounts(lines, journals, kind).join(typed, "account_id", "left_semi")
+                   initial_balance: bool = True, journal_accounts: DataFrame | None = None) -> DataFrame:
+    """Cash book or bank book: the general ledger of the accounts behind such journals.
+
+    With ``journal_accounts`` those are the journals' payment accounts, of whatever type.
+    """
+    used = payment_accounts(lines, journals, kind, journal_accounts)
+    if journal_accounts is None:
+        typed = accounts.filter(F.col("account_type").isin(list(account_types))).select(F.col("id").alias("account_id"))
+        used = used.join(typed, "account_id", "left_semi")
     return general_ledger(lines.join(used, "account_id", "left_semi").select(*lines.columns), accounts, journals, where, partners,
                           initial_balance)
 
@@ -303,7 +317,7 @@ def consolidated_journals(lines: DataFrame, where: LedgerFilter, accounts: DataF
     ``level`` is ``account``, ``journal`` or ``total``.
     """
     base = where.apply(lines, accounts).withColumn("month", F.trunc("date", "month"))
-    cells = materialize(base.groupBy("month", "journal_id", "account_id", "company_id").agg(*sums("debit", "credit")), "months")
+    cells = base.groupBy("month", "journal_id", "account_id", "company_id").agg(*sums("debit", "credit"))
     nothing = [F.lit(None).cast("long").alias(c) for c in ("journal_id", "account_id", "company_id")]
     month = [F.date_format("month", "MM").alias("month"), F.date_format("month", "yyyy").alias("year")]
     no_month = [F.lit(None).cast("string").alias(c) for c in ("month", "year")]

@@ -38,6 +38,8 @@ def practical_amounts(budget_lines: DataFrame, analytic_lines: DataFrame, ledger
         booked = ledger_lines.select(none.alias("analytic"), F.col("account_id").alias("account"), "date",
                                      (F.col("credit") - F.col("debit")).cast(MONEY).alias("amount"))
         facts = facts.unionByName(booked)
+    if window:
+        facts = facts.filter(F.col("date").between(F.lit(window[0]), F.lit(window[1])))
     sums = range_sums(facts, ranges, ["analytic", "account"], "id").withColumnRenamed("amount", "_amount")
     return budget_lines.join(sums, "id", "left").withColumn("practical_amount", money(F.col("_amount"))).drop("_amount")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import KPI_POINTS, kpi_point
-from ledgerlake.functions.prefix import block, row_numbers
+from ledgerlake.functions.prefix import block, documents, row_numbers
 from ledgerlake.operators.inventory import _level
 from ledgerlake.operators.ledger import MONEY, money
 
@@ -35,9 +35,8 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
     if numbered:
         # Numbered while still narrow: every later join keeps the rows as they are.
         order = [F.col("request_date").desc(), F.col("requisition_id").desc(), F.col("line_id").desc()]
-        rows = row_numbers(rows, "row_no", order, {"day": F.col("request_date")},
-                           {"requisitions": block("requisition_id"), "requisition": F.col("requisition_id"), "lines": block("line_id")},
-                           descending=("day", "requisitions", "requisition", "lines"))
+        rows = row_numbers(rows, "row_no", order, {"day": F.to_date("request_date")}, {"time": F.col("request_date")} | documents("requisition_id", "line_id"),
+                           descending=("day", "time", "documents", "lines"))
     rows = (rows.join(po, ["requisition_id", "product_id"], "left")
             .join(received, ["product_id", "po_number"], "left")
             .join(issued, "product_id", "left")
@@ -83,8 +82,8 @@ def direct_issues(moves: DataFrame, products: DataFrame, vehicles: DataFrame, co
     p = products.select(F.col("id").alias("product_id"), price.alias("unit_price"))
     v = vehicles.select(F.col("id").alias("car_id"), "vin_sn")
     issued = issued.select(F.col("id").alias("move_id"), "picking_id", F.col("date").alias("issue_date"), "car_id", "department_id", "product_id", "qty")
-    rows = row_numbers(issued, "row_no", [F.col("issue_date").desc(), F.col("move_id").desc()], {"day": F.col("issue_date")},
-                       {"moves": block("move_id")}, descending=("day", "moves"))
+    rows = row_numbers(issued, "row_no", [F.col("issue_date").desc(), F.col("move_id").desc()], {"day": F.to_date("issue_date")},
+                       {"time": F.col("issue_date"), "moves": block("move_id")}, descending=("day", "time", "moves"))
     return rows.join(p, "product_id").join(v, "car_id", "left").select(
         "row_no", "move_id", "picking_id", "issue_date", "car_id", "vin_sn", "department_id", "product_id",
         F.col("qty").alias("issued_qty"), "unit_price", (F.col("qty") * F.col("unit_price")).cast("decimal(20,2)").alias("total_value"))

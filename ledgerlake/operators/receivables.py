@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import states
 from ledgerlake.functions.labels import month_name, partner_label
-from ledgerlake.functions.workspace import materialize
 from ledgerlake.operators.ledger import MONEY, money, sum_if, sums
 
 RECEIVABLE, PAYABLE = "asset_receivable", "liability_payable"
@@ -129,7 +128,6 @@ def aged_buckets(lines: DataFrame, accounts: DataFrame, partials: DataFrame, par
     names = partners.select(F.col("id").alias("partner_id"), F.col("name").alias("partner_name"))
     out = per.join(names, "partner_id").select("partner_id", "partner_name", *ranges, "total", "line_count")
     if with_total:
-        out = materialize(out, "ageing")
         total = out.agg(*sums(*ranges, "total"), F.sum("line_count").alias("line_count")).select(
             F.lit(None).cast("long").alias("partner_id"), F.lit("Total").alias("partner_name"), *ranges, "total", "line_count")
         out = out.unionByName(total)

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import LedgerFilter
 from ledgerlake.functions.labels import strip_symbols
-from ledgerlake.functions.periods import Period
-from ledgerlake.functions.workspace import materialize
+from ledgerlake.functions.periods import Period, span
 from ledgerlake.operators.ledger import MONEY, money
 
 # Account types behind the statement figures.
@@ -50,7 +49,7 @@ def node_closure(nodes: DataFrame) -> DataFrame:
           SELECT id, id, 1 FROM {nodes}
           UNION ALL
           SELECT r.node_id, e.dst, r.coef * e.coef FROM reach r JOIN {edges} e ON e.src = r.leaf_id)
-        SELECT node_id, leaf_id, coef FROM reach""", nodes=nodes, edges=materialize(down.unionByName(across), "edges"))
+        SELECT node_id, leaf_id, coef FROM reach""", nodes=nodes, edges=down.unionByName(across))
 
 
 def leaf_accounts(nodes: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -64,6 +63,7 @@ def leaf_accounts(nodes: DataFrame, accounts: DataFrame) -> DataFrame:
 def account_periods(lines: DataFrame, periods: list[Period]) -> DataFrame:
     """Debit, credit and balance of each account in each period, from one scan."""
     columns = []
+    lines = lines.filter(span(periods))
     for i, p in enumerate(periods):
         inside = F.col("date") <= F.lit(p.end)
         if p.start:
@@ -85,7 +85,7 @@ def financial_report(lines: DataFrame, accounts: DataFrame, nodes: DataFrame, wh
     Leaf nodes with detail are followed by their accounts that have amounts. Present by ``sort_path``.
     """
     names = _measures(len(periods))
-    amounts = materialize(account_periods(where.apply(lines, accounts), periods), "accounts")
+    amounts = account_periods(where.apply(lines, accounts), periods)
     leaves = leaf_accounts(nodes, accounts)
     per_leaf = leaves.join(amounts, "account_id").groupBy("leaf_id").agg(*[F.sum(n).alias(n) for n in names])
     values = node_closure(nodes).join(per_leaf, "leaf_id").groupBy("node_id").agg(

@@ -49,14 +49,18 @@ def test_filters_and_columns_reach_a_ledger_scan(spark, accounts, tmp_path):
     assert set(re.findall(r"(\w+):", found["ReadSchema"])) <= {"account_id", "date", "debit", "credit", "parent_state", "display_type"}
 
 
+def ledger_scans(df) -> int:
+    """Scans of the written ledger in the plan before execution: by its columns, since long paths are cut off."""
+    return len([s for s in re.findall(r"ReadSchema: struct<([^>]*)", formatted(df)) if "account_id:" in s and ("debit:" in s or "balance:" in s)])
+
+
 def test_ageing_reads_the_ledger_once(spark, accounts, tmp_path):
     lines = written_ledger(spark, tmp_path)
     t = Testbed(spark, SF_DIR)
-    text = plan(rec.aged_balance(lines, accounts, t.partial, t.partner, rec.AgeingParams(asof=END)))
-    assert len(re.findall(r"FileScan parquet[^\n]*/ledger", text)) == 1
+    assert ledger_scans(rec.aged_balance(lines, accounts, t.partial, t.partner, rec.AgeingParams(asof=END))) == 1
 
 
 def test_running_balance_shuffles_rows_by_cell(spark, accounts, journals, tmp_path):
     lines = written_ledger(spark, tmp_path)
     text = plan(gl.general_ledger(lines, accounts, journals, LedgerFilter(date_from=START, date_to=END)))
-    assert re.search(r"hashpartitioning\(account_id#\d+L, _c_day#\d+", text)
+    assert re.search(r"hashpartitioning\(_k#\d+, _l0#\d+, _l1#\d+, _l2#\d+", text)
