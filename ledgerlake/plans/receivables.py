@@ -41,8 +41,8 @@ def _(t):
     return _aged(t)
 
 
-_B2 = f"""SELECT id AS line_id, partner_id, due, CAST(amount AS DOUBLE) AS amount, {_K} AS period FROM opened WHERE amount <> 0
-    AND partner_id IN (SELECT partner_id FROM opened WHERE listed)"""
+_B2 = f"""SELECT id AS line_id, partner_id, due, CAST(amount AS DOUBLE) AS amount, {_K} AS period FROM (
+    SELECT *, BOOL_OR(listed) OVER (PARTITION BY partner_id) AS any_listed FROM opened) WHERE amount <> 0 AND any_listed"""
 
 
 @FAMILY.query("b2_aged_lines", sql("move_line account partial", _B2, **_CTES))
@@ -238,9 +238,9 @@ def _(t):
          WHEN total_due > 0 AND next_reminder_date <= DATE '{D}' THEN 'in_need_of_action' ELSE 'no_action_needed' END AS followup_status
     FROM (SELECT partner_id, SUM(amount_residual) AS total_due, SUM(CASE WHEN DATE '{D}' > invoice_date_due THEN amount_residual ELSE 0 END) AS total_overdue,
       MIN(invoice_date_due) + (SELECT MIN(delay) FROM level) AS next_reminder_date FROM invoice
-      WHERE move_type = 'out_invoice' AND state = 'posted' AND amount_residual > 0 AND invoice_date_due >= DATE '1998-06-01' GROUP BY partner_id)"""))
+      WHERE move_type = 'out_invoice' AND state = 'posted' AND amount_residual > 0 GROUP BY partner_id)"""))
 def _(t):
-    unpaid = t.invoice.filter("move_type = 'out_invoice' AND state = 'posted' AND amount_residual > 0 AND invoice_date_due >= DATE'1998-06-01'")
+    unpaid = t.invoice.filter("move_type = 'out_invoice' AND state = 'posted' AND amount_residual > 0")
     return op.followup_status(unpaid, t.level, D)
 
 

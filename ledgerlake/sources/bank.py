@@ -6,6 +6,7 @@ one task. Parsers turn record text into statement lines; a line that cannot be t
 """
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,21 +58,30 @@ def parse_csv(records: DataFrame, partners: DataFrame, today: date) -> DataFrame
                        F.lit("csv file").alias("payment_ref"), reason.alias("reject_reason"))
 
 
+# Character references of the format; the ampersand itself comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
 def _tag(name: str) -> Column:
-    return F.trim(F.regexp_extract("value", f"<{name}>([^<\r\n]*)", 1))
+    text = F.regexp_extract("value", f"<{name}>([^<\r\n]*)", 1)
+    return F.trim(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text))
 
 
 def parse_ofx(records: DataFrame, partners: DataFrame, today: date) -> DataFrame:
-    """Debit and credit transactions of OFX blocks with an amount other than zero (S3)."""
+    """Debit and credit transactions of OFX blocks with an amount other than zero (S3).
+
+    An amount that is no number or a date that is none is kept with a reason.
+    """
     rows = records.filter(F.col("value").contains("<STMTTRN>"))
     bank = records.filter(F.col("value").contains("<BANKID>")).groupBy("file").agg(F.max(_tag("BANKID")).alias("name"))
     posted = F.substring(_tag("DTPOSTED"), 1, 8)
-    rows = rows.select("file", F.lower(_tag("TRNTYPE")).alias("kind"), _tag("TRNAMT").try_cast(MONEY).alias("amount"),
-                       F.when(posted == "", F.lit(today)).otherwise(F.to_date(posted, "yyyyMMdd")).alias("date"), _tag("NAME").alias("partner_name"))
-    rows = rows.filter(F.col("kind").isin("debit", "credit") & (F.col("amount") != 0))
+    rows = rows.select("file", F.lower(_tag("TRNTYPE")).alias("kind"), _tag("TRNAMT").try_cast(MONEY).alias("amount"), posted.alias("_d"), _tag("NAME").alias("partner_name"))
+    rows = rows.withColumn("date", F.when(F.col("_d") == "", F.lit(today)).otherwise(F.expr("try_to_date(_d, 'yyyyMMdd')")))
+    rows = rows.filter(F.col("kind").isin("debit", "credit") & F.coalesce(F.col("amount") != 0, F.lit(True)))
     rows = rows.join(_by_name(partners), "partner_name", "left").join(bank, "file", "left")
     return rows.select("name", "amount", "date", "partner_id", "partner_name", F.lit("ofx file").alias("payment_ref"),
-                       F.when(F.col("partner_id").isNull(), "partner unknown").alias("reject_reason"))
+                       F.when(F.col("amount").isNull(), "amount not a number").when(F.col("date").isNull(), "date not a date")
+                       .when(F.col("partner_id").isNull(), "partner unknown").alias("reject_reason"))
 
 
 def _line(letter: str) -> Column:
@@ -79,11 +89,15 @@ def _line(letter: str) -> Column:
 
 
 def parse_qif(records: DataFrame, partners: DataFrame, today: date) -> DataFrame:
-    """Lines of QIF records from their date, amount and payee (S4); records without amount or payee are left out."""
+    """Lines of QIF records from their date, amount and payee.
+
+    A record without amount or payee, or with an amount or date that cannot be read, is kept with a reason; amounts of zero are left out.
+    """
     rows = records.select(F.regexp_replace("value", "\r", "").alias("value")).filter(F.trim(F.regexp_replace("value", "\n", "")) != "")
-    rows = rows.select(_line("D").alias("_d"), _line("T").try_cast(MONEY).alias("amount"), _line("P").alias("partner_name"))
-    rows = rows.filter((F.coalesce("amount", F.lit(0)) != 0) & (F.col("partner_name") != ""))
+    rows = rows.select(_line("D").alias("_d"), _line("T").alias("_t"), _line("P").alias("partner_name")).filter(F.concat("_d", "_t", "partner_name") != "")
+    rows = rows.withColumn("amount", F.col("_t").try_cast(MONEY)).filter(F.coalesce(F.col("amount") != 0, F.lit(True)))
     rows = rows.join(_by_name(partners), "partner_name", "left")
-    day = F.when(F.col("_d") == "", F.lit(today)).otherwise(F.to_date("_d", "dd/MM/yyyy"))
+    day = F.when(F.col("_d") == "", F.lit(today)).otherwise(F.expr("try_to_date(_d, 'dd/MM/yyyy')"))
     return rows.select("amount", day.alias("date"), "partner_id", "partner_name", F.lit("qif file").alias("payment_ref"),
-                       F.when(F.col("partner_id").isNull(), "partner unknown").alias("reject_reason"))
+                       F.when(F.col("_t") == "", "amount missing").when(F.col("amount").isNull(), "amount not a number").when(day.isNull(), "date not a date")
+                       .when(F.col("partner_name") == "", "payee missing").when(F.col("partner_id").isNull(), "partner unknown").alias("reject_reason"))

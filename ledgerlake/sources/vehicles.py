@@ -38,13 +38,29 @@ def normalise_vehicles(raw: DataFrame, header: bool = True) -> DataFrame:
     return out.filter(F.coalesce(*FIELDS).isNotNull())
 
 
-def parse_feed(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Vehicles of JSON feed documents, which are a list or hold one under ``body``."""
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Feed documents as (value): one JSON document a line."""
+    return spark.read.text(path).filter(F.trim("value") != "")
+
+
+def _feed_items() -> Column:
     text = F.col("value")
     listed = F.from_json(text, f"array<{FEED_ITEM}>")
     wrapped = F.from_json(text, f"struct<body:array<{FEED_ITEM}>>")["body"]
-    items = F.when(F.ltrim(text).startswith("["), listed).otherwise(wrapped)
-    rows = documents.select(*keep, F.posexplode(items).alias("position", "v")).filter(~F.col("v.VIN").isNull() & (F.col("v.VIN") != ""))
+    return F.when(F.ltrim(text).startswith("["), listed).otherwise(wrapped)
+
+
+def feed_rejects(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Feed documents that hold no list of vehicles, and entries without a VIN, with the reason."""
+    items = documents.select(*keep, "value", _feed_items().alias("_items"))
+    bad = items.filter(F.col("_items").isNull()).select(*keep, F.lit(None).cast("int").alias("position"), "value", F.lit("no list of vehicles").alias("reject_reason"))
+    entries = items.select(*keep, F.posexplode("_items").alias("position", "v")).filter(F.coalesce(F.col("v.VIN"), F.lit("")) == "")
+    return bad.unionByName(entries.select(*keep, "position", F.to_json("v").alias("value"), F.lit("VIN missing").alias("reject_reason")))
+
+
+def parse_feed(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Vehicles of JSON feed documents, which are a list or hold one under ``body``."""
+    rows = documents.select(*keep, F.posexplode(_feed_items()).alias("position", "v")).filter(~F.col("v.VIN").isNull() & (F.col("v.VIN") != ""))
     parts = F.array(*[F.col(f"v.{c}") for c in ("year", "make", "model", "trim")])
     title = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
     return rows.select(*keep, "position", F.coalesce("v.car_id", F.lit("")).alias("car_id"), F.col("v.VIN").alias("vin_sn"), title.alias("title_en"))

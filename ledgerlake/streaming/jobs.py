@@ -1,6 +1,6 @@
 """Structured Streaming forms of the vehicle feed and of the day book."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,13 +21,35 @@ def daily_totals(lines: DataFrame, delay: str = "2 days") -> DataFrame:
     return per_day.select(F.to_date("window.start").alias("date"), "debit", "credit", "line_count")
 
 
+def add_daily_totals(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the day book (A24) as changes per batch and day, so that back-dated lines count and every day is there.
+
+    A batch that is run again replaces its own changes. ``read_daily_totals`` adds them up.
+    """
+    def add(batch: DataFrame, batch_id: int) -> None:
+        changes = batch.groupBy("date").agg(F.sum("debit").cast(MONEY).alias("debit"), F.sum("credit").cast(MONEY).alias("credit"),
+                                            F.count(F.lit(1)).alias("line_count"))
+        changes.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    needed = lines.select("date", "debit", "credit")
+    return needed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_daily_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Debit, credit and number of lines per day, over all batches so far."""
+    changes = spark.read.schema(f"date date, debit {MONEY}, credit {MONEY}, line_count long").parquet(folder)
+    return changes.groupBy("date").agg(F.sum("debit").cast(MONEY).alias("debit"), F.sum("credit").cast(MONEY).alias("credit"),
+                                       F.sum("line_count").alias("line_count"))
+
+
 def distinct_vins(documents: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
     """VINs of a feed without repeats inside the watermark delay, for watching arrivals."""
     return parse_feed(documents.withWatermark(event_time, delay), (event_time,)).select(event_time, "vin_sn").dropDuplicatesWithinWatermark(["vin_sn"])
 
 
-def register_feed(documents: DataFrame, register_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Append the first record of every new VIN to the register (S6 as a stream).
+def register_feed(documents: DataFrame, register_path: str, checkpoint: str, order: list[str],
+                  existing: DataFrame | None = None) -> StreamingQuery:
+    """Append the first record of every new VIN to the register (S6 as a stream); VINs of ``existing`` are known already.
 
     Each batch looks only at what earlier batches wrote and replaces its own output folder, so a batch
     that is run again after a failure gives the same register.
@@ -39,7 +61,8 @@ def register_feed(documents: DataFrame, register_path: str, checkpoint: str, ord
         known = spark.createDataFrame([], REGISTER_SCHEMA)
         if batch_id:
             known = spark.read.schema(REGISTER_SCHEMA).parquet(register_path).filter(F.col("batch") < batch_id)
-        rows = new_vehicles(batch, known, order)
+        known = known.select("vin_sn")
+        rows = new_vehicles(batch, known if existing is None else known.unionByName(existing.select("vin_sn")), order)
         rows.select(*FIELDS).write.mode("overwrite").parquet(f"{register_path}/batch={batch_id}")
 
     return vehicles.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -32,6 +32,24 @@ def test_qif_statement(spark, people, tmp_path):
         (-5.25, TODAY, 5, None), (9.0, date(2023, 1, 1), None, "partner unknown"), (2000.0, date(2023, 4, 14), 4, None)]
 
 
+def test_unreadable_records_keep_a_reason(spark, people, tmp_path):
+    (tmp_path / "a.qif").write_text("!Type:Bank\nD14/04/2023\nT1,234.50\nPAzure\n^\nD14/04/2023\nT5\n^\nD2023-04-14\nT5\nPDeco\n^\nD14/04/2023\nPDeco\n^\n")
+    out = bank.parse_qif(bank.read_qif_records(spark, str(tmp_path / "a.qif")), people, TODAY)
+    assert sorted(r.reject_reason for r in out.collect()) == ["amount missing", "amount not a number", "date not a date", "payee missing"]
+    block = "<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>{}<TRNAMT>{}<NAME>{}</STMTTRN>\n"
+    (tmp_path / "a.ofx").write_text("<BANKID>1\n" + block.format("20230230", "1", "Deco") + block.format("20230101", "5,00", "Deco") + block.format("20230101", "5", "Bob &amp; Co"))
+    pair = spark.createDataFrame([(4, "Bob & Co"), (5, "Deco")], "id long, name string")
+    out = bank.parse_ofx(bank.read_ofx_records(spark, str(tmp_path / "a.ofx")), pair, TODAY)
+    assert rows(out, "partner_id", "reject_reason") == [(4, None), (5, "amount not a number"), (5, "date not a date")]
+
+
+def test_feed_reader_and_rejects(spark, tmp_path):
+    (tmp_path / "feed.json").write_text('[{"VIN":"A"},{"make":"x"}]\n\n{broken\n{"other":1}\n')
+    docs = vehicles.read_feed(spark, str(tmp_path))
+    assert [r.vin_sn for r in vehicles.parse_feed(docs).collect()] == ["A"]
+    assert sorted(r.reject_reason for r in vehicles.feed_rejects(docs).collect()) == ["VIN missing", "no list of vehicles", "no list of vehicles"]
+
+
 def test_ofx_statement(spark, people, tmp_path):
     block = "<STMTTRN><TRNTYPE>{}<DTPOSTED>{}<TRNAMT>{}<FITID>1<NAME>{}</STMTTRN>\n"
     head = "OFXHEADER:100\n<OFX><STMTRS><BANKACCTFROM><BANKID>123<ACCTID>9</BANKACCTFROM>\n"

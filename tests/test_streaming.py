@@ -31,6 +31,15 @@ def test_daily_totals_leave_out_late_rows(spark, tmp_path):
     assert rows(got) == [(date(2024, 1, 1), 6.0, 6.0, 2), (date(2024, 1, 10), 3.0, 0.0, 2)]
 
 
+def test_back_dated_lines_count(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    for name, records in (("1.json", [{"date": "2024-01-01", "debit": 5, "credit": 0}, {"date": "2024-01-20", "debit": 1, "credit": 0}]),
+                          ("2.json", [{"date": "2024-01-01", "debit": 100, "credit": 6}])):
+        drop(inbox, name, records)
+        jobs.add_daily_totals(spark.readStream.schema(LINES).json(str(inbox)), out, state).awaitTermination()
+    assert rows(jobs.read_daily_totals(spark, out)) == [(date(2024, 1, 1), 105.0, 6.0, 2), (date(2024, 1, 20), 1.0, 0.0, 1)]
+
+
 def feed(spark, inbox):
     return spark.readStream.schema("seq long, value string, ts timestamp").json(str(inbox))
 
@@ -45,6 +54,10 @@ def test_feed_appends_each_vin_once(spark, tmp_path):
     drop(inbox, "2.json", [doc(3, "B", "C")])
     jobs.register_feed(feed(spark, inbox), register, state, ["seq", "position"]).awaitTermination()
     assert read() == [("A", "m1"), ("B", "m1"), ("C", "m3")]
+    known = spark.createDataFrame([("A",), ("Z",)], "vin_sn string")
+    other = str(tmp_path / "other")
+    jobs.register_feed(feed(spark, inbox), other, str(tmp_path / "state2"), ["seq", "position"], known).awaitTermination()
+    assert sorted(r.vin_sn for r in spark.read.schema(jobs.REGISTER_SCHEMA).parquet(other).collect()) == ["B", "C"]
 
 
 def test_distinct_vins(spark, tmp_path):
