@@ -259,6 +259,9 @@ def over_stock(moves: DataFrame, products: DataFrame, warehouses: DataFrame | No
 
     A product kept in several places is shown for its smallest (company, warehouse).
     """
+    if warehouses is not None:  # only the smallest of a company can be shown, so rows are not multiplied first
+        wanted = warehouses.filter(F.col("id").isin(list(where.warehouse_ids))) if where.warehouse_ids else warehouses
+        warehouses = wanted.groupBy("company_id").agg(F.min("id").alias("id"))
     rows = _position(moves, products, warehouses, start, end, horizon, where)
     place = F.struct("company_id", "warehouse_id")
     first = rows.groupBy("product_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "product_id"]), place).alias("r"))

@@ -16,13 +16,19 @@ def journal_taxes(lines: DataFrame, line_taxes: DataFrame, journals: DataFrame,
                   target_move: str = "all") -> DataFrame:
     """Base and tax amount per journal and tax, signs turned for sale journals."""
     chosen = where.apply(lines, accounts).filter(F.col("parent_state").isin(states(target_move)))
-    base = _base_lines(chosen, line_taxes).groupBy("journal_id", "tax_id").agg(money(F.sum("balance")).alias("base_amount"))
-    tax = chosen.filter(F.col("tax_line_id").isNotNull()).groupBy("journal_id", F.col("tax_line_id").alias("tax_id")).agg(
-        money(F.sum("balance")).alias("tax_amount"))
+    # Each line once, with what it adds as a base and as a tax line, so the ledger is read once.
+    nothing = F.lit(None).cast(MONEY)
+    part = lambda tax, base, amount: F.struct(tax.cast("long").alias("tax_id"), base.cast(MONEY).alias("base"), amount.cast(MONEY).alias("tax"))
+    none = F.array().cast("array<struct<tax_id: bigint, base: decimal(18,2), tax: decimal(18,2)>>")
+    bases = F.coalesce(F.transform("_taxes", lambda t: part(t, F.col("balance"), nothing)), none)
+    own = F.when(F.col("tax_line_id").isNotNull(), F.array(part(F.col("tax_line_id"), nothing, F.col("balance")))).otherwise(none)
+    tagged = chosen.join(line_taxes.groupBy(F.col("line_id").alias("id")).agg(F.collect_list("tax_id").alias("_taxes")), "id", "left")
+    out = tagged.select("journal_id", F.inline(F.concat(bases, own))).groupBy("journal_id", "tax_id").agg(
+        money(F.sum("base")).alias("base_amount"), money(F.sum("tax")).alias("tax_amount"), F.count("base").alias("_bases")).filter("_bases > 0")
     j = journals.select(F.col("id").alias("journal_id"), F.when(F.col("type") == "sale", -1).otherwise(1).alias("_sign"))
-    out = base.join(tax, ["journal_id", "tax_id"], "left").join(j, "journal_id")
+    out = out.join(j, "journal_id")
     return out.select("journal_id", "tax_id", (F.col("base_amount") * F.col("_sign")).cast(MONEY).alias("base_amount"),
-                      (F.coalesce("tax_amount", F.lit(0)) * F.col("_sign")).cast(MONEY).alias("tax_amount"))
+                      (F.col("tax_amount") * F.col("_sign")).cast(MONEY).alias("tax_amount"))
 
 
 def reported_taxes(taxes: DataFrame) -> DataFrame:
