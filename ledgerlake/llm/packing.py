@@ -30,8 +30,11 @@ from ledgerlake.llm.common import settle, ship, table
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 500_000
-STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
-LETTERS = re.compile(rb"[a-z]+")
+# A comma or stop after a letter (ASCII or Latin-1) and before a blank; words of such letters in lower case.
+STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# First bytes of combining marks that join ASCII letters; without them lower-casing ASCII first changes no composition.
+MARKS = re.compile(rb"[\xcc\xcd]")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -50,16 +53,18 @@ class WordEncoder:
 
     Right for tokenizers that lower-case, drop white space, never join across it, and take a run of letters as one
     unit: a text's ids are then those of its words, one after the other. Words are remembered as little-endian
-    unsigned 32-bit ids. Pure ASCII is lower-cased here already, and a comma or stop between a letter and a blank is parted
-    from its word, so that more words are alike; the ids stay the same.
+    unsigned 32-bit ids. ASCII letters are lower-cased here already, and a comma or stop between a letter and a blank is parted
+    from its word, so that more words are alike; the ids stay the same. A word of plain lower-case letters goes straight to the model.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         self.tokenizer, self.most, self.known = load_tokenizer(path), most, {}
-        self.model = self.tokenizer.model
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.as_bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __call__(self, text: bytes) -> bytes:
-        words = STOP.sub(rb" \1", text.lower() if text.isascii() else text).split()
+        words = STOP.sub(rb" \1", text if MARKS.search(text) else text.lower()).split()
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))
@@ -75,8 +80,11 @@ class WordEncoder:
         return b"".join(map(found.__getitem__, words))
 
     def encode(self, word: bytes) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.decode())] if LETTERS.fullmatch(word) else self.tokenizer.encode(
-            word.decode(), add_special_tokens=False).ids
+        if LETTERS.fullmatch(word):
+            plain = word.decode()
+            ids = [t.id for t in self.model.tokenize(plain if word.isascii() else self.as_bytes(plain)[0][0])]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
 
