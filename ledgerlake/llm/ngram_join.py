@@ -35,6 +35,7 @@ SEGMENTS = (108, 64)
 SLICE_SHINGLES = 1_000_000
 CLASS_BITS = 60
 HUB_ROUNDS = 3
+BLOCK_ENTRIES = 1024
 # Kinds of signature rows: entries of the own band (also probes of budget 1), one-deletion entries, probes of budget 2 in the own
 # band, probes of budget 1 and 2 in the band below, and what a set can spare in either band.
 ENTRY, ENTRY_DELETED, PROBE2, LOW1, LOW2, SPARE, LOW_SPARE = range(7)
@@ -255,6 +256,67 @@ def hub_pairs(probe: DataFrame, entry: DataFrame, fits, rank) -> DataFrame:
         F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
 
 
+def left_pairs(probe: DataFrame, entry: DataFrame, sketches: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """All pairs (a, b) of a probe and an entry of one key, of different components, that sizes and sketches do not rule out.
+
+    The rows of a key meet in one task, sorted, entries first; busy keys are cut into blocks of probes, each with all the entries.
+    Sketches are compared as arrays there, so that pairs which cannot be similar are never rows.
+    """
+    num, den = similarity
+    parts = entry.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ENTRIES)).cast("int").alias("parts"))
+    probe, entry = probe.join(parts, "key"), entry.join(parts, "key")
+    sides = [
+        entry.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(0).alias("role"), F.col("y").alias("rep"), F.col("cy").alias("c")),
+        probe.select("key", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("x").alias("rep"), F.col("cx").alias("c"))]
+    rows = sides[0].unionByName(sides[1]).join(sketches, "rep").select("key", "block", "role", "rep", "c", "n", "bits")
+
+    def folded(bits: list[bytes], width: int) -> np.ndarray:
+        """Sketches of at least ``width`` bytes as rows of that width."""
+        out = np.zeros((len(bits), width), np.uint8)
+        for i, b in enumerate(bits):
+            if len(b) == width:
+                out[i] = np.frombuffer(b, np.uint8)
+            else:
+                out[i] = np.packbits(np.unpackbits(np.frombuffer(b, np.uint8)).reshape(width * 8, -1).max(axis=1))
+        return out.view(np.uint64 if width % 8 == 0 else np.uint8)
+
+    def matches(entries: list[tuple], probes: list[tuple]):
+        """Pairs of one block: by the width of the entries' sketches, the smaller sets."""
+        for width in {len(e[3]) for e in entries}:
+            own = [e for e in entries if len(e[3]) == width]
+            asked = [p for p in probes if width <= len(p[3]) <= 2 * width]
+            if not asked:
+                continue
+            y, cy, ny = (np.array([e[i] for e in own], dtype=np.int64) for i in range(3))
+            held, ask = folded([e[3] for e in own], width), folded([p[3] for p in asked], width)
+            for (x, cx, nx, _), bits in zip(asked, ask):
+                near = np.flatnonzero((cy != cx) & (y != x) & (ny <= nx) & (ny * den >= nx * num))
+                if len(near):
+                    apart = np.bitwise_count(held[near] ^ bits).sum(axis=1, dtype=np.int64)
+                    for other in y[near[apart <= bound(ny[near] + nx, similarity)]]:
+                        yield min(x, int(other)), max(x, int(other))
+
+    def run(batches):
+        at, entries, probes, out = None, [], [], set()
+
+        def batch_of(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, block, role, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, block) != at:
+                    out.update(matches(entries, probes))
+                    at, entries, probes = (key, block), [], []
+                (probes if role else entries).append(tuple(row))
+            if len(out) > 100_000:
+                yield batch_of(out)
+                out = set()
+        out.update(matches(entries, probes))
+        yield batch_of(out)
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
                     plenty: tuple[int, int] = SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
@@ -320,7 +382,7 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
             pairs = hub_pairs(p, e, fits, F.col("fame") if turn == 0 else F.xxhash64(F.lit(turn), "y"))
             pairs = pairs.unionByName(clash) if turn == 0 else pairs
         else:  # all that are left between different components
-            pairs = p.join(e, "key").filter(fits & (F.col("cx") != F.col("cy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = left_pairs(p, e, sketches, similarity)
         pairs = settle(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.unionByName(pairs)
         links = overlaps(pairs, sketches, texts, width, similarity)
