@@ -19,8 +19,17 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/llm/{purpose}-{uuid.uuid4().hex}"
 
 
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a session, so that they need no copy on their path."""
+    """Sends this package to the Python workers, once a session, so that they need no copy on their path.
+
+    Rows hold whole texts, so batches to the workers are kept to fewer rows than Spark's default, unless the session asks for fewer still.
+    """
+    if int(spark.conf.get(ROWS_SETTING)) > BATCH_ROWS:
+        spark.conf.set(ROWS_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_ledgerlake_sent", False):
         return
