@@ -29,7 +29,7 @@ from ledgerlake.llm.common import settle, ship, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 # A comma or stop after a letter (ASCII or Latin-1) and before a blank; words of such letters in lower case.
 STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
