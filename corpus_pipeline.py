@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import settle, table
 from ledgerlake.llm.exact_dedup import dedup
-from ledgerlake.llm.language_id import UNKNOWN, fit, language_id
+from ledgerlake.llm.language_id import fit, language_id
 from ledgerlake.llm.ngram_join import similar_classes
 from ledgerlake.llm.packing import pack
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. Learns from the labelled rows of ``docs``."""
-    return language_id(docs, fit(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Drops documents without a language: null texts and texts without a letter. Learns from the labelled rows of ``docs``.
+
+    Lettered texts stay, also if nothing could be learned or ``und`` is among the labels.
+    """
+    return language_id(docs, fit(docs), only_lettered=True).select(*docs.columns)
 
 
 def keep_by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:

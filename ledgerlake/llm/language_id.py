@@ -51,6 +51,11 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def lettered(column: pa.Array) -> np.ndarray:
+    """Which texts hold a letter; null does not."""
+    return np.array([bool(LETTER.search(v.as_py() or "")) for v in column], dtype=bool)
+
+
 def features(data: np.ndarray) -> np.ndarray:
     """Frequencies of the n-grams of one text."""
     out = np.zeros(2 << BITS, dtype=np.float64)
@@ -143,7 +148,7 @@ class Model:
                 of = family == f
                 lang[of] = np.array([self.langs.index(x) for x in own])[best[of]]
                 score[of] = (sure * within)[of]
-        known = np.array([bool(self.langs) and bool(LETTER.search(t)) if (t := v.as_py()) else False for v in column], dtype=bool)
+        known = lettered(column) & bool(self.langs)
         return [self.langs[i] if k else UNKNOWN for i, k in zip(lang, known)], np.where(known, score, 0.0)
 
 
@@ -175,11 +180,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: dict
                  FAMILY_OF if families is None else families)
 
 
-def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def language_id(docs: DataFrame, model: Model, text: str = "text", only_lettered: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced).
 
     Only the text decides, all of it. Null, empty or letterless texts are ``und`` with score 0; so is everything if
-    nothing could be learned. Equal texts get equal predictions. An empty table gives an empty result.
+    nothing could be learned. Equal texts get equal predictions. An empty table gives an empty result. ``only_lettered``
+    leaves out null and letterless texts, whatever was learned.
     """
     docs = docs.drop("lang_pred", "score")
     ship(docs.sparkSession)
@@ -189,6 +195,8 @@ def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def predict(batches):
         for batch in batches:
+            if only_lettered:
+                batch = batch.filter(pa.array(lettered(batch.column(place)), pa.bool_()))
             langs, scores = shared.value.predict(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, "lang_pred", "score"])

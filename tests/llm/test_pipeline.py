@@ -1,8 +1,11 @@
 import corpus_pipeline
+import pytest
 from data import awkward, classes, frame
+from pyspark.sql import functions as F
 from test_packing import check
 
 from ledgerlake.llm.common import settle
+from ledgerlake.llm.language_id import held_out
 
 
 def lower(text):
@@ -37,3 +40,15 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, str(tmp_path)), "stage")
     assert docs.count() == 0
+
+
+# Nothing to learn from; the label that also stands for unknown; labels in held-out rows only.
+@pytest.mark.parametrize("lang", [None, "und", "held out"])
+def test_lettered_texts_stay_whatever_was_learned(spark, tmp_path, lang):
+    rows = awkward()
+    docs = frame(spark, rows, lang)
+    if lang == "held out":
+        docs = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), "en"))
+    lettered = {i: t for i, t in rows if t and any(c.isalpha() for c in t)}
+    after = corpus_pipeline.stage_language_id(spark, docs, str(tmp_path))
+    assert after.columns == docs.columns and {r.doc_id: r.text for r in after.collect()} == lettered
