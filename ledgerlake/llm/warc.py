@@ -24,7 +24,7 @@ from ledgerlake.llm.common import new_folder, settle, ship, table
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
-# What lies between two records; a payload that holds it is sent in chunks cut inside it.
+# What lies between two records; a payload that forms it, also with the blank lines around it, is sent in chunks cut inside it.
 BETWEEN = END.encode() + VERSION
 PAGE = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,21 +40,22 @@ def digest_of(payload: bytes) -> str:
 def http_message(payload: bytes) -> bytes:
     """The response with its body; in chunks if the body could be taken for the end of a record."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if BETWEEN not in payload:
+    placed = END.encode() + payload + END.encode()
+    if BETWEEN not in placed:
         return head + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-    cuts = [m.start() + len(END) + 2 for m in re.finditer(b"(?=" + re.escape(BETWEEN) + b")", payload)]
+    cuts = [m.start() + 2 for m in re.finditer(b"(?=" + re.escape(BETWEEN) + b")", placed)]  # after WA of the payload
     chunks = [payload[a:b] for a, b in zip([0, *cuts], [*cuts, len(payload)])]
     return head + b"Transfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in chunks if c) + b"0\r\n\r\n"
 
 
-def record(page_id: int, url: str | None, captured: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, captured: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record without the blank lines that end it."""
     if refers_to is None:
         block, kind = http_message(payload), [("WARC-Type", "response")]
     else:  # the original's header, which tells its length, without the body
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         kind = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{PAGE}{refers_to}>")]
-    fields = [*kind, ("WARC-Record-ID", f"<{PAGE}{page_id}>"), ("WARC-Date", captured),
+    fields = [*kind, ("WARC-Record-ID", f"<{PAGE}{'' if page_id is None else page_id}>"), ("WARC-Date", captured),
               ("WARC-Target-URI", quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
               ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
@@ -83,7 +84,7 @@ def parse(raw: bytes, archive: str) -> tuple:
     block = rest[:int(fields["Content-Length"])]
     http, _, body = block.partition(b"\r\n\r\n")
     http_fields = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
-    number = lambda k: int(fields[k].removeprefix(f"<{PAGE}").removesuffix(">"))
+    number = lambda k: int(i) if (i := fields[k].removeprefix(f"<{PAGE}").removesuffix(">")) else None
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if kind == "response":
         payload = unchunk(body) if http_fields.get("Transfer-Encoding") == "chunked" else body
@@ -143,17 +144,17 @@ def first_captures(pages: DataFrame, payload: Column, least_bytes: int) -> DataF
                           F.sha2(payload, 256).alias("_sha256")).filter(F.col("_n") >= least_bytes)
     same = ["_n", "_sha1", "_sha256"]
     firsts = narrow.groupBy(*same).agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").drop("_rows")
-    return narrow.join(firsts, same).filter("page_id <> refers_to").select("page_id", "_sha256", "refers_to").distinct()
+    return narrow.join(firsts, same).filter("refers_to IS NOT NULL AND NOT page_id <=> refers_to").select("page_id", "_sha256", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, captured: Column | None = None) -> None:
     """Writes a record per row of ``pages`` (page_id, url, html); one gzip file per task."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     when = captured if captured is not None else F.date_format(F.timestamp_seconds(
-        F.lit(int(datetime(2024, 1, 1, tzinfo=UTC).timestamp())) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    revisits = first_captures(pages, payload, least_bytes)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", when.alias("captured"), payload.alias("payload"),
-                        F.sha2(payload, 256).alias("_sha256")).join(revisits.hint("merge"), ["page_id", "_sha256"], "left").drop("_sha256")
+        F.lit(int(datetime(2024, 1, 1, tzinfo=UTC).timestamp())) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    revisits = first_captures(pages, payload, least_bytes).select(F.col("page_id").alias("_page"), F.col("_sha256").alias("_same"), "refers_to")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", when.alias("captured"), payload.alias("payload"), F.sha2(payload, 256).alias("_sha256"))
+    rows = rows.join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha256") == F.col("_same")), "left")
 
     def build(batches):
         for batch in batches:
@@ -188,7 +189,8 @@ def merge_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
         if not got:
             return
         rows = pa.Table.from_batches(got).combine_chunks()
-        keys = list(zip(*(rows.column(c).to_pylist() for c in ORDER)))
+        sortable = lambda c: [(v is not None, v) for v in rows.column(c).to_pylist()]  # noqa: E731  null first, as Spark sorts
+        keys = list(zip(*(sortable(c) if rows.column(c).null_count else rows.column(c).to_pylist() for c in ORDER)))
         order = [i for _, i in LoserTree([[(keys[i], i) for i in run] for run in natural_runs(keys)])]
         yield from rows.take(pa.array(order, pa.int64())).to_batches(max_chunksize=10_000)
 
@@ -200,8 +202,9 @@ def warc_captures(pages: DataFrame, folder: str | None = None, least_bytes: int
     """Writes ``pages`` as WARC archives and returns the merged index read back from them.
 
     Of equal payloads of at least ``least_bytes`` bytes the smallest ``page_id`` is the response and the others revisit it; rows
-    that repeat both page and payload repeat the record. A null html is an empty payload; a null url is an empty address; a
-    null ``page_id`` is refused by the writer. An empty table gives an empty index. Other columns are not read.
+    that repeat both page and payload repeat the record. A null html is an empty payload; a null url is an empty address. A
+    page without ``page_id`` has a record whose number is empty, read back as null, captured as page 0 is; it revisits an equal page that has
+    one, and is a response if there is none. An empty table gives an empty index. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")

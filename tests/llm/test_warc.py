@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from ledgerlake.llm.common import new_folder
-from ledgerlake.llm.warc import BETWEEN, LoserTree, http_message, merge_index, natural_runs, parse, read_archives, record, unchunk, warc_captures, write_archives
+from ledgerlake.llm.warc import BETWEEN, LoserTree, digest_of, http_message, merge_index, natural_runs, parse, read_archives, record, unchunk, warc_captures, write_archives
 
 TRAP = "a\r\n\r\nWARC/1.1\r\nb\r\n\r\nWARC/1.1\r\n"
 SCHEMA = "page_id long, url string, html string, captured string, archive int, value string"
@@ -66,6 +66,28 @@ def test_chunks_hide_the_record_separator():
     assert row[5] == len(payload) and row[-1]
 
 
+# The separator arises across the payload's borders: with the blank line before it, with the one after it, with both.
+BORDERS = ["WARC/1.1\r\nx", "\r\nWARC/1.1\r\nx", "x\r\n\r\nWARC/1.1", "WARC/1.1", "\r\n\r\nWARC/1.1", "WARC/1.1\r\n\r\nWARC/1.1", "\r\nWARC/1.1\r\nb\r\n\r\nWARC/1.1"]
+
+
+def test_separator_across_the_borders_of_a_payload(spark):
+    for payload in (b.encode() for b in BORDERS):
+        raw = record(5, "http://a/", "t", payload, None) + b"\r\n\r\n"
+        assert BETWEEN not in raw and unchunk(http_message(payload).partition(b"\r\n\r\n")[2]) == payload
+    rows = [(i, "http://a.b/", h) for i, h in enumerate(BORDERS + ["last"])]
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.intact) for r in warc_captures(frame(spark, rows).coalesce(1)).collect()}
+    assert got == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response", True) for i, _, h in rows}
+
+
+def test_pages_without_number(spark):
+    rows = [(None, "http://a/", "one"), (None, "http://a/", "two"), (None, "http://a/", "two"), (3, "http://a/", "one"), (4, "http://a/", "one"), (0, "http://a/", "zero")]
+    got = warc_captures(frame(spark, rows).repartition(3)).collect()
+    expected = [(-1, b"one", "revisit", 3), (-1, b"two", "response", -1), (-1, b"two", "response", -1), (0, b"zero", "response", -1), (3, b"one", "response", -1), (4, b"one", "revisit", 3)]
+    told = lambda i: -1 if i is None else i
+    assert sorted((told(r.page_id), r.payload_digest, r.record_type, told(r.refers_to), r.intact) for r in got) == sorted(
+        (i, digest_of(h), kind, to, True) for i, h, kind, to in expected)
+
+
 def test_loser_tree_merges_any_runs():
     r = random.Random(1)
     for k in range(12):
