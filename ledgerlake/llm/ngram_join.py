@@ -342,11 +342,17 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
                 "doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()),
                 "cls": pa.array([class_of(d) for d in digests], pa.int64()), "bits": pa.array([occupancy(s) for s in sets], pa.binary())})
 
+    def digested(batches):
+        for batch in batches:
+            digests = [sequence_digest(v.as_py()) for v in batch.column(0).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0)], names=["digest", "text"])
+
     ship(docs.sparkSession)
     described = settle(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, cls long, bits binary"), "described")
+    # A class is known by a number of its own, fixed by being written: a doc_id may be missing, or stand in several classes.
     classes = described.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n_shingles").alias("n"), F.max("bits").alias("bits"))
-    classes = settle(classes.filter("rep IS NOT NULL"), "classes")
+        F.min("doc_id").alias("doc_id"), F.first("cls").alias("cls"), F.first("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     shared = settle(shared_rows(signatures(docs, "text", width, similarity, None, plenty)), "shared")
     short = shared.filter(F.col("kind").isin(SPARE, LOW_SPARE) & (F.col("unit") < 0)).select("cls", (F.col("kind") == LOW_SPARE).cast("int").alias("low"))
@@ -362,8 +368,12 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
         probe.select("key").distinct(), "key", "left_semi").join(sized, "cls").select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "cost")
     entry = settle(entry, "entries")
     involved = probe.select(F.col("x").alias("rep")).unionByName(entry.select(F.col("y").alias("rep"))).distinct()
-    texts = settle(docs.filter("text IS NOT NULL").join(involved.hint("merge"), docs["doc_id"] == involved["rep"], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(
-        F.max("text").alias("text")), "texts")
+    wanted = settle(classes.join(involved, "rep").select("rep", "digest", "doc_id"), "wanted")
+    # One text of each: rows are narrowed by doc_id, as far as they have one, and told apart by digest.
+    held, ids = docs.filter("text IS NOT NULL"), wanted.select("doc_id").distinct()
+    picked = held.filter("doc_id IS NOT NULL").join(ids.hint("merge"), "doc_id", "left_semi").unionByName(held.filter("doc_id IS NULL")).select("text")
+    texts = settle(picked.mapInArrow(digested, "digest binary, text string").groupBy("digest").agg(F.max("text").alias("text")).join(
+        wanted.select("digest", "rep"), "digest").select("rep", "text"), "texts")
     sketches = classes.select("rep", "n", "bits")
 
     num, den = similarity
@@ -398,7 +408,8 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
             still = settle(still, "open-keys")
             p, e = settle(p.join(still, "key", "left_semi"), "open-probes"), settle(e.join(still, "key", "left_semi"), "open-entries")
 
-    of_class = classes.join(label, "rep").select("digest", "component")
+    least = classes.join(label, "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = classes.select("rep", "digest").join(label, "rep").join(least, "component").select("digest", F.col("component_id").alias("component"))
     return described.join(of_class, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

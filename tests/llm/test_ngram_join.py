@@ -45,6 +45,26 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
 
 
+def test_repeated_doc_ids_with_different_texts(spark):
+    """Document 1 is the smallest of two classes with links of their own; each row comes out once."""
+    a, b = words(7, 60), words(8, 60)
+    rows = [(1, a), (1, b), (5, a + " x"), (6, b + " y"), (7, words(9, 60)), (0, b + " y z")]
+    got = similar_classes(frame(spark, rows)).collect()
+    plain_rows = classes([(i, t) for i, (_, t) in enumerate(rows)])  # by place
+    least = {c: min(rows[i][0] for i in plain_rows if plain_rows[i][1] == c) for _, c in plain_rows.values()}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((rows[i][0], n, least[c]) for i, (n, c) in plain_rows.items())
+
+
+def test_a_text_without_doc_id_links_two_others(spark):
+    # 40 shingles; the ends differ by more than a quarter, each end from the middle by less.
+    w = words(11, 60).split()
+    rows = [(8, " ".join(w[:44])), (None, " ".join(w[5:49])), (9, " ".join(w[10:54])), (None, "alone here")]
+    by_place = classes([(i, t) for i, (_, t) in enumerate(rows)])
+    assert [c for _, c in by_place.values()] == [0, 0, 0, 3] and classes([(8, rows[0][1]), (9, rows[2][1])])[9][1] == 9
+    got = similar_classes(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 8), (8, 8), (9, 8)]
+
+
 def test_pigeonhole_budgets_cover_every_pair():
     """A probe of each larger set meets an entry of each similar smaller one, whichever units are spared."""
     r = random.Random(8)
