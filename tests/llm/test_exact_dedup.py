@@ -2,7 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
-from data import awkward, frame
+from text_data import awkward, frame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.exact_dedup import dedup, sha256

@@ -1,4 +1,4 @@
-from data import SF, awkward, frame
+from text_data import SF, awkward, frame
 
 from ledgerlake.llm.language_id import Model, fit, held_out, language_id, op4_language_id
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from data import SF, awkward, classes, frame, shingles, words
+from text_data import SF, awkward, classes, frame, shingles, words
 
 from ledgerlake.llm.components import components
 from ledgerlake.llm.ngram_join import SEGMENTS, SIMILARITY, SPARE, signature_rows, similar_classes

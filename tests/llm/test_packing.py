@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from data import awkward, frame
+from text_data import awkward, frame
 
 from ledgerlake.llm.packing import TOKENIZER, WordEncoder, best_fit, load_tokenizer, pack, plan_runs
 

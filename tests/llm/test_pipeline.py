@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from data import awkward, classes, frame
+from text_data import awkward, classes, frame
 from pyspark.sql import functions as F
 from test_packing import check
 

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from data import awkward, frame
+from text_data import awkward, frame
 
 from ledgerlake.llm.sentence_pieces import MODEL, UNIGRAM, Transducer, digests, encode_pieces
 

@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from data import awkward, frame
+from text_data import awkward, frame
 
 from ledgerlake.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 

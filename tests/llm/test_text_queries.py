@@ -2,7 +2,7 @@ import math
 
 import duckdb
 import pytest
-from data import SF
+from text_data import SF
 
 from ledgerlake.llm.queries import ORACLE_SQL, QUERIES
 

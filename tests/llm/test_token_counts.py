@@ -1,7 +1,7 @@
 from collections import Counter
 
 import public_tokenizers
-from data import awkward, frame
+from text_data import awkward, frame
 
 from ledgerlake.llm.token_counts import RANKS, encoder, length_histogram, length_report, truncated_totals
 
