@@ -1,20 +1,16 @@
 import sys
-from datetime import date
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
+sys.path[:0] = [str(ROOT), str(ROOT / "tools"), str(ROOT / "tests")]
+
+from ledger_helpers import LINE_SCHEMA, day, money  # noqa: E402
 
 from ledgerlake.session import build_session  # noqa: E402
 from ledgerlake.sources.testbed import (ACCOUNT_SCHEMA, ACCOUNTS, JOURNAL_SCHEMA, JOURNALS, local_rows)  # noqa: E402
 
-LINE_SCHEMA = ("id long, move_id long, move_name string, account_id long, journal_id long, partner_id long, company_id long, date date, "
-               "date_maturity date, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2), currency_id long, amount_currency decimal(18,2), "
-               "ref string, name string, reconciled boolean, full_reconcile_id long, parent_state string, display_type string, followup_line_id long, "
-               "followup_date date, tax_line_id long")
 PARTIAL_SCHEMA = "debit_line_id long, credit_line_id long, amount decimal(18,2), max_date date"
 
 
@@ -27,25 +23,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def day(text):
-    return date.fromisoformat(text) if text else None
-
-
-def money(value):
-    return Decimal(str(value)).quantize(Decimal("0.01"))
-
-
-def line(i, account, on, debit=0, credit=0, **more):
-    """One ledger line; the rest of the columns have plain defaults."""
-    names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
-    row = dict.fromkeys(names)
-    row.update(id=i, move_id=i, move_name=f"M{i}", account_id=account, journal_id=1, partner_id=1, company_id=1, date=day(on), debit=money(debit),
-               credit=money(credit), balance=money(debit) - money(credit), currency_id=1, amount_currency=money(0), name=f"line {i}", reconciled=False,
-               parent_state="posted")
-    row.update({k: day(v) if k.startswith("date") and isinstance(v, str) else v for k, v in more.items()})
-    return tuple(row[n] for n in names)
-
-
 @pytest.fixture
 def ledger(spark):
     return lambda *rows: spark.createDataFrame(list(rows), LINE_SCHEMA)
@@ -69,9 +46,3 @@ def journals(spark):
 @pytest.fixture(scope="session")
 def partners(spark):
     return spark.createDataFrame([(1, "Anna", None, "A"), (2, "B" * 45, "r", "B"), (3, "Cleo", None, "A")], "id long, name string, ref string, segment string")
-
-
-def rows(df, *columns):
-    """Rows as plain tuples in a fixed order; decimals as floats."""
-    plain = [tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in df.select(*columns or df.columns).collect()]
-    return sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))

@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from conftest import rows
+from ledger_helpers import rows
 
 from ledgerlake.sources import bank, sinks, vehicles
 

@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from conftest import line, money, rows
+from ledger_helpers import line, money, rows
 
 from ledgerlake.functions.filters import INITIAL, OPEN_START, LedgerFilter
 from ledgerlake.functions.labels import bound_labels, ledger_display_name, partner_label, period_labels

@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from conftest import day, money, rows
+from ledger_helpers import day, money, rows
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import periods as pd

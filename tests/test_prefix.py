@@ -5,7 +5,7 @@ import re
 from datetime import date, timedelta
 
 import pytest
-from conftest import money, rows
+from ledger_helpers import money, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

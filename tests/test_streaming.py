@@ -3,7 +3,7 @@
 import json
 from datetime import date
 
-from conftest import rows
+from ledger_helpers import rows
 
 from ledgerlake.streaming import jobs
 
