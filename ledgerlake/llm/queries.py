@@ -1,6 +1,7 @@
 """Registered queries of the text operators, with checking SQL where SQL can express them."""
 
-from ledgerlake.llm import chat_format, exact_dedup, language_id, ngram_join, packing, sentence_pieces, sharding, token_counts, topk_search, warc
+from ledgerlake.llm import (
+    chat_format, exact_dedup, language_id, ngram_join, packing, periodic_runs, sentence_pieces, sharding, token_counts, topk_search, warc)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_warc": warc.op10_warc,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
