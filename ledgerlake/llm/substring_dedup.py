@@ -9,9 +9,12 @@ which the smallest document is found in the same way, and neighbouring repeated
 Index and probes meet in buckets of their hash. A map task sends one packed row per bucket, five bytes a probe, the bucket standing for
 more bits. Inside a bucket the index comes first and is reduced to one entry per hash as it is read, then the probes stream
 by, so a passage that a third of all documents share costs memory for one entry and no pair of documents is ever formed.
-Anchors and repeated windows go back to their documents by ``doc_id``.
+Anchors and repeated windows go back to their documents in packed rows, too, one for a bucket and a group of documents: in
+each partition of texts the rows of a group come first and then its texts stream by.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +28,11 @@ WINDOW = 50
 BUCKET_BYTES = 1 << 29  # of text for each bucket of blocks and probes
 BUCKET_WINDOWS = 1 << 22  # windows in each bucket of windows
 PACK_ENTRIES, MOST_WORDS = 8192, 1 << 22  # a task packs documents together until a bucket gets so many entries, within so many words
+GROUP_BYTES = 1 << 26  # of text for each group of documents that anchors are sent back to
 COMPACT = 1 << 22  # index entries that are read before equal ones are merged
 _STEP, _LEFT, _RIGHT, _SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 PACK = "bucket int, kind int, docs binary, sizes binary, prints binary"
-HITS = "doc_id long, prints binary"
+HITS = "group int, docs binary, sizes binary, prints binary"
 WIDE = np.dtype([("a", "<u8"), ("b", "<u2")])  # the fingerprint of a window, packed into ten bytes
 
 
@@ -86,7 +90,7 @@ def rows_of(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 PACK_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("prints", pa.binary())])
-HITS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("prints", pa.binary())])
+HITS_SCHEMA = pa.schema([("group", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("prints", pa.binary())])
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -137,25 +141,33 @@ class Firsts:
         return near[hit]
 
 
-def _met(rows: DataFrame, buckets: int, wide: bool) -> DataFrame:
-    """doc_id and the fingerprints of that document that a smaller one has, too; for blocks also those of the smallest document itself."""
+def _by_group(docs: np.ndarray, prints: np.ndarray, groups: int) -> list[tuple]:
+    """One row per group of documents: documents, how many fingerprints each has, and these."""
+    order = np.argsort(docs, kind="stable")
+    docs, prints = docs[order], prints[order]
+    new = np.flatnonzero(np.concatenate([[True], np.diff(docs) != 0])[:len(docs)])
+    names = docs[new]
+    sizes = np.diff(np.concatenate([new, [len(docs)]]))
+    group = np.array([zlib.crc32(b"%d" % d) % groups for d in names.tolist()], np.int64)
+    rows = pack(0, names, np.repeat(np.arange(len(names)), sizes), np.repeat(group, sizes), prints, 1 << 20)
+    return [(of, *rest) for of, _, *rest in rows]
+
+
+def _met(rows: DataFrame, buckets: int, groups: int, wide: bool) -> DataFrame:
+    """The fingerprints of documents that a smaller document has, too; for blocks also those of the smallest document itself."""
     def run(batches):
-        now, firsts = None, Firsts()
+        now, firsts, found, size = None, Firsts(), [], 0
 
-        def owners():
-            """The used index entries themselves, by document."""
+        def owners() -> list:
+            """The index entries that were met, for the documents that they come from."""
             if wide or not len(firsts.prints) or not firsts.used.any():
                 return []
-            docs, keys = firsts.docs[firsts.used], (firsts.prints[firsts.used] << np.uint64(24)) | np.uint64(now)
-            return by_doc(docs[order := np.argsort(docs, kind="stable")], keys[order])
+            return [(firsts.docs[firsts.used], (firsts.prints[firsts.used] << np.uint64(24)) | np.uint64(now))]
 
-        def by_doc(docs, keys):
-            new = np.flatnonzero(np.concatenate([[True], np.diff(docs) != 0])) if len(docs) else []
-            ends = np.concatenate([new[1:], [len(docs)]])[:len(new)].astype(np.int64)
-            return [(int(docs[a]), keys[a:b].tobytes()) for a, b in zip(new, ends)]
+        def flushed() -> pa.RecordBatch:
+            return rows_of(_by_group(*(np.concatenate(x) for x in zip(*found)), groups) if found else [], HITS_SCHEMA)
 
         for batch in batches:
-            found = []
             for bucket, kind, docs, sizes, prints in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     found += owners()
@@ -171,14 +183,62 @@ def _met(rows: DataFrame, buckets: int, wide: bool) -> DataFrame:
                     firsts.add(prints, extra, docs)
                     continue
                 hit = firsts.earlier(prints, extra, docs)
-                found += by_doc(docs[hit], prints[hit] if wide else (prints[hit] << np.uint64(24)) | np.uint64(now))
-            yield rows_of(found, HITS_SCHEMA)
-        yield rows_of(owners(), HITS_SCHEMA)
+                found.append((docs[hit], prints[hit] if wide else (prints[hit] << np.uint64(24)) | np.uint64(now)))
+                size += len(hit)
+                if size >= COMPACT:
+                    yield flushed()
+                    found, size = [], 0
+        found += owners()
+        yield flushed()
 
     dealt = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     return dealt.mapInArrow(run, HITS)
 
 
+def _with_texts(hits: DataFrame, texts: DataFrame, groups: int) -> DataFrame:
+    """Hits and texts by group, the hits of each group first."""
+    none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "sizes", "prints")]
+    group = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % groups, F.lit(0)).cast("int")
+    both = hits.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"),
+                       "docs", "sizes", "prints").unionByName(texts.select(group.alias("group"), F.lit(1).alias("kind"), "doc_id", "text", *none))
+    return both.repartitionById(groups, "group").sortWithinPartitions("group", "kind")
+
+
+class Held:
+    """The fingerprints that were sent back to the documents of one group."""
+
+    def __init__(self):
+        self.group, self.parts, self.docs, self.prints = None, [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def read(self, batches):
+        """Batches of texts (doc_id, text) with the hits of their group at hand."""
+        for batch in batches:
+            group, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(group) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if group[a] != self.group:
+                    self.group, self.parts = group[a], []
+                    self.docs, self.prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    self.parts += zip(*(part.column(c).to_pylist() for c in (4, 5, 6)))
+                    continue
+                if self.parts:
+                    docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n, _ in self.parts])
+                    order = np.argsort(docs, kind="stable")
+                    self.docs, self.parts, prints = docs[order], [], np.concatenate([np.frombuffer(p, np.uint64) for _, _, p in self.parts])
+                    self.prints = prints[order]
+                yield part.select([2, 3])
+
+    def of(self, docs: list) -> list[np.ndarray]:
+        """The fingerprints of each document; none for those without number."""
+        known = np.array([d or 0 for d in docs], np.int64)
+        a, b = np.searchsorted(self.docs, known, "left"), np.searchsorted(self.docs, known, "right")
+        return [self.prints[x:y] if d is not None else self.prints[:0] for d, x, y in zip(docs, a.tolist(), b.tolist())]
+
+
 def _gathered(batches, buckets: int):
     """Batches of numbered documents, put together until each bucket gets a fair number of entries."""
     held, size = [], 0
@@ -213,50 +273,67 @@ def anchors(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame
     return docs.mapInArrow(run, PACK)
 
 
-def around(docs: DataFrame, block: int, window: int, anchor_buckets: int, buckets: int) -> DataFrame:
-    """Documents (doc_id, text, hits) to the fingerprints of all windows that hold an anchor, packed by bucket."""
-    def run(batches):
-        for rows in _gathered(batches, buckets):
-            ids, s = _column(rows, 0).to_numpy(zero_copy_only=False), Stretches(_column(rows, 1), block, window)
-            keys = s.keys()
-            keys = (keys & ~LOW) | (keys & LOW) % np.uint64(anchor_buckets)
-            live = np.zeros(len(keys), bool)
-            for i, hits in enumerate(_column(rows, 2).to_pylist()):
-                a, b = s.first[i], min(s.first[i + 1], len(keys))
-                live[a:b] = np.isin(keys[a:b], np.frombuffer(b"".join(hits), np.uint64))
-            live &= s.whole
-            before = np.concatenate([[0], np.cumsum(live)])
-            at, a, b = s.windows()
-            held = before[np.minimum(at + window - block + 1, len(live))] > before[at]
-            at, a, b = at[held], a[held], b[held]
-            prints = np.empty(len(at), WIDE)
-            prints["a"], prints["b"] = a, b >> np.uint64(48)
-            bucket = ((b & LOW) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((ids[s.owner[at]], prints["b"], a))
-            first = order[np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(prints["b"][order]) != 0)])[:len(order)]]
-            packs = pack(0, ids, s.owner[at[first]], bucket[first], prints[first], buckets)
-            yield rows_of(packs + pack(1, ids, s.owner[at], bucket, prints, buckets), PACK_SCHEMA)
+def around(rows: DataFrame, block: int, window: int, anchor_buckets: int, buckets: int) -> DataFrame:
+    """Texts with their anchors to the fingerprints of all windows that hold an anchor, packed by bucket."""
+    def packed(ids: list, texts: list[pa.Array], hits: list[np.ndarray]) -> pa.RecordBatch:
+        ids, s = np.array(ids, np.int64), Stretches(pa.concat_arrays(texts), block, window)
+        keys = s.keys()
+        keys = (keys & ~LOW) | (keys & LOW) % np.uint64(anchor_buckets)
+        live = np.zeros(len(keys), bool)
+        for i, own in enumerate(hits):
+            a, b = s.first[i], min(s.first[i + 1], len(keys))
+            live[a:b] = np.isin(keys[a:b], own)
+        live &= s.whole
+        before = np.concatenate([[0], np.cumsum(live)])
+        at, a, b = s.windows()
+        held = before[np.minimum(at + window - block + 1, len(live))] > before[at]
+        at, a, b = at[held], a[held], b[held]
+        prints = np.empty(len(at), WIDE)
+        prints["a"], prints["b"] = a, b >> np.uint64(48)
+        bucket = ((b & LOW) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((ids[s.owner[at]], prints["b"], a))
+        first = order[np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(prints["b"][order]) != 0)])[:len(order)]]
+        packs = pack(0, ids, s.owner[at[first]], bucket[first], prints[first], buckets)
+        return rows_of(packs + pack(1, ids, s.owner[at], bucket, prints, buckets), PACK_SCHEMA)
 
-    return docs.mapInArrow(run, PACK)
+    def run(batches):
+        held = Held()
+        ids, texts, hits, size = [], [], [], 0
+        for batch in held.read(batches):
+            docs = batch.column(0).to_pylist()
+            own = held.of(docs)
+            some = [i for i, x in enumerate(own) if len(x)]
+            ids += [docs[i] for i in some]
+            hits += [own[i] for i in some]
+            texts.append(batch.column(1).take(pa.array(some, pa.int64())))
+            size += texts[-1].nbytes
+            if size >= 6 * min(MOST_WORDS, PACK_ENTRIES * buckets):
+                yield packed(ids, texts, hits)
+                ids, texts, hits, size = [], [], [], 0
+        if ids:
+            yield packed(ids, texts, hits)
+
+    return rows.mapInArrow(run, PACK)
 
 
 SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64())])
 
 
-def cut(docs: DataFrame, block: int, window: int) -> DataFrame:
-    """Documents (doc_id, text, repeated windows) to their words without the repeats."""
+def cut(rows: DataFrame, block: int, window: int) -> DataFrame:
+    """Texts with their repeated windows to their words without the repeats."""
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1)
-            some = [i for i, hits in enumerate(batch.column(2)) if hits.is_valid]
+        held = Held()
+        for batch in held.read(batches):
+            texts, own = batch.column(1), held.of(batch.column(0).to_pylist())
+            some = [i for i, x in enumerate(own) if len(x)]
             spans: list[list] = [[] for _ in range(len(texts))]
             if some:
                 s = Stretches(texts.take(pa.array(some)), block, window)
                 at, a, _ = s.windows()
                 bounds = np.searchsorted(at, s.first)
                 for i, row in enumerate(some):
-                    own = slice(bounds[i], bounds[i + 1])
-                    starts = at[own][np.isin(a[own], np.frombuffer(b"".join(batch.column(2)[row].as_py()), np.uint64))] - s.first[i]
+                    part = slice(bounds[i], bounds[i + 1])
+                    starts = at[part][np.isin(a[part], own[row])] - s.first[i]
                     new = np.flatnonzero(np.concatenate([[True], np.diff(starts) > window])[:len(starts)])
                     ends = starts[np.concatenate([new[1:], [len(starts)]])[:len(new)] - 1] + window
                     spans[row] = list(zip(starts[new].tolist(), ends.tolist()))
@@ -273,7 +350,7 @@ def cut(docs: DataFrame, block: int, window: int) -> DataFrame:
                 [[{"start": a, "length": b - a} for a, b in own] for own in spans], pa.list_(SPAN)), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "removed", "kept"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, removed array<struct<start: long, length: long>>, kept string")
+    return rows.mapInArrow(run, "doc_id long, n_words long, removed array<struct<start: long, length: long>>, kept string")
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -291,14 +368,13 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    anchor_buckets = max(partitions, -(-size // BUCKET_BYTES))
-    hits = settle(_met(anchors(texts, block, window, anchor_buckets), anchor_buckets, wide=False), "anchors")
+    anchor_buckets, groups = max(partitions, -(-size // BUCKET_BYTES)), max(partitions, -(-size // GROUP_BYTES))
+    hits = settle(_met(anchors(texts, block, window, anchor_buckets), anchor_buckets, groups, wide=False), "anchors")
     most = min(size, block * (hits.agg(F.sum(F.octet_length("prints") / 8)).first()[0] or 0))
     buckets = max(partitions, int(-(-most // BUCKET_WINDOWS)))
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list("prints").alias("hits"))  # at most as long as the document
-    repeated = settle(_met(around(texts.join(by_doc, "doc_id"), block, window, anchor_buckets, buckets), buckets, wide=True), "repeats")
-    by_doc = repeated.groupBy("doc_id").agg(F.collect_list("prints").alias("hits"))
-    return cut(texts.join(by_doc, "doc_id", "left"), block, window)
+    windows = around(_with_texts(hits, texts, groups), block, window, anchor_buckets, buckets)
+    repeated = settle(_met(windows, buckets, groups, wide=True), "repeats")
+    return cut(_with_texts(repeated, texts, groups), block, window)
 
 
 def op11_substring_dedup(spark, sf_dir: str) -> DataFrame:

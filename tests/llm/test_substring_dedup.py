@@ -72,6 +72,8 @@ def test_packs_of_few_documents(spark, monkeypatch):
     monkeypatch.setattr(module, "PACK_ENTRIES", 20)
     monkeypatch.setattr(module, "BUCKET_BYTES", 5000)
     monkeypatch.setattr(module, "BUCKET_WINDOWS", 300)
+    monkeypatch.setattr(module, "GROUP_BYTES", 9000)
+    monkeypatch.setattr(module, "COMPACT", 50)
     rows = awkward() + passages()
     assert plain(substring_dedup(frame(spark, rows).repartition(3))) == brute(rows, 50)
 
