@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.prefix import block, running_totals
 from ledgerlake.operators.ledger import MONEY
 
 # Record ends of the transaction formats.
@@ -22,9 +23,15 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="value string", sep="\u0001", quote="", header=True)
 
 
+def with_place(records: DataFrame) -> DataFrame:
+    """Adds where each record of a text file lies: its file, where the split that it was read in begins, and its number in that task."""
+    return records.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                          F.monotonically_increasing_id().alias("row"))
+
+
 def read_ofx_records(spark: SparkSession, path: str) -> DataFrame:
-    """Transaction blocks of OFX files as (value, file)."""
-    return spark.read.text(path, lineSep=OFX_END).select("value", F.col("_metadata.file_path").alias("file"))
+    """Transaction blocks of OFX files as (value, file, split, row), the last three in file order."""
+    return with_place(spark.read.text(path, lineSep=OFX_END))
 
 
 def read_qif_records(spark: SparkSession, path: str) -> DataFrame:
@@ -70,15 +77,18 @@ def _tag(name: str) -> Column:
 def parse_ofx(records: DataFrame, partners: DataFrame, today: date) -> DataFrame:
     """Debit and credit transactions of OFX blocks with an amount other than zero (S3).
 
+    The account number is that of the statement, the last heading before the transaction in file order, whichever split it was read in.
     An amount that is no number or a date that is none is kept with a reason.
     """
-    rows = records.filter(F.col("value").contains("<STMTTRN>"))
-    bank = records.filter(F.col("value").contains("<BANKID>")).groupBy("file").agg(F.max(_tag("BANKID")).alias("name"))
+    last = F.regexp_extract("value", r"(?s).*<BANKID>([^<\r\n]*)", 1)
+    heading = F.when(F.col("value").contains("<BANKID>"), F.struct("split", "row", F.trim(last).alias("name")))
+    rows = running_totals(records, ["file"], [F.col("split"), F.col("row")], {"_heading": heading}, {"split": F.col("split")}, {"rows": block("row", 4096)}, how="max")
+    rows = rows.filter(F.col("value").contains("<STMTTRN>"))
     posted = F.substring(_tag("DTPOSTED"), 1, 8)
-    rows = rows.select("file", F.lower(_tag("TRNTYPE")).alias("kind"), _tag("TRNAMT").try_cast(MONEY).alias("amount"), posted.alias("_d"), _tag("NAME").alias("partner_name"))
+    rows = rows.select(F.col("_heading.name").alias("name"), F.lower(_tag("TRNTYPE")).alias("kind"), _tag("TRNAMT").try_cast(MONEY).alias("amount"), posted.alias("_d"), _tag("NAME").alias("partner_name"))
     rows = rows.withColumn("date", F.when(F.col("_d") == "", F.lit(today)).otherwise(F.expr("try_to_date(_d, 'yyyyMMdd')")))
     rows = rows.filter(F.col("kind").isin("debit", "credit") & F.coalesce(F.col("amount") != 0, F.lit(True)))
-    rows = rows.join(_by_name(partners), "partner_name", "left").join(bank, "file", "left")
+    rows = rows.join(_by_name(partners), "partner_name", "left")
     return rows.select("name", "amount", "date", "partner_id", "partner_name", F.lit("ofx file").alias("payment_ref"),
                        F.when(F.col("amount").isNull(), "amount not a number").when(F.col("date").isNull(), "date not a date")
                        .when(F.col("partner_id").isNull(), "partner unknown").alias("reject_reason"))

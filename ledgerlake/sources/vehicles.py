@@ -5,6 +5,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.prefix import block, running_totals
+from ledgerlake.functions.workspace import written
+from ledgerlake.sources.bank import with_place
+
 # Accepted headings per field, in order of preference.
 ALIASES = {
     "car_id": ["name", "car_id", "vehicle"],
@@ -39,8 +43,8 @@ def normalise_vehicles(raw: DataFrame, header: bool = True) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed documents as (value): one JSON document a line."""
-    return spark.read.text(path).filter(F.trim("value") != "")
+    """Feed documents as (value, file, split, row), one JSON document a line; the last three are in file order."""
+    return with_place(spark.read.text(path)).filter(F.trim("value") != "")
 
 
 def _feed_items() -> Column:
@@ -78,34 +82,115 @@ def new_vehicles(vehicles: DataFrame, existing: DataFrame, order: list[str]) ->
     return first_per_vin(vehicles, order).join(existing.select("vin_sn"), "vin_sn", "left_anti").select(*FIELDS)
 
 
+_ALWAYS = -(2**62)  # before every record
+
+
+def _numbered(born: int, number: Column) -> Column:
+    """A register row: those from before the import by their number, created ones after them by the record that created them."""
+    return F.struct(F.lit(born).alias("born"), number.cast("long").alias("n")).alias("row")
+
+
+def _spans(changes: DataFrame) -> DataFrame:
+    """Each value (row, value, since) with the record that replaces it on its row (``until``, null if none does)."""
+    return running_totals(changes, ["row"], [F.col("since").desc()], {"until": F.col("since")}, {"far": block("since", 1 << 24)},
+                          {"near": block("since", 1 << 10)}, descending=("far", "near"), how="min", inclusive=False)
+
+
+def _dyadic(first: Column, last: Column) -> Column:
+    """The pieces (level, number) of whole powers of two that make up ``first`` to ``last``, both not negative; about two a level."""
+    level = F.when(first == last, 0).otherwise(F.length(F.bin(first.bitwiseXOR(last))) - 1)
+    middle = F.when(first == last, last + 1).otherwise(F.call_function("shiftleft", F.call_function("shiftright", last, level), level))
+    left, right = middle - first, last - middle + 1
+    levels = F.sequence(F.lit(0), level)
+    bit = lambda n, k: F.call_function("shiftright", n, k).bitwiseAND(F.lit(1)) == 1
+    above = lambda n, k: F.call_function("shiftright", n, k)
+    piece = lambda k, start: F.struct(k.alias("level"), above(start, k).alias("number"))
+    whole = lambda n, k: F.call_function("shiftleft", above(n, k), k)
+    return F.concat(F.transform(F.filter(levels, lambda k: bit(left, k)), lambda k: piece(k, middle - whole(left, k))),
+                    F.transform(F.filter(levels, lambda k: bit(right, k)), lambda k: piece(k, middle + whole(right, k + 1))))
+
+
+def holders(spans: DataFrame, asks: DataFrame) -> DataFrame:
+    """For each ask (value, at) the smallest ``row`` that holds the value then, null if none does.
+
+    ``spans`` has row, value, since and until (null: for good); a value is held between the two, not at them. Values held from or
+    to the end are running minima in either direction; for the rest, spans are cut into dyadic pieces and asks meet
+    the pieces above them, so no window or group holds all spans or asks of a value.
+    """
+    nothing = F.lit(None).cast(spans.schema["row"].dataType)
+
+    def met(some: DataFrame, at: str, descending: bool) -> DataFrame:
+        rows = some.select("value", F.col(at).alias("at"), "row", F.lit(False).alias("asks")).unionByName(
+            asks.select("value", "at", nothing.alias("row"), F.lit(True).alias("asks")))
+        cells = {"far": block("at", 1 << 24)}, {"near": block("at", 1 << 10)}
+        order = [F.col("at").desc() if descending else F.col("at").asc(), F.col("asks").desc()]
+        run = running_totals(rows, ["value"], order, {"found": F.col("row")}, *cells, descending=("far", "near") if descending else (), how="min")
+        return run.filter("asks").select("value", "at", F.col("found").alias("row"))
+
+    from_start, to_end = F.col("since") == _ALWAYS, F.col("until").isNull()
+    origin = asks.agg(F.min("at")).scalar()
+    between = spans.filter(~from_start & ~to_end).select("row", "value", (F.greatest(F.col("since") + 1, origin) - origin).alias("first"),
+                                                         (F.col("until") - 1 - origin).alias("last")).filter("first <= last")
+    pieces = between.select("row", "value", F.explode(_dyadic(F.col("first"), F.col("last"))).alias("p"))
+    least = pieces.groupBy("value", "p.level", "p.number").agg(F.min("row").alias("row"))
+    levels = F.coalesce(pieces.agg(F.max("p.level")).scalar(), F.lit(0))
+    climbing = asks.join(between.select("value").distinct(), "value", "left_semi").select("value", "at", F.explode(F.sequence(F.lit(0), levels)).alias("level"))
+    climbing = climbing.withColumn("number", F.call_function("shiftright", F.col("at") - origin, F.col("level")))
+    inner = climbing.join(least, ["value", "level", "number"]).select("value", "at", "row")
+    both = met(spans.filter(to_end), "since", False).unionByName(met(spans.filter(from_start & ~to_end), "until", True)).unionByName(inner)
+    return both.groupBy("value", "at").agg(F.min("row").alias("row"))
+
+
+def _resolved(spans: DataFrame, asks: DataFrame) -> DataFrame:
+    """The row that each ask finds; the first one of a value that finds none creates it, and the row holds the value from then on."""
+    found = written(holders(spans, asks), "upsert-found")
+    new = found.filter(F.col("row").isNull()).groupBy("value").agg(F.min("at").alias("_born"))
+    created = F.when(F.col("_born") <= F.col("at"), _numbered(1, F.col("_born")))
+    return found.join(new, "value", "left").select("value", "at", F.least("row", created).alias("row"))
+
+
 def upsert_vehicles(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """Register after an import with the action taken for each row.
+    """Register after an import, with the action taken for each row and the number of records that it took.
+
+    Records apply one after another in ``order`` (distinct whole numbers): each is matched by its VIN, without one by its title, without both
+    by its car number, against the register as earlier records have left it; of several rows the one registered first counts. Filled
+    fields overwrite; a record that finds no row creates one. Records without any key are left out.
 
-    A record is matched by its VIN, without one by its title, without both by its car number, against
-    the smallest registered number. Filled fields overwrite. Several records for one vehicle apply in
-    ``order``; those for a vehicle yet unknown merge into one new row.
+    The chain of records needs no loop, but some tables written on the way (see ``workspace``). A row's VIN never changes, so a record with a VIN finds its row without regard to the
+    others. Only such records change titles, so then all titles are known over time, and with them the rows of the records with
+    a title; then the same holds for car numbers.
     """
-    key = F.when(F.col("vin_sn").isNotNull(), F.lit("vin_sn")).when(F.col("title_en").isNotNull(), F.lit("title_en")).otherwise(F.lit("car_id"))
-    value = F.coalesce("vin_sn", "title_en", "car_id")
-    latest = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in FIELDS]
-    merged = incoming.select(*FIELDS, order, key.alias("key"), value.alias("value")).groupBy("key", "value").agg(
-        *latest, F.min(order).alias("_first"), F.max(order).alias("_last"))
-    targets = [existing.filter(F.col(f).isNotNull() & (F.col(f) != "")).groupBy(F.lit(f).alias("key"), F.col(f).alias("value")).agg(F.min("id").alias("id"))
-               for f in FIELDS]
-    matched = merged.join(reduce(DataFrame.unionByName, targets), ["key", "value"], "left")
-    changes = matched.filter(F.col("id").isNotNull()).groupBy("id").agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("_last"))).alias(f"_{f}") for f in FIELDS])
-    updated = existing.join(changes, "id", "left")
-    touched = F.greatest(*[F.col(f"_{f}") for f in FIELDS]).isNotNull()
-    old = updated.select("id", *[F.coalesce(f"_{f}", f).alias(f) for f in FIELDS], F.when(touched, "updated").otherwise("kept").alias("action"))
-    new = matched.filter(F.col("id").isNull()).select(F.lit(None).cast("long").alias("id"), *FIELDS, F.lit("created").alias("action"))
-    return old.unionByName(new)
+    filled = [F.nullif(F.col(f), F.lit("")).alias(f) for f in FIELDS]
+    records = written(incoming.select(F.col(order).cast("long").alias("at"), *filled).filter(F.coalesce(*FIELDS).isNotNull()), "upsert-records")
+    known = existing.select(_numbered(0, F.col("id")), F.lit(_ALWAYS).alias("since"), *filled)
+
+    by_vin, rest = records.filter(F.col("vin_sn").isNotNull()), records.filter(F.col("vin_sn").isNull())
+    first_row = known.filter(F.col("vin_sn").isNotNull()).groupBy("vin_sn").agg(F.min("row").alias("_old"))
+    first_record = by_vin.groupBy("vin_sn").agg(F.min("at").alias("_at"))
+    events = by_vin.join(first_record, "vin_sn").join(first_row, "vin_sn", "left").select(
+        F.coalesce("_old", _numbered(1, F.col("_at"))).alias("row"), "at", *FIELDS)
+    for field in ("title_en", "car_id"):
+        events = written(events, "upsert-events")  # read several times by each step that follows
+        asks = rest.filter(F.col(field).isNotNull())
+        rest = rest.filter(F.col(field).isNull())
+        history = known.select("row", "since", F.col(field).alias("value")).unionByName(events.select("row", F.col("at").alias("since"), F.col(field).alias("value")))
+        spans = written(_spans(written(history.filter(F.col("value").isNotNull()), "upsert-history")), "upsert-spans")
+        target = _resolved(spans, written(asks.select(F.col(field).alias("value"), "at"), "upsert-asks"))
+        events = events.unionByName(asks.join(target.select("at", "row"), "at").select("row", "at", *FIELDS))
+
+    applied = existing.select(_numbered(0, F.col("id")), F.lit(_ALWAYS).alias("at"), *FIELDS, F.lit(0).alias("n")).unionByName(events.withColumn("n", F.lit(1)))
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f in FIELDS]
+    rows = applied.groupBy("row").agg(*last, F.sum("n").alias("records"))
+    action = F.when(F.col("row.born") == 1, "created").when(F.col("records") > 0, "updated").otherwise("kept")
+    return rows.select(F.when(F.col("row.born") == 0, F.col("row.n")).alias("id"), *FIELDS, action.alias("action"), "records")
 
 
 def upsert_counts(register: DataFrame) -> DataFrame:
-    """How many rows an upsert created, updated and kept, zero counts included."""
+    """How many records of an upsert created and updated a row, and how many rows it kept as they were, zero counts included."""
+    born = F.count_if(F.col("action") == "created")
     counts = F.array(*[F.struct(F.lit(a).alias("action"), F.col(a).alias("n")) for a in ("created", "updated", "kept")])
-    return register.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("created", "updated", "kept")]).select(F.explode(counts).alias("c")).select("c.*")
+    return register.agg(born.alias("created"), (F.coalesce(F.sum("records"), F.lit(0)) - born).alias("updated"),
+                        F.count_if(F.col("action") == "kept").alias("kept")).select(F.explode(counts).alias("c")).select("c.*")
 
 
 def insert_vehicles(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:

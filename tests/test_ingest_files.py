@@ -4,6 +4,7 @@ from datetime import date
 
 import pytest
 from ledger_helpers import rows
+from pyspark.sql import functions as F
 
 from ledgerlake.sources import bank, sinks, vehicles
 
@@ -74,14 +75,6 @@ def test_feed_shapes_and_first_record(spark):
     assert rows(out, "vin_sn", "car_id", "title_en") == [("A", "", "2020 m"), ("B", "7", "")]
 
 
-def test_upsert_key_priority(spark):
-    existing = spark.createDataFrame([(1, "C1", "V1", "T1"), (2, "C2", "V2", "T2")], "id long, car_id string, vin_sn string, title_en string")
-    incoming = spark.createDataFrame([(1, "C9", "V1", None), (2, None, None, "T2"), (3, "C2", None, None), (4, "C1", "V7", None), (5, None, "V7", "T7")],
-                                     "seq long, car_id string, vin_sn string, title_en string")
-    out = vehicles.upsert_vehicles(existing, incoming, "seq")
-    assert rows(out, "action", "car_id", "vin_sn", "title_en") == [("created", "C1", "V7", "T7"), ("updated", "C2", "V2", "T2"), ("updated", "C9", "V1", "T1")]
-
-
 def test_report_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, k string")
     for fmt in ("parquet", "csv"):
@@ -90,4 +83,25 @@ def test_report_sinks(spark, tmp_path):
     sinks.save_report(df, "kept_report", str(tmp_path / "table"))
     sinks.save_report(df.filter("n = 1"), "kept_report", str(tmp_path / "table"))
     assert spark.table("kept_report").count() == 1
-    spark.sql("DROP TABLE kept_report")
+    broken = df.select(F.raise_error(F.lit("no report")).alias("n"))
+    with pytest.raises(Exception, match="no report"):
+        sinks.save_report(broken, "kept_report", str(tmp_path / "table"))
+    assert spark.table("kept_report").count() == 1
+    assert len([x for x in spark.catalog.listTables() if x.name.startswith("kept_report__")]) == 1 and len(list((tmp_path / "table").iterdir())) == 1
+    spark.sql("DROP VIEW kept_report")
+
+
+def test_each_ofx_statement_has_its_account_number(spark, people, tmp_path):
+    block = "<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20230414<TRNAMT>{}<NAME>Deco</STMTTRN>\n"
+    amounts = {"111": range(1, 40), "222": range(40, 41), "333": range(41, 90)}
+    text = "".join(f"<STMTRS><BANKID>{n}<ACCTID>1\n" + "".join(block.format(a) for a in some) + "</STMTRS><STMTRS><BANKID>none\n</STMTRS>" for n, some in amounts.items())
+    (tmp_path / "a.ofx").write_text("OFXHEADER:100\n<OFX>" + text + "</OFX>")
+    (tmp_path / "b.ofx").write_text("<OFX><BANKID>444\n" + block.format(1000) + "</OFX>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "300"):  # the second cuts the file into many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        records = bank.read_ofx_records(spark, str(tmp_path))
+        got = sorted((int(r.amount), r.name) for r in bank.parse_ofx(records, people, TODAY).collect())
+        splits = records.select("file", "split").distinct().count()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == [(a, n) for n, some in amounts.items() for a in some] + [(1000, "444")] and (splits > 10) == (size == "300")

@@ -15,6 +15,12 @@ def drop(folder, name, records):
     (folder / name).write_text("\n".join(json.dumps(r) for r in records))
 
 
+def forget(state, batch):
+    """As if the batch had not been noted as done."""
+    for name in (f"{batch}", f".{batch}.crc"):
+        (state / "commits" / name).unlink()
+
+
 def test_daily_totals_leave_out_late_rows(spark, tmp_path):
     inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
 
@@ -40,6 +46,22 @@ def test_back_dated_lines_count(spark, tmp_path):
     assert rows(jobs.read_daily_totals(spark, out)) == [(date(2024, 1, 1), 105.0, 6.0, 2), (date(2024, 1, 20), 1.0, 0.0, 1)]
 
 
+def test_daily_totals_stay_as_small_as_the_days(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    assert jobs.read_daily_totals(spark, str(out)).count() == 0
+    for n in range(4):
+        drop(inbox, f"{n}.json", [{"date": f"2024-01-0{1 + n % 2}", "debit": 1, "credit": n}])
+        jobs.add_daily_totals(spark.readStream.schema(LINES).json(str(inbox)), str(out), str(state)).awaitTermination()
+    want = [(date(2024, 1, 1), 2.0, 2.0, 2), (date(2024, 1, 2), 2.0, 4.0, 2)]
+    assert rows(jobs.read_daily_totals(spark, str(out))) == want
+    assert sorted(p.name for p in out.iterdir()) == ["version=2", "version=3"]
+    forget(state, 3)
+    jobs.add_daily_totals(spark.readStream.schema(LINES).json(str(inbox)), str(out), str(state)).awaitTermination()
+    assert rows(jobs.read_daily_totals(spark, str(out))) == want
+    (out / "version=3" / "_SUCCESS").unlink()  # a snapshot half written
+    assert rows(jobs.read_daily_totals(spark, str(out))) == [(date(2024, 1, 1), 2.0, 2.0, 2), (date(2024, 1, 2), 1.0, 1.0, 1)]
+
+
 def feed(spark, inbox):
     return spark.readStream.schema("seq long, value string, ts timestamp").json(str(inbox))
 
@@ -54,10 +76,17 @@ def test_feed_appends_each_vin_once(spark, tmp_path):
     drop(inbox, "2.json", [doc(3, "B", "C")])
     jobs.register_feed(feed(spark, inbox), register, state, ["seq", "position"]).awaitTermination()
     assert read() == [("A", "m1"), ("B", "m1"), ("C", "m3")]
+    (tmp_path / "register" / "batch=0").rename(tmp_path / "away")  # no batch reads what an earlier one wrote
+    drop(inbox, "3.json", [doc(4, "A", "D")])
+    jobs.register_feed(feed(spark, inbox), register, state, ["seq", "position"]).awaitTermination()
+    assert read() == [("C", "m3"), ("D", "m4")]
+    forget(tmp_path / "state", 2)
+    jobs.register_feed(feed(spark, inbox), register, state, ["seq", "position"]).awaitTermination()
+    assert read() == [("C", "m3"), ("D", "m4")]
     known = spark.createDataFrame([("A",), ("Z",)], "vin_sn string")
     other = str(tmp_path / "other")
     jobs.register_feed(feed(spark, inbox), other, str(tmp_path / "state2"), ["seq", "position"], known).awaitTermination()
-    assert sorted(r.vin_sn for r in spark.read.schema(jobs.REGISTER_SCHEMA).parquet(other).collect()) == ["B", "C"]
+    assert sorted(r.vin_sn for r in spark.read.schema(jobs.REGISTER_SCHEMA).parquet(other).collect()) == ["B", "C", "D"]
 
 
 def test_distinct_vins(spark, tmp_path):
