@@ -14,6 +14,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import table
 
@@ -64,16 +65,18 @@ def noise(seed: int, *columns: Column) -> Column:
 def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int = 20_240_501, partitions: int | None = None) -> DataFrame:
     """``rows`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in its shard); shard sizes differ by one at most.
 
-    ``key`` should identify a row: it decides its source partition and its place in the permutations, so a recomputed
-    task agrees with the lost one. Repeated keys and null keys are allowed; rows that agree in the key may end up in either
-    of their places. An empty table gives an empty result. Further columns are carried along; columns named ``shard``,
-    ``slot`` are replaced. Texts are not looked at.
+    The row decides its source partition and its place in the permutations, ``key`` first and then all other columns, so a recomputed task
+    agrees with the lost one whatever the order in which rows reach it, and a key that many rows share is spread. Repeated and
+    null keys are allowed; rows that agree in every column are alike. Very long texts are best left out and joined by ``key`` afterwards. An empty table gives an empty result. Further columns are carried along; columns named ``shard``,
+    ``slot`` are replaced.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot", "_part", "_bounds", "_at", "_cell")
     width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_shard = max(1, min(math.ceil(width / shards), MAX_CELLS // shards))
-    part = F.pmod(noise(seed, F.col(key)), F.lit(width)).cast("int")
+    plain = lambda f: F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or isinstance(f.dataType, T.VariantType) else F.col(f"`{f.name}`")
+    whole = [plain(f) for f in sorted(rows.schema.fields, key=lambda f: f.name != key)]
+    part = F.pmod(noise(seed, *whole), F.lit(width)).cast("int")
     found = {r["_part"]: r["n"] for r in rows.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = [found.get(p, 0) for p in range(width)]
     cells = [c for size in even_parts(sum(counts), shards) for c in even_parts(size, per_shard)]
@@ -81,10 +84,10 @@ def shuffle_into_shards(rows: DataFrame, key: str, shards: int = 16, seed: int =
     bounds = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(np.cumsum(matrix, axis=1).tolist())), "array<array<bigint>>")).alias("_part", "_bounds"))
     starts = F.from_json(F.lit(json.dumps([sum(cells[c - c % per_shard:c]) for c in range(len(cells))])), "array<bigint>")
 
-    local = Window.partitionBy("_part").orderBy(noise(seed + 1, F.col(key)), F.col(key))
+    local = Window.partitionBy("_part").orderBy(noise(seed + 1, *whole), *whole)
     sent = rows.withColumn("_part", part).withColumn("_at", F.row_number().over(local) - 1).join(bounds, "_part")
     sent = sent.withColumn("_cell", F.size(F.filter("_bounds", lambda b: b <= F.col("_at")))).drop("_part", "_bounds", "_at")
-    again = Window.partitionBy("_cell").orderBy(noise(seed + 2, F.col(key)), F.col(key))
+    again = Window.partitionBy("_cell").orderBy(noise(seed + 2, *whole), *whole)
     return sent.withColumn("slot", F.get(starts, F.col("_cell")) + F.row_number().over(again) - 1).withColumn(
         "shard", F.floor(F.col("_cell") / per_shard).cast("int")).drop("_cell")
 

@@ -1,10 +1,11 @@
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from text_data import awkward, frame
+from text_data import SF, awkward, frame
 
-from ledgerlake.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
+from ledgerlake.llm.sharding import communication_matrix, hypergeometric, op6_sharding, shuffle_into_shards
 
 
 def slots(df, shards):
@@ -29,6 +30,21 @@ def test_repeated_null_and_clashing(spark):
     assert shuffle_into_shards(frame(spark, []), "doc_id", 4).count() == 0
 
 
+def test_places_do_not_depend_on_the_order_of_arrival(spark):
+    rows = [(i, f"t{i}") for i in range(300)] + [(7, f"again {i}") for i in range(50)] + [(None, f"none {i}") for i in range(50)]
+    place = lambda r, n: sorted((str(x.doc_id), x.text, x.shard, x.slot) for x in shuffle_into_shards(frame(spark, r).repartition(n), "doc_id", 4).collect())
+    assert place(rows, 1) == place(rows[::-1], 5)
+
+
+def test_query_against_plain_sizes(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = slots(op6_sharding(spark, SF), 16)
+    assert len(got) == len(docs)
+    for r in got:
+        data = (docs[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+
+
 def test_rows_are_spread_as_if_drawn(spark):
     """Over seeds, each row is in each shard about equally often, and neighbours are independent."""
     seen, same = np.zeros((24, 3)), 0
