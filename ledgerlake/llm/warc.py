@@ -212,5 +212,11 @@ def warc_captures(pages: DataFrame, folder: str | None = None, least_bytes: int
     return merge_index(settle(read_archives(spark, folder), "capture-runs"))
 
 
+def checked(captures: DataFrame) -> DataFrame:
+    """The captures; a payload that does not match its digest or length is an error."""
+    broken = F.raise_error(F.concat(F.lit("record does not match its digest: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without number"))))
+    return captures.withColumn("payload_digest", F.when(F.col("intact"), F.col("payload_digest")).otherwise(broken))
+
+
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    return warc_captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(warc_captures(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
