@@ -1,10 +1,12 @@
 """Helpers shared by the text operators."""
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,35 @@ def ascii_lower(text: Column) -> Column:
     For pure ASCII (as many bytes as characters) the plain ``lower`` does just that, and is much faster.
     """
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+class Remembered:
+    """Results by key in two generations: when the younger is full it becomes the older one, and what is found there moves up again.
+
+    So frequent keys stay and the size is bounded, in bytes of keys and values.
+    """
+
+    def __init__(self, most_bytes: int):
+        self.most, self.size, self.young, self.old = most_bytes // 2, 0, {}, {}
+
+    def get(self, key: bytes | str, find) -> bytes:
+        """What is known of a key that is not among the young ones; else what ``find`` says."""
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = find(key)
+            if self.size >= self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+            self.young[key] = value
+            self.size += len(key) + len(value) + 200  # with what the objects themselves take
+        return value
+
+
+def hand_back() -> None:
+    """Gives freed memory of a Python worker back to the system: the next task may be that of another operator."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass

@@ -11,6 +11,7 @@
 4. Every piece finds its run, and in it its sequence and offset, by length and rank, in its own task.
 """
 
+import json
 import re
 import sys
 import zlib
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import settle, ship, table
+from ledgerlake.llm.common import Remembered, hand_back, settle, ship, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 150_000
-# A comma or stop after a letter (ASCII or Latin-1) and before a blank; words of such letters in lower case.
-STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+CACHED_BYTES = 32 << 20
+# A comma or stop after a letter (ASCII or Latin-1) at the end of a word; words of such letters in lower case.
+STOPPED = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]$")
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 # First bytes of combining marks that join ASCII letters; without them lower-casing ASCII first changes no composition.
 MARKS = re.compile(rb"[\xcc\xcd]")
@@ -48,47 +49,68 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class WordEncoder:
+# What the tokenizer does to a text before its model (fixed values), if its ids are those of the text's words one after the other.
+BY_WORDS = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+class TextEncoder:
+    """Encodes whole texts: right for any tokenizer. Ids are little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+
+    def __call__(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+
+
+class WordEncoder(TextEncoder):
     """Encodes texts word by word and remembers words.
 
     Right for tokenizers that lower-case, drop white space, never join across it, and take a run of letters as one
-    unit: a text's ids are then those of its words, one after the other. Words are remembered as little-endian
-    unsigned 32-bit ids. ASCII letters are lower-cased here already, and a comma or stop between a letter and a blank is parted
-    from its word, so that more words are alike; the ids stay the same. A word of plain lower-case letters goes straight to the model.
+    unit: a text's ids are then those of its words, one after the other. ASCII letters are lower-cased here already, and a word that ends in a
+    letter with a comma or stop is taken apart, so that more words are alike; the ids stay the same. A word of plain
+    lower-case letters goes straight to the model.
     """
 
-    def __init__(self, path: str, most: int = CACHED_WORDS):
-        self.tokenizer, self.most, self.known = load_tokenizer(path), most, {}
+    def __init__(self, path: str, most_bytes: int = CACHED_BYTES):
+        super().__init__(path)
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.known = Remembered(most_bytes)
         self.model, self.as_bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __call__(self, text: bytes) -> bytes:
-        words = STOP.sub(rb" \1", text if MARKS.search(text) else text.lower()).split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = {w for w in words if w not in known}
-        if len(known) + len(missing) > self.most:
-            known.clear()
-            missing = set(words)
-        found = {w: self.encode(w) for w in missing}
-        if len(missing) <= self.most:
-            known.update(found)
-            found = known
-        return b"".join(map(found.__getitem__, words))
-
-    def encode(self, word: bytes) -> bytes:
+        words = (text if MARKS.search(text) else text.lower()).split()
+        parts = list(map(self.known.young.get, words))
+        if None in parts:
+            get, find = self.known.get, self.word
+            for i in [i for i, part in enumerate(parts) if part is None]:
+                parts[i] = get(words[i], find)
+        return b"".join(parts)
+
+    def word(self, word: bytes) -> bytes:
         if LETTERS.fullmatch(word):
             plain = word.decode()
             ids = [t.id for t in self.model.tokenize(plain if word.isascii() else self.as_bytes(plain)[0][0])]
-        else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+            return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+        if STOPPED.search(word, max(0, len(word) - 3)):
+            return self.known.get(word[:-1], self.word) + self.known.get(word[-1:], self.word)
+        return super().__call__(word)
+
+
+@cache
+def encoder(path: str) -> TextEncoder:
+    """Word by word where the tokenizer is known to allow it, else by whole texts."""
+    steps = json.loads(load_tokenizer(path).to_str())
+    before = [*((steps["normalizer"] or {}).get("normalizers", [])), *((steps["pre_tokenizer"] or {}).get("pretokenizers", []))]
+    return WordEncoder(path) if before == BY_WORDS else TextEncoder(path)
 
 
-_encoders: dict[str, WordEncoder] = {}
 
 
 def pieces_of(docs: DataFrame, text: str, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -97,7 +119,7 @@ def pieces_of(docs: DataFrame, text: str, path: str, capacity: int, end_id: int)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
-        encode = _encoders.setdefault(path, WordEncoder(path))
+        encode = encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -107,6 +129,7 @@ def pieces_of(docs: DataFrame, text: str, path: str, capacity: int, end_id: int)
                     ids[at:at + 4 * capacity] for at in range(0, len(ids), 4 * capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (
                 pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        hand_back()
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, f"doc_id long, {PIECE}")
@@ -207,7 +230,8 @@ def pack(docs: DataFrame, text: str = "text", tokenizer_path: str | None = None,
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is just the end token. Only documents longer than ``capacity`` are cut. Rows that repeat a ``doc_id``
-    are packed each. An empty table gives an empty result; other columns are not read.
+    are packed each. An empty table gives an empty result; other columns are not read. Texts of any length are encoded whole, by
+    words where the tokenizer allows it.
     """
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     return best_fit(settle(pieces_of(docs, text, path, capacity, end_id), "pieces"), capacity)

@@ -6,19 +6,27 @@ import numpy as np
 import public_tokenizers
 from text_data import awkward, frame
 
-from ledgerlake.llm.packing import TOKENIZER, WordEncoder, best_fit, load_tokenizer, pack, plan_runs
+from ledgerlake.llm.packing import TOKENIZER, TextEncoder, WordEncoder, best_fit, encoder, load_tokenizer, pack, plan_runs
 
 PATH = public_tokenizers.path(TOKENIZER)
 
 
 def test_word_by_word_ids_are_the_tokenizers_own():
-    encode, own, r = WordEncoder(PATH, most=50), load_tokenizer(PATH), random.Random(5)
+    encode, own, r = WordEncoder(PATH, most_bytes=5000), load_tokenizer(PATH), random.Random(5)
     texts = [t or "" for _, t in awkward()] + ["it's, don't. I'LL x,y .. a. b, <|endoftext|>", "H̱ Å ẞ K x y\x1cz\x00", "3.14, 2,5 a1b2", "é ́e"]
     texts += ["".join(r.choice("abAB ,.'s\n\téÉ日1!́ßàÿ÷×\xad") for _ in range(40)) for _ in range(400)]
     for t in texts:
         assert np.frombuffer(encode(t.encode()), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    encode, own = encoder(other), load_tokenizer(other)
+    assert type(encode) is TextEncoder and type(encoder(PATH)) is WordEncoder
+    for t in [t or "" for _, t in awkward()] + ["Two  words. AND\n more", "it's"]:
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t[:60]
+
+
 def check(rows, capacity):
     """Places are gapless and disjoint in every sequence, and no sequence is over-full."""
     by = defaultdict(list)
