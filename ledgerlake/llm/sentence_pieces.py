@@ -13,7 +13,6 @@ remembered.
 """
 
 import codecs
-import hashlib
 import re
 import struct
 import zlib
@@ -24,15 +23,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import ship, table
+from ledgerlake.llm.common import Remembered, hand_back, ship, table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 # Kinds of pieces and of models, fields of the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 250_000
+PART_BYTES, CHUNK_BYTES = 24 << 20, 48 << 20  # of remembered parts and of chunks between blanks
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 PAIRS = 700_000
 
@@ -92,8 +92,7 @@ class Transducer:
         # Characters that are neighbours in some piece.
         self.together = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.pairs: dict[int, bool] = {}
-        self.parts: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.parts, self.chunks = Remembered(PART_BYTES), Remembered(CHUNK_BYTES)
         # Blanks start a piece in all usual models; then inputs fall apart before each run of blanks.
         self.splits = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if not any(p[1] == BLANK and p[0] != BLANK for p in self.together) else re.compile("(?s).+")
         self.out = [p.replace(BLANK, " ") if k in (NORMAL, USER, UNUSED) else "" for p, k in zip(self.pieces, self.kinds)]
@@ -168,29 +167,23 @@ class Transducer:
         return out[::-1]
 
     def encode_part(self, text: str) -> bytes:
-        known = self.parts.get(text)
-        if known is None:
-            ids = []
-            for piece, own in self.shortest_path(text):
-                ids += [piece] if piece >= 0 else [self.bytes[b] for b in own.encode()] if self.bytes else [self.unknown]
-            known = np.array(ids, dtype="<u4").tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[text] = known
-        return known
+        ids = []
+        for piece, own in self.shortest_path(text):
+            ids += [piece] if piece >= 0 else [self.bytes[b] for b in own.encode()] if self.bytes else [self.unknown]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
         cuts = [0, *[i for i in range(1, len(chunk)) if chunk[i - 1:i + 1] not in self.together], len(chunk)]
-        known = b"".join(self.encode_part(chunk[a:b]) for a, b in zip(cuts, cuts[1:]))
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        self.chunks[chunk] = known
-        return known
+        return b"".join(self.parts.get(chunk[a:b], self.encode_part) for a, b in zip(cuts, cuts[1:]))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        chunks, known = self.splits.findall(self.normalise(text)), self.chunks
-        return b"".join([known.get(c) or self.encode_chunk(c) for c in chunks])
+        chunks = self.splits.findall(self.normalise(text))
+        known = list(map(self.chunks.young.get, chunks))
+        if None in known:
+            for i in [i for i, ids in enumerate(known) if ids is None]:
+                known[i] = self.chunks.get(chunks[i], self.encode_chunk)
+        return b"".join(known)
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse transduction; bytes that are no character become U+FFFD each, as the library does."""
@@ -212,7 +205,7 @@ def transducer(path: str) -> Transducer:
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", model_path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int), decoded: the ids of each whole text and what they decode to.
+    """doc_id, ids (array of int), ids_crc32 (little-endian unsigned 32-bit), decoded: the ids of each whole text and what they decode to.
 
     Null counts as empty and has no ids. Rows that repeat are encoded each; other columns are not read; an empty table gives
     an empty result. Control strings in a text are ordinary text. U+2581 in a text decodes to a space.
@@ -224,28 +217,19 @@ def encode_pieces(docs: DataFrame, text: str = "text", model_path: str | None =
         for batch in batches:
             for start in range(0, batch.num_rows, 500):  # ids take more room than texts
                 part = batch.slice(start, 500)
-                ids = [np.frombuffer(model.encode(v.as_py() or ""), dtype="<u4") for v in part.column(1)]
+                coded = [model.encode(v.as_py() or "") for v in part.column(1)]
+                ids = [np.frombuffer(c, dtype="<u4") for c in coded]
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))),
-                    pa.array([model.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+                    pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array([model.decode(i) for i in ids], pa.string())],
+                    names=["doc_id", "ids", "ids_crc32", "decoded"])
+        hand_back()
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit), decoded_sha256."""
-    def run(batches):
-        for batch in batches:
-            ids = [np.array(v.values, dtype="<u4") if v.values is not None else np.zeros(0, "<u4") for v in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n_ids": pa.array([len(i) for i in ids], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
-                "decoded_sha256": pa.array([hashlib.sha256(v.as_py().encode()).hexdigest() for v in batch.column(2)], pa.string())})
-
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, decoded string")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digests(encode_pieces(table(spark, sf_dir, "documents")))
+    coded = encode_pieces(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
