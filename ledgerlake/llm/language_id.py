@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import ship, table
+from ledgerlake.llm.common import hand_back, ship, table
 
 # Families of languages by code (fixed values); a code that is not listed is a family of its own.
 FAMILIES = {
@@ -27,7 +27,7 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 BITS = 15
 SAMPLE_PER_LANGUAGE = 1000
 SLICE_BYTES = 4 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits, such as fractions
 UNKNOWN = "und"
 
 # ASCII letters to lower case, other ASCII to blank, bytes of other characters as they are.
@@ -53,7 +53,7 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def lettered(column: pa.Array) -> np.ndarray:
     """Which texts hold a letter; null does not."""
-    return np.array([bool(LETTER.search(v.as_py() or "")) for v in column], dtype=bool)
+    return np.array([any(m.group().isalpha() for m in LETTER.finditer(v.as_py() or "")) for v in column], dtype=bool)
 
 
 def features(data: np.ndarray) -> np.ndarray:
@@ -200,6 +200,7 @@ def language_id(docs: DataFrame, model: Model, text: str = "text", only_lettered
             langs, scores = shared.value.predict(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, "lang_pred", "score"])
+        hand_back()
 
     return docs.mapInArrow(predict, schema)
 

@@ -1,6 +1,9 @@
+import math
+
+import numpy as np
 from text_data import SF, awkward, frame
 
-from ledgerlake.llm.language_id import Model, fit, held_out, language_id, op4_language_id
+from ledgerlake.llm.language_id import Model, fit, grams, held_out, language_id, op4_language_id
 
 
 def test_held_out_accuracy(spark):
@@ -13,6 +16,39 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_numbers_are_no_letters(spark):
+    model = fit(frame(spark, awkward(), "xx"))
+    rows = [(1, "½ ² ①"), (2, "Ⅷ"), (3, "½ a"), (4, "٣_"), (5, "日"), (6, "9" * 10_000 + "é")]
+    assert {r.doc_id: r.lang_pred for r in language_id(frame(spark, rows), model).collect()} == dict(zip(range(1, 7), ["und", "und", "xx", "und", "xx", "xx"]))
+    assert {r.doc_id for r in language_id(frame(spark, rows), model, only_lettered=True).collect()} == {3, 5, 6}
+
+
+def brute(model, text):
+    """Votes over the same weights, one n-gram after the other."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    margin = {k: bias + sum(float(w[g]) for ids in grams(data) for g in ids) / max(1, len(data)) for k, (w, bias) in model.deciders.items()}
+
+    def winner(names):
+        wins = {}
+        for i, a in enumerate(names):
+            for b in names[i + 1:]:
+                chance = 1 / (1 + math.exp(-4 * margin[a, b]))
+                wins[a] = wins.get(a, 0) + (margin[a, b] >= 0) + 1e-3 * chance
+                wins[b] = wins.get(b, 0) + (margin[a, b] < 0) + 1e-3 * (1 - chance)
+        return max(names, key=lambda n: wins.get(n, 0))
+
+    family = winner(sorted(set(model.family.values())))
+    return winner([x for x in model.langs if model.family[x] == family])
+
+
+def test_votes_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit(docs)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect() if r.text and 3 <= len(r.text) < 3000 and any(c.isalpha() for c in r.text)}
+    got = {r.doc_id: r.lang_pred for r in language_id(docs.select("doc_id", "text"), model).collect()}
+    assert len(texts) > 50 and all(got[i] == brute(model, t) for i, t in texts.items())
+
+
 def test_only_the_text_decides(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = fit(docs)
