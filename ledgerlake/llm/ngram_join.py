@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import settle, ship, table
 from ledgerlake.llm.components import components
@@ -319,7 +320,7 @@ def left_pairs(probe: DataFrame, entry: DataFrame, sketches: DataFrame, similari
 
 def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
                     plenty: tuple[int, int] = SEGMENTS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, digest (of its sequence of words) and group (the same for all documents of a component).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a set holds the distinct runs of ``width`` words, or the whole
     sequence if there are fewer. Documents link when |x & y| / |x | y| >= similarity (above 1/2); ``component_id`` is the
@@ -408,11 +409,25 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
             still = settle(still, "open-keys")
             p, e = settle(p.join(still, "key", "left_semi"), "open-probes"), settle(e.join(still, "key", "left_semi"), "open-entries")
 
-    least = classes.join(label, "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("rep", "digest").join(label, "rep").join(least, "component").select("digest", F.col("component_id").alias("component"))
+    least = classes.join(label, "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("digest").alias("group"))
+    of_class = classes.select("rep", "digest").join(label, "rep").join(least, "component").select("digest", F.col("component_id").alias("component"), "group")
     return described.join(of_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "digest", F.coalesce("group", "digest").alias("group"), "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents"))
+    return similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def with_digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the digest of each text's sequence of words (``_digest``)."""
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            digests = [sequence_digest(v.as_py() or b"") for v in batch.column(place).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "_digest"])
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, schema)

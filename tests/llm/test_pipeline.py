@@ -52,3 +52,30 @@ def test_lettered_texts_stay_whatever_was_learned(spark, tmp_path, lang):
     lettered = {i: t for i, t in rows if t and any(c.isalpha() for c in t)}
     after = corpus_pipeline.stage_language_id(spark, docs, str(tmp_path))
     assert after.columns == docs.columns and {r.doc_id: r.text for r in after.collect()} == lettered
+
+
+def run_stage(spark, stage, rows, tmp_path):
+    docs = frame(spark, rows)
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark, tmp_path):
+    rows = [(1, "a"), (1, "b"), (2, "A"), (5, "z"), (5, "z"), (None, "a"), (None, "n"), (None, "n"), (6, "b")]
+    assert run_stage(spark, corpus_pipeline.stage_exact_dedup, rows, tmp_path) == sorted([(2, "A"), (5, "z"), (None, "n"), (6, "b")], key=str)
+
+
+def test_ngram_join_keeps_one_row_of_each_group(spark, tmp_path):
+    base = awkward()[9][1]
+    near, other = base + " tail", "nothing like the others at all"
+    rows = [(10, base), (10, near), (10, other), (11, near + " x"), (12, other + " but for this"), (5, "alone"), (5, "alone too")]
+    got = run_stage(spark, corpus_pipeline.stage_ngram_join, rows, tmp_path)
+    assert sorted((i, t) for i, t in got if t not in (base, near)) == sorted([(10, other), (12, other + " but for this"), (5, "alone"), (5, "alone too")])
+    assert len([t for _, t in got if t in (base, near)]) == 1
+
+
+def test_predictions_fill_in_missing_languages(spark, tmp_path):
+    docs = frame(spark, awkward(), "en").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    out = {r.doc_id: r.lang for r in corpus_pipeline.stage_language_id(spark, docs, str(tmp_path)).collect()}
+    assert set(out.values()) == {"en"} and any(i % 2 for i in out)
