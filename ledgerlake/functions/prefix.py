@@ -24,36 +24,84 @@ _HOW = {
 }
 
 
+Measure = Column | tuple[Column, Column]
+
+
+def _levels(coarse: dict[str, Column], fine: dict[str, Column] | None) -> list[dict[str, Column]]:
+    return [coarse, *({n: e} for n, e in (fine or {}).items())]
+
+
+def _tagged(rows: DataFrame, keys: list[str], measures: dict[str, Measure], levels: list[dict[str, Column]], carried: Column | None) -> DataFrame:
+    """Rows with their key, their cell on every level and what they add to each measure.
+
+    With carried rows the first level starts with ``_ahead``, 0 for those and 1 for all others; their cells have no other parts. Cells are
+    never null themselves: a join would then ask for those that are not, and the aggregation below it would no longer be the one others use.
+    """
+    out = {"_k": F.struct(*keys) if keys else F.lit(0)}
+    for i, level in enumerate(levels):
+        parts = [e.alias(n) if carried is None else F.when(~F.coalesce(carried, F.lit(False)), e).alias(n) for n, e in level.items()]
+        ahead = [F.when(carried, 0).otherwise(1).alias("_ahead")] if carried is not None and not i else []
+        out[f"_l{i}"] = F.struct(*ahead, *parts)
+    for n, m in measures.items():
+        out |= {f"_p_{n}": m[0], f"_n_{n}": m[1]} if isinstance(m, tuple) else {f"_m_{n}": m}
+    return rows.withColumns(out)
+
+
+def _cell_totals(tagged: DataFrame, cells: list[str], measures: dict[str, Measure], fold) -> DataFrame:
+    parts = [c for n, m in measures.items() for c in ([f"_p_{n}", f"_n_{n}"] if isinstance(m, tuple) else [f"_m_{n}"])]
+    return tagged.groupBy("_k", *cells).agg(*[fold(c).alias(c) for c in parts])
+
+
+def openings(rows: DataFrame, keys: list[str], measure: tuple[Column, Column], name: str, coarse: dict[str, Column],
+             fine: dict[str, Column] | None, carried: Column) -> DataFrame:
+    """Keys, ``plus`` and ``minus`` of the carried rows of each key that has any.
+
+    They come out of the same cell totals that ``running_totals`` adds up for this measure, so both cost one aggregation of the rows.
+    """
+    levels = _levels(coarse, fine)
+    totals = _cell_totals(_tagged(rows, keys, {name: measure}, levels, carried), [f"_l{i}" for i in range(len(levels))], {name: measure}, F.sum)
+    ahead = F.col("_l0._ahead") == 0
+    per = totals.groupBy("_k").agg(F.sum(F.when(ahead, F.col(f"_p_{name}"))).alias("plus"), F.sum(F.when(ahead, F.col(f"_n_{name}"))).alias("minus"),
+                                   F.max(ahead).alias("_any"))
+    return per.filter("_any").select("_k.*", "plus", "minus")
+
+
 def running_totals(
     rows: DataFrame,
     keys: list[str],
     order: list[Column],
-    measures: dict[str, Column],
+    measures: dict[str, Measure],
     coarse: dict[str, Column],
     fine: dict[str, Column] | None = None,
     descending: tuple[str, ...] = (),
     how: str = "sum",
     inclusive: bool = True,
+    carried: Column | None = None,
 ) -> DataFrame:
     """Add one running total per entry of ``measures``, per ``keys`` along ``order``.
 
     ``coarse`` is the first level of cells, each entry of ``fine`` a further level inside the one before; it may use any order
     prefix. Keys and cells may be null. ``descending`` names the cells that run from the largest to the smallest value.
-    ``how`` may also be ``max`` or ``min``; without ``inclusive`` a row's own value is left out.
+    ``how`` may also be ``max`` or ``min``; without ``inclusive`` a row's own value is left out. Rows that are ``carried`` come ahead of all
+    others of their key as its opening: they count in the totals of the others and are not returned. A measure may be
+    a pair (plus, minus) of columns that are added up apart.
     """
     fold, combine = _HOW[how]
-    levels = [coarse, *({n: e} for n, e in (fine or {}).items())]
+    levels = _levels(coarse, fine)
     cells, sums = [f"_l{i}" for i in range(len(levels))], [f"_m_{n}" for n in measures]
-    tagged = rows.withColumns(
-        {"_k": F.struct(*keys) if keys else F.lit(0)}
-        | {c: F.struct(*[e.alias(n) for n, e in level.items()]) for c, level in zip(cells, levels)}
-        | {s: e for s, e in zip(sums, measures.values())})
+    tagged = _tagged(rows, keys, measures, levels, carried)
 
     def along(i: int) -> list[Column]:
         parts = [(n, F.col(cells[i]).getField(n)) for n in levels[i]]
-        return [p.desc() if n in descending else p.asc() for n, p in parts]
+        first = [F.col(cells[i]).getField("_ahead")] if carried is not None and not i else []
+        return [*first, *[p.desc() if n in descending else p.asc() for n, p in parts]]
+
+    def value(measure: Measure, name: str) -> Column:
+        return F.col(f"_p_{name}") - F.col(f"_n_{name}") if isinstance(measure, tuple) else F.col(f"_m_{name}")
 
-    totals, before = tagged.groupBy("_k", *cells).agg(*[fold(s).alias(s) for s in sums]), []
+    own = {s: value(m, n) for s, (n, m) in zip(sums, measures.items())}
+    totals, before = _cell_totals(tagged, cells, measures, fold).withColumns(own).select("_k", *cells, *sums), []
+    tagged = tagged.withColumns(own)
     for i in reversed(range(len(levels))):
         upper = ["_k", *cells[:i]]
         w = Window.partitionBy(*upper).orderBy(*along(i)).rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +111,8 @@ def running_totals(
     for i in range(1, len(levels)):
         offsets = before.pop().join(offsets, ["_k", *cells[:i]])
     w = Window.partitionBy("_k", *cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    done = tagged.join(offsets, ["_k", *cells]).withColumns({
+    shown = tagged if carried is None else tagged.filter(~F.coalesce(carried, F.lit(False)))
+    done = shown.join(offsets, ["_k", *cells]).withColumns({
         n: combine([*[F.col(f"_o{i}{s}") for i in range(len(levels))], fold(s).over(w)]) for n, s in zip(measures, sums)})
     return done.select(*rows.columns, *measures)
 
@@ -90,6 +139,35 @@ def row_numbers(rows: DataFrame, name: str, order: list[Column], coarse: dict[st
     return running_totals(rows, keys or [], order, {name: F.lit(1).cast("long")}, coarse, fine, descending)
 
 
+def used(rows: DataFrame) -> Column:
+    """An aggregate that reads every column.
+
+    A side calculation over an aggregated table takes part in the same exchange as the table itself only if it reads the same columns; else Spark prunes it and
+    computes the table once more.
+    """
+    return F.bit_xor(F.xxhash64(*rows.columns)).alias("_used")
+
+
+def scan_totals(rows: DataFrame, order: dict[str, Column], measure: Column, name: str, pieces: int = 64, drawn: int = 4096) -> DataFrame:
+    """Adds the running total of ``measure`` over the whole table, along ``order`` (ascending; it should tell all rows apart).
+
+    A prefix scan over ranges: bounds come from ``drawn`` rows with the smallest hashes, which are the same whenever a task is run again; each range
+    is added up, gets the total of the ranges before it, and is passed through once in order. Only bounds and range totals, ``pieces``
+    numbers each, are known to all tasks.
+    """
+    tagged = rows.withColumn("_o", F.struct(*[e.alias(n) for n, e in order.items()]))
+    some = tagged.orderBy(F.xxhash64("_o"), "_o").limit(drawn).agg(F.sort_array(F.collect_list("_o")).alias("o"), used(rows))
+    cuts = F.transform(F.array(*[F.lit(i) for i in range(1, pieces)]).cast("array<int>"), lambda i: F.get("o", F.floor(i * F.size("o") / pieces).cast("int")))
+    bounds = some.select(F.struct(cuts.alias("cuts"), "_used")).scalar()["cuts"]
+    pieced = tagged.withColumn("_cuts", bounds).withColumns({"_piece": F.size(F.filter("_cuts", lambda b: b <= F.col("_o"))), "_m": measure}).drop("_cuts")
+    totals = pieced.groupBy("_piece").agg(F.sum("_m").alias("t"), used(rows))
+    known = totals.agg(F.struct(F.collect_list(F.struct(F.col("_piece").alias("p"), "t")).alias("all"), F.bit_xor("_used"))).scalar()["all"]
+    kind = totals.schema["t"].dataType
+    before = F.aggregate(F.filter("_known", lambda x: x["p"] < F.col("_piece")), F.lit(0).cast(kind), lambda a, x: (a + F.coalesce(x["t"], F.lit(0))).cast(kind))
+    w = Window.partitionBy("_piece").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    return pieced.withColumn("_run", F.sum("_m").over(w)).withColumn("_known", known).withColumn(name, F.coalesce("_run", F.lit(0)) + before).select(*rows.columns, name)
+
+
 def range_sums(facts: DataFrame, ranges: DataFrame, keys: list[str], range_id: str) -> DataFrame:
     """Sum of ``facts.amount`` over the dates ``start`` to ``end`` of each range, per key.
 

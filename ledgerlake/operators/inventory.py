@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import ProductFilter
 from ledgerlake.functions.labels import product_label
-from ledgerlake.functions.prefix import block, magnitude, row_numbers, running_totals
+from ledgerlake.functions.prefix import row_numbers, scan_totals, used
 from ledgerlake.operators.ledger import MONEY, money
 
 ALL_PRODUCTS = ProductFilter()
@@ -92,6 +92,12 @@ def fsn(moves: DataFrame, products: DataFrame, warehouses: DataFrame | None, sta
     return out.filter(F.col("fsn_classification") == keep) if keep else out
 
 
+def _with_share(rows: DataFrame) -> DataFrame:
+    """Adds each row's share of all stock value, rounded."""
+    total = rows.agg(F.struct(F.sum("stock_value").alias("value"), used(rows))).scalar()["value"]
+    return rows.withColumn("stock_percentage", _percent(F.col("stock_value"), F.coalesce(total, F.lit(0))))
+
+
 def xyz(layers: DataFrame, products: DataFrame, where: ProductFilter = ALL_PRODUCTS, keep: str | None = None) -> DataFrame:
     """Products by share of stock value, largest first, with rounded shares added up.
 
@@ -100,13 +106,8 @@ def xyz(layers: DataFrame, products: DataFrame, where: ProductFilter = ALL_PRODU
     sums = layers.filter(F.col("remaining_value").isNotNull()).groupBy("product_id", "company_id").agg(
         money(F.sum("remaining_qty")).alias("current_stock"), money(F.sum("remaining_value")).alias("stock_value"))
     rows = _labelled(sums, products, True).filter(where.predicate())
-    total = rows.agg(F.sum("stock_value")).scalar()
-    rows = rows.withColumn("stock_percentage", _percent(F.col("stock_value"), F.coalesce(total, F.lit(0))))
-    out = running_totals(
-        rows, [], [F.col("stock_value").desc(), F.col("product_id"), F.col("company_id")],
-        {"cumulative_percentage": F.col("stock_percentage")}, {"size": magnitude("stock_value")},
-        {"hundreds": F.floor(F.col("stock_value") / 256), "value": F.col("stock_value"), "products": block("product_id")},
-        descending=("size", "hundreds", "value"))
+    rows = _with_share(rows)
+    out = scan_totals(rows, {"v": -F.col("stock_value"), "p": F.col("product_id"), "c": F.col("company_id")}, F.col("stock_percentage"), "cumulative_percentage")
     out = out.withColumn("cumulative_percentage", F.col("cumulative_percentage").cast(MONEY)).withColumn(
         "xyz_classification", share_class(F.col("cumulative_percentage")))
     return out.filter(F.col("xyz_classification") == keep) if keep else out
@@ -119,11 +120,9 @@ def fsn_xyz(moves: DataFrame, layers: DataFrame, products: DataFrame, warehouses
     sums = moves.filter(F.col("state") == "done").join(valued, "id").groupBy("product_id", "company_id").agg(
         money(F.sum("remaining_qty")).alias("current_stock"), money(F.sum("remaining_value")).alias("stock_value"), *_fsn_measures(start, end))
     rows = _with_warehouses(_fsn(_labelled(sums, products, True)).filter(where.predicate()), warehouses, where)
-    total = rows.agg(F.sum("stock_value")).scalar()
-    rows = rows.withColumn("stock_percentage", _percent(F.col("stock_value"), F.coalesce(total, F.lit(0))))
+    rows = _with_share(rows)
     per_value = rows.groupBy("stock_value").agg(F.sum("stock_percentage").alias("_p"))
-    upto = running_totals(per_value, [], [F.col("stock_value").desc()], {"cumulative_percentage": F.col("_p")},
-                          {"size": magnitude("stock_value")}, {"hundreds": F.floor(F.col("stock_value") / 256)}, descending=("size", "hundreds"))
+    upto = scan_totals(per_value, {"v": -F.col("stock_value")}, F.col("_p"), "cumulative_percentage")
     out = rows.join(upto.select("stock_value", F.col("cumulative_percentage").cast(MONEY).alias("cumulative_percentage")), "stock_value")
     out = out.withColumn("xyz_classification", share_class(F.col("cumulative_percentage")))
     out = out.withColumn("combined_classification", F.concat(F.substring("fsn_classification", 1, 1), F.col("xyz_classification"))).select(

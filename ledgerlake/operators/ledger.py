@@ -6,14 +6,14 @@ full_reconcile_id, tax_line_id, parent_state, display_type.
 """
 
 from dataclasses import replace
-from datetime import date, timedelta
+from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.filters import INITIAL, STRICT, LedgerFilter, display_account, states
+from ledgerlake.functions.filters import STRICT, LedgerFilter, display_account, states
 from ledgerlake.functions.labels import ledger_display_name
-from ledgerlake.functions.prefix import block, documents, row_numbers, running_totals
+from ledgerlake.functions.prefix import block, documents, openings, row_numbers, running_totals
 
 MONEY = "decimal(18,2)"
 PAGE_SIZE = 20
@@ -106,13 +106,14 @@ def _named(lines: DataFrame, journals: DataFrame, partners: DataFrame | None) ->
     return out.join(partners.select(F.col("id").alias("partner_id"), F.col("name").alias("partner_name")), "partner_id", "left")
 
 
-def _opening_rows(before: DataFrame, start: date) -> DataFrame:
-    """One row per account with its earlier amounts, dated so that it sorts ahead of the period."""
+def _opening_rows(opening: DataFrame) -> DataFrame:
+    """One row per account with its earlier amounts."""
     text = F.lit(None).cast("string")
-    return before.groupBy("account_id").agg(*sums("debit", "credit")).select(
-        F.lit(0).cast("long").alias("line_id"), F.lit(0).cast("long").alias("move_id"), "account_id", F.lit(start - timedelta(days=1)).alias("date"),
-        F.lit(None).cast("long").alias("journal_id"), F.lit(None).cast("long").alias("partner_id"), text.alias("move_name"), text.alias("ref"), F.lit("Initial Balance").alias("name"),
-        F.lit(None).cast("long").alias("currency_id"), F.lit(0).cast(MONEY).alias("amount_currency"), "debit", "credit", F.lit(True).alias("opening"))
+    debit, credit = F.col("plus").cast(MONEY), F.col("minus").cast(MONEY)
+    return opening.select(
+        F.lit(0).cast("long").alias("line_id"), "account_id", F.lit(None).cast("date").alias("date"), text.alias("journal_code"), text.alias("partner_name"),
+        text.alias("move_name"), text.alias("ref"), F.lit("Initial Balance").alias("name"), F.lit(None).cast("long").alias("currency_id"),
+        F.lit(0).cast(MONEY).alias("amount_currency"), debit.alias("debit"), credit.alias("credit"), (debit - credit).cast(MONEY).alias("running_balance"))
 
 
 def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, where: LedgerFilter,
@@ -126,30 +127,33 @@ def general_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, w
     """
     base = ["move_id", "account_id", "date", "journal_id", "partner_id", *_GL[5:]]
     opened = initial_balance and where.date_from
-    # With an opening row the detail starts at its day: earlier lines are in the opening already.
-    inside = replace(where, mode=STRICT) if opened else where
-    detail = inside.apply(lines, accounts).select(F.col("id").alias("line_id"), *base).withColumn("opening", F.lit(False))
-    if opened:
-        # The opening row takes part in the running balance as the first row of its account.
-        before = replace(where, mode=INITIAL, date_to=None).apply(lines, accounts)
-        detail = detail.unionByName(_opening_rows(before, where.date_from).select(*detail.columns))
-    delta = {"running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)}
+    # With an opening row earlier lines are read along: they only add to the balances, as what is carried over.
+    day = F.col("date_maturity" if where.use_maturity else "date")
+    carried = day < F.lit(where.date_from) if opened else F.lit(False)
+    inside = replace(where, date_from=None, mode=STRICT) if opened else where
+    read = inside.apply(lines, accounts)
+    detail = (read.filter(day.isNotNull()) if opened else read).select(F.col("id").alias("line_id"), *base, carried.alias("_carried"))
+    delta = {"running_balance": (F.col("debit"), F.col("credit"))}
+    ahead = F.col("_carried") if opened else None
     fine = documents(line="line_id")
     if sort_by == "date":
         # Names are attached afterwards: the totals need neither journal nor partner.
         order = [F.col("date"), F.col("move_id"), F.col("line_id")]
-        run = _named(running_totals(detail, ["account_id"], order, delta, {"day": F.col("date")}, fine), journals, partners)
+        coarse = {"day": F.col("date")}
+        run = _named(running_totals(detail, ["account_id"], order, delta, coarse, fine, carried=ahead), journals, partners)
     else:
         nameless = F.col("partner_name").isNull()
         detail = _named(detail, journals, partners).withColumns(
             {"_journal": F.coalesce("journal_code", F.lit("")), "_partner": F.coalesce("partner_name", F.lit(""))})
         order = [F.col("_journal"), nameless, F.col("_partner"), F.col("move_id"), F.col("line_id")]
-        # A missing partner sorts last, as in the order itself; the opening row has no journal and sorts first.
+        # A missing partner sorts last, as in the order itself.
         coarse = {"journal": F.col("_journal"), "nameless": nameless}
         names = {f"partner{n}": F.substring("_partner", 1, n) for n in (3, 6, 9)} | {"partner": F.col("_partner")}
-        run = running_totals(detail, ["account_id"], order, delta, coarse, names | fine)
-    body = run.select("line_id", "account_id", F.when(~F.col("opening"), F.col("date")).alias("date"), *_GL[3:],
-                      F.col("running_balance").cast(MONEY).alias("running_balance"))
+        fine = names | fine
+        run = running_totals(detail, ["account_id"], order, delta, coarse, fine, carried=ahead)
+    body = run.select("line_id", "account_id", "date", *_GL[3:], F.col("running_balance").cast(MONEY).alias("running_balance"))
+    if opened:
+        body = body.unionByName(_opening_rows(openings(detail, ["account_id"], delta["running_balance"], "running_balance", coarse, fine, ahead)))
     if show == "not_zero":
         closing = body.groupBy("account_id").agg(F.sum(F.col("debit") - F.col("credit")).alias("_b")).filter(F.round("_b", 2) != 0)
         body = body.join(closing.select("account_id"), "account_id", "left_semi").select(*body.columns)
@@ -174,27 +178,52 @@ def general_ledger_summary(lines: DataFrame, accounts: DataFrame, start: date, e
     return out.filter((F.col("ending_debit") != 0) | (F.col("ending_credit") != 0))
 
 
+def ledger_days(lines: DataFrame, key: str = "account_id") -> DataFrame:
+    """Lines and change of balance per key and day: the cells by which ``ledger_page`` finds its rows (A6). Worth keeping as a table."""
+    return lines.groupBy(key, "date").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("debit") - F.col("credit")).cast(MONEY).alias("change"))
+
+
+def _seek(days: DataFrame, start: date, first: int, size: int) -> dict:
+    """Where a page lies: its first and last day, the lines and the balance before that day, and the number of lines.
+
+    ``days`` has one key; the window runs over its days, of which there are as many as the calendar has. The answer, one row, is fetched: only days that
+    are known when the page is planned are compared with the statistics of the files.
+    """
+    inside = F.col("date") >= F.lit(start)
+    days = days.select(F.when(inside, F.col("date")).alias("day"), F.when(inside, F.col("lines")).otherwise(0).alias("n"), "change")
+    earlier = Window.orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    run = days.groupBy("day").agg(F.sum("n").alias("n"), F.sum("change").alias("change")).select(
+        "day", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"), money(F.sum("change").over(earlier)).alias("balance"))
+    holds = F.when((F.col("skipped") < first + size) & (F.col("skipped") + F.col("n") > first), F.col("day"))
+    return run.agg(F.min(holds).alias("first"), F.max(holds).alias("last"), F.min_by("skipped", holds).alias("skipped"),
+                   F.min_by("balance", holds).alias("balance"), F.sum("n").alias("lines")).first().asDict()
+
+
+def _page_rows(chosen: DataFrame, days: DataFrame, start: date, order: list[Column], fine: dict[str, Column], page: int, size: int) -> DataFrame:
+    """Rows of one page with ``row_no``, ``running_balance`` and ``line_count``; only the days that hold the page are read in full."""
+    first = page * size
+    place = _seek(days, start, first, size)
+    near = chosen.filter(F.col("date").between(F.lit(place["first"]), F.lit(place["last"])))
+    run = running_totals(near, [], order, {"row_no": F.lit(1).cast("long"), "running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)},
+                         {"day": F.col("date")}, fine)
+    run = run.withColumns({"row_no": F.col("row_no") + F.lit(place["skipped"]).cast("long"), "line_count": F.lit(place["lines"]).cast("long"),
+                           "running_balance": (F.col("running_balance") + F.lit(place["balance"]).cast(MONEY)).cast(MONEY)})
+    return run.filter(F.col("row_no").between(first + 1, first + size))
+
+
 def ledger_page(lines: DataFrame, accounts: DataFrame, journals: DataFrame, account_id: int, start: date, end: date,
-                page: int = 0, page_size: int = PAGE_SIZE, where: LedgerFilter = LedgerFilter()) -> DataFrame:
+                page: int = 0, page_size: int = PAGE_SIZE, where: LedgerFilter = LedgerFilter(), days: DataFrame | None = None) -> DataFrame:
     """One page of an account's lines with running balance and the number of lines.
 
-    Running numbers come from cell offsets, so only the page's rows leave the executors.
+    Totals by day tell on which days the page lies and what comes before; then only these days are read. ``days`` are such totals
+    kept from before (``ledger_days`` of the lines that ``where`` chooses, its dates aside); else they are counted in one narrow pass.
     """
-    only = replace(where, account_ids=(account_id,), date_from=start, date_to=end, mode=STRICT)
-    chosen = only.apply(lines, accounts)
-    before = F.col("date") < F.lit(start)
-    totals = replace(only, date_from=None).apply(lines, accounts).agg(F.struct(
-        money(F.sum(F.when(before, F.col("debit") - F.col("credit")))).alias("opening"), F.count_if(~before).alias("lines"))).scalar()
-    order = [F.col("date"), F.col("move_id"), F.col("id")]
-    run = running_totals(chosen, ["account_id"], order,
-                         {"row_no": F.lit(1).cast("long"), "running_balance": (F.col("debit") - F.col("credit")).cast(MONEY)},
-                         {"day": F.col("date")}, documents())
-    first = page * page_size
-    rows = run.filter(F.col("row_no").between(first + 1, first + page_size))
+    chosen = replace(where, account_ids=(account_id,), date_from=None, date_to=end, mode=STRICT).apply(lines, accounts)
+    known = ledger_days(chosen) if days is None else days.filter((F.col("account_id") == account_id) & (F.col("date") <= F.lit(end)))
+    rows = _page_rows(chosen, known, start, [F.col("date"), F.col("move_id"), F.col("id")], documents(), page, page_size)
     j = journals.select(F.col("id").alias("journal_id"), F.col("code").alias("journal_code"))
-    return rows.join(j, "journal_id").select(
-        "row_no", F.col("id").alias("line_id"), "date", "journal_code", "move_name", "name", "debit", "credit",
-        (F.col("running_balance") + totals["opening"]).cast(MONEY).alias("running_balance"), totals["lines"].alias("line_count"))
+    return rows.join(j, "journal_id").select("row_no", F.col("id").alias("line_id"), "date", "journal_code", "move_name", "name", "debit", "credit",
+                                             "running_balance", "line_count")
 
 
 # Ledger sides of a partner report.
@@ -234,6 +263,20 @@ def partner_ledger(lines: DataFrame, accounts: DataFrame, journals: DataFrame, p
         "debit", "credit", F.col("progress").cast(MONEY).alias("progress"))
 
 
+def partner_page(lines: DataFrame, accounts: DataFrame, journals: DataFrame, partner_id: int, start: date, end: date, page: int = 0,
+                 page_size: int = PAGE_SIZE, where: LedgerFilter = LedgerFilter(), side: str = "customer", target_move: str = "all",
+                 reconciled: bool = True, days: DataFrame | None = None) -> DataFrame:
+    """One page of a partner's receivable and payable lines, the balance going on from the opening one (A7); ``days`` as in ``ledger_page``, by partner."""
+    only = replace(where, partner_ids=(partner_id,), date_from=None, date_to=end, mode=STRICT)
+    chosen = _partner_lines(lines, accounts, only, side, target_move, reconciled)
+    known = ledger_days(chosen, "partner_id") if days is None else days.filter((F.col("partner_id") == partner_id) & (F.col("date") <= F.lit(end)))
+    rows = _page_rows(chosen, known, start, [F.col("date"), F.col("id")], {"lines": block("id")}, page, page_size)
+    j = journals.select(F.col("id").alias("journal_id"), F.col("code").alias("journal_code"))
+    return rows.join(j, "journal_id", "left").select(
+        "row_no", F.col("id").alias("line_id"), "date", "journal_code", "account_name", ledger_display_name("move_name", "ref", "name").alias("displayed_name"),
+        "debit", "credit", "running_balance", "line_count")
+
+
 def partner_totals(lines: DataFrame, accounts: DataFrame, where: LedgerFilter, side: str = "customer",
                    target_move: str = "all", reconciled: bool = True) -> DataFrame:
     """Debit, credit and balance per partner."""
@@ -296,6 +339,12 @@ def liquidity_book(lines: DataFrame, accounts: DataFrame, journals: DataFrame, w
                           initial_balance)
 
 
+def journal_payment_accounts(journals: DataFrame) -> DataFrame:
+    """(journal_id, account_id) from the payment accounts that journals list, incoming and outgoing."""
+    listed = F.concat(*[F.coalesce(c, F.array().cast("array<bigint>")) for c in ("inbound_account_ids", "outbound_account_ids")])
+    return journals.select(F.col("id").alias("journal_id"), F.explode(listed).alias("account_id")).filter("account_id IS NOT NULL").distinct()
+
+
 def day_book(lines: DataFrame, accounts: DataFrame, where: LedgerFilter, target_move: str = "all") -> DataFrame:
     """Totals per day that has lines."""
     base = where.apply(lines, accounts).filter(F.col("parent_state").isin(states(target_move)))

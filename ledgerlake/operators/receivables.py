@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +32,32 @@ def _due() -> Column:
     return F.coalesce("date_maturity", "date")
 
 
-def matched_by_line(partials: DataFrame, asof: date) -> DataFrame:
+def currency_factors(companies: DataFrame, rates: DataFrame, currency_id: int, day: date) -> DataFrame:
+    """What an amount of each company is multiplied by to be in ``currency_id`` at the rates of ``day`` (company_id, factor).
+
+    ``companies`` has id and currency_id; rates are units per base unit, the latest one up to the day counts and a currency without one is the base.
+    """
+    valid = rates.filter(F.col("date") <= F.lit(day)).groupBy("currency_id").agg(F.max_by("rate", "date").cast("double").alias("rate"))
+    wanted = valid.filter(F.col("currency_id") == currency_id).agg(F.max("rate")).scalar()
+    own = companies.select(F.col("id").alias("company_id"), "currency_id").join(valid, "currency_id", "left")
+    return own.select("company_id", F.round(F.coalesce(wanted, F.lit(1.0)) / F.coalesce("rate", F.lit(1.0)), 9).cast("decimal(18,9)").alias("factor"))
+
+
+def _converted(rows: DataFrame, amount: str, factors: DataFrame | None) -> DataFrame:
+    """``amount`` in the currency of ``factors``, each row rounded by itself; companies without a factor keep theirs."""
+    if factors is None:
+        return rows
+    out = rows.join(factors, "company_id", "left").withColumn(amount, F.round(F.col(amount) * F.coalesce("factor", F.lit(1).cast("decimal(18,9)")), 2).cast(MONEY))
+    return out.select(*rows.columns)
+
+
+def matched_by_line(partials: DataFrame, asof: date, factors: DataFrame | None = None) -> DataFrame:
     """Per line: net amount matched up to the day, and whether something was matched later.
 
     A match counts positive on its credit line and negative on its debit line. Both sides are one
-    exploded pass, combined map-side before the shuffle.
+    exploded pass, combined map-side before the shuffle. With ``factors`` every match is converted by its ``company_id``.
     """
+    partials = _converted(partials, "amount", factors)
     sides = partials.select("max_date", F.explode(F.array(
         F.struct(F.col("credit_line_id").alias("id"), F.col("amount").alias("signed")),
         F.struct(F.col("debit_line_id").alias("id"), (-F.col("amount")).cast(MONEY).alias("signed")))).alias("s"))
@@ -51,15 +72,16 @@ def _typed(lines: DataFrame, accounts: DataFrame, types: tuple[str, ...]) -> Dat
     return lines.join(chosen, "account_id", "left_semi")
 
 
-def open_lines(lines: DataFrame, accounts: DataFrame, partials: DataFrame, p: AgeingParams) -> DataFrame:
-    """Ledger lines with their amount open on the as-of date."""
+def open_lines(lines: DataFrame, accounts: DataFrame, partials: DataFrame, p: AgeingParams, factors: DataFrame | None = None) -> DataFrame:
+    """Ledger lines with their amount open on the as-of date, in company currency or, with ``factors``, in that of the user."""
     base = _typed(lines, accounts, p.account_types).filter(
         F.col("parent_state").isin(states(p.target_move)) & (F.col("date") <= F.lit(p.asof)))
     if p.company_ids:
         base = base.filter(F.col("company_id").isin(list(p.company_ids)))
     if p.partner_ids:
         base = base.filter(F.col("partner_id").isin(list(p.partner_ids)) | F.col("partner_id").isNull())
-    matched = matched_by_line(partials, p.asof)
+    matched = matched_by_line(partials, p.asof, factors)
+    base = _converted(base, "balance", factors)
     return (base.join(matched, "id", "left")
             .withColumn("due", _due())
             .withColumn("listed", ~F.coalesce("reconciled", F.lit(False)) | F.coalesce("matched_later", F.lit(False)))
@@ -74,9 +96,9 @@ def period_index(due: Column, asof: date, period: int) -> Column:
     return F.when(late <= 0, F.lit(NOT_DUE)).otherwise(overdue)
 
 
-def aged_lines(lines: DataFrame, accounts: DataFrame, partials: DataFrame, p: AgeingParams) -> DataFrame:
-    """Each contributing line with its amount and period (B2); unlisted partners are left out."""
-    opened = open_lines(lines, accounts, partials, p)
+def aged_lines(lines: DataFrame, accounts: DataFrame, partials: DataFrame, p: AgeingParams, factors: DataFrame | None = None) -> DataFrame:
+    """Each contributing line with its amount and period (B2); unlisted partners are left out. ``factors``: see ``currency_factors``."""
+    opened = open_lines(lines, accounts, partials, p, factors)
     listed = opened.filter("listed").select(F.coalesce("partner_id", F.lit(-1)).alias("_p")).distinct()
     return (opened.filter(F.round("amount", 2) != 0)
             .withColumn("_p", F.coalesce("partner_id", F.lit(-1))).join(listed, "_p", "left_semi")
@@ -87,12 +109,13 @@ def aged_lines(lines: DataFrame, accounts: DataFrame, partials: DataFrame, p: Ag
 _BANDS = ["not_due", "period_5", "period_4", "period_3", "period_2", "period_1"]
 
 
-def aged_balance(lines: DataFrame, accounts: DataFrame, partials: DataFrame, partners: DataFrame, p: AgeingParams) -> DataFrame:
+def aged_balance(lines: DataFrame, accounts: DataFrame, partials: DataFrame, partners: DataFrame, p: AgeingParams,
+                 factors: DataFrame | None = None) -> DataFrame:
     """Open amounts per partner and period (B1); partners with nothing open are dropped.
 
-    ``period_5`` is the newest overdue band and ``period_1`` the oldest.
+    ``period_5`` is the newest overdue band and ``period_1`` the oldest. ``factors`` turn all amounts into one currency (``currency_factors``).
     """
-    opened = open_lines(lines, accounts, partials, p).withColumn("_k", period_index(F.col("due"), p.asof, p.period))
+    opened = open_lines(lines, accounts, partials, p, factors).withColumn("_k", period_index(F.col("due"), p.asof, p.period))
     bands = [sum_if(F.col("_k") == NOT_DUE, "amount", "not_due")]
     bands += [sum_if(F.col("_k") == k, "amount", f"period_{k}") for k in range(5, 0, -1)]
     per = opened.groupBy("partner_id").agg(*bands, F.max("listed").alias("_listed"))
@@ -138,7 +161,7 @@ def aged_bucket_detail(lines: DataFrame, accounts: DataFrame, partials: DataFram
                        bounds: list[int]) -> DataFrame:
     """Open amounts per document and due date (B5); rows without any amount are dropped.
 
-    Present a partner's rows by ``date``; page with ``paged``.
+    Present a partner's rows by ``date``; page with ``paged`` or, from page to page, with ``next_page``.
     """
     opened = open_lines(lines, accounts, partials, p).filter((F.col("balance") != 0) & F.col("partner_id").isNotNull())
     keys = ["partner_id", "date", "date_maturity", "move_id", "move_name", "journal_id", "account_id"]
@@ -159,12 +182,26 @@ def paged(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def next_page(df: DataFrame, order: list[str], size: int, after: Column | None = None) -> DataFrame:
+    """The ``size`` rows that follow the cursor ``after``, a struct of the ``order`` columns of the last row seen (see ``cursor``); null sorts first.
+
+    Unlike an offset, no earlier row is kept or sorted, so the hundredth page costs what the first one does. ``order`` should tell rows apart.
+    """
+    later = df if after is None else df.filter(F.struct(*order) > after)
+    return later.orderBy(*order).limit(size)
+
+
+def cursor(page: DataFrame, order: list[str]) -> Column:
+    """Where a page ends, for ``next_page``."""
+    return page.agg(F.max(F.struct(*order))).scalar()
+
+
 def partners_with_lines(lines: DataFrame, accounts: DataFrame, partners: DataFrame, types: tuple[str, ...],
-                        page: int = 0, size: int = PARTNER_PAGE) -> DataFrame:
-    """A page of the partners that have such lines, by name."""
+                        page: int = 0, size: int = PARTNER_PAGE, after: Column | None = None) -> DataFrame:
+    """A page of the partners that have such lines, by name (B20): by its number, or the one after a cursor of (name, partner_id)."""
     used = _typed(lines, accounts, types).filter(F.col("partner_id").isNotNull()).select(F.col("partner_id").alias("id")).distinct()
     named = partners.join(used, "id", "left_semi").select(F.col("id").alias("partner_id"), "name")
-    return paged(named, [F.col("name"), F.col("partner_id")], page, size)
+    return paged(named, [F.col("name"), F.col("partner_id")], page, size) if after is None else next_page(named, ["name", "partner_id"], size, after)
 
 
 # Document kinds per statement.
@@ -320,6 +357,25 @@ def letter_texts(lines: DataFrame, accounts: DataFrame, levels: DataFrame, compa
         "partner_id", F.coalesce("_text", default).alias("text"))
 
 
+# Placeholders of a letter.
+PLACEHOLDERS = ("partner_name", "date", "company_name", "user_signature")
+
+
+def filled_letters(texts: DataFrame, partners: DataFrame, day: date, company_name: str, signature: str = "", date_format: str | Column = "yyyy-MM-dd") -> DataFrame:
+    """Letter texts (partner_id, text) with their placeholders filled in.
+
+    ``date_format`` may be a column of ``partners``, for the partner's language; where it is null the ISO form counts. A name that is missing is empty, and
+    ``%%`` is a percent sign.
+    """
+    fmt = F.lit(date_format) if isinstance(date_format, str) else F.coalesce(date_format, F.lit("yyyy-MM-dd"))
+    named = partners.select(F.col("id").alias("partner_id"), F.coalesce("name", F.lit("")).alias("_name"), F.call_function("date_format", F.lit(day), fmt).alias("_day"))
+    values = dict(zip(PLACEHOLDERS, (F.coalesce("_name", F.lit("")), F.coalesce("_day", F.lit(day.isoformat())), F.lit(company_name), F.lit(signature))))
+    # Values may hold a placeholder or percent signs themselves, so the text is taken apart once and never read again.
+    pieces = F.split("text", r"(?=%%|%\((?:" + "|".join(PLACEHOLDERS) + r")\)s)|(?<=%%)|(?<=\)s)")
+    value = lambda x: reduce(lambda c, n: c.when(x == f"%({n})s", values[n]), PLACEHOLDERS, F.when(x == "%%", F.lit("%"))).otherwise(x)
+    return texts.join(named, "partner_id", "left").select("partner_id", F.array_join(F.transform(pieces, value), "").alias("text"))
+
+
 def followup_status(invoices: DataFrame, levels: DataFrame, today: date) -> DataFrame:
     """Amounts due, next reminder and status per partner (B18); reads unpaid customer invoices."""
     delay = levels.agg(F.min("delay")).scalar()
@@ -336,14 +392,16 @@ def followup_status(invoices: DataFrame, levels: DataFrame, today: date) -> Data
     return out.withColumn("followup_status", status)
 
 
-def credit_limits(balances: DataFrame, partners: DataFrame) -> DataFrame:
+def credit_limits(balances: DataFrame, partners: DataFrame, enabled: bool = True) -> DataFrame:
     """Amount due against the partner's warning and blocking limits; a limit of 0 is off.
 
-    ``balances`` holds one row per partner with the receivable (``credit``) and payable (``debit``) side.
+    ``balances`` holds one row per partner with the receivable (``credit``) and payable (``debit``) side. Limits count only where they are
+    ``enabled`` at all and the partner has them switched on (``active_limit``); elsewhere nothing is flagged.
     """
-    p = partners.select(F.col("id").alias("partner_id"), "name", "warning_stage", "blocking_stage")
+    active = F.coalesce("active_limit", F.lit(False)) & F.lit(enabled)
+    p = partners.select(F.col("id").alias("partner_id"), "name", "warning_stage", "blocking_stage", active.alias("_on"))
     due = (F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))).cast(MONEY)
     out = p.join(balances, "partner_id", "left").withColumn("due_amount", due)
-    over = {s: (F.col(f"{s}_stage") != 0) & (F.col("due_amount") >= F.col(f"{s}_stage")) for s in ("warning", "blocking")}
-    return out.select("partner_id", "name", "due_amount", (F.col("due_amount") > 0).alias("has_due"),
+    over = {s: F.col("_on") & (F.col(f"{s}_stage") != 0) & (F.col("due_amount") >= F.col(f"{s}_stage")) for s in ("warning", "blocking")}
+    return out.select("partner_id", "name", "due_amount", (F.col("_on") & (F.col("due_amount") > 0)).alias("has_due"),
                       over["warning"].alias("is_warning"), over["blocking"].alias("is_blocked"))

@@ -1,10 +1,12 @@
 """Tax reports over tagged journal lines."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import LedgerFilter, states
-from ledgerlake.functions.periods import Period, in_periods
+from ledgerlake.functions.periods import Period, span
 from ledgerlake.operators.ledger import MONEY, money
 
 
@@ -52,37 +54,46 @@ def tax_report(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, accoun
             .select("section", "tax_id", "name", money(F.col("net")).alias("net"), "tax"))
 
 
-def _tax_cells(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, periods: list[Period]) -> DataFrame:
-    """(tax, period) with net and tax amounts; a group's base also counts for its children due on invoice."""
-    tagged = in_periods(lines, periods)
-    base = _base_lines(tagged, line_taxes).groupBy("tax_id", "period").agg(F.sum("balance").alias("net"))
-    groups = taxes.filter(F.col("amount_type") == "group").select(F.col("id").alias("tax_id"))
-    children = taxes.filter(F.col("parent_id").isNotNull() & (F.col("exigibility") == "on_invoice") & (F.col("amount_type") != "group"))
-    through = base.join(groups, "tax_id", "left_semi").join(
-        children.select(F.col("parent_id").alias("tax_id"), F.col("id").alias("child_id")), "tax_id").select(
-        F.col("child_id").alias("tax_id"), "period", "net")
-    net = base.unionByName(through).select("tax_id", "period", "net", F.lit(None).cast(MONEY).alias("tax"))
-    tax = tagged.filter(F.col("tax_line_id").isNotNull()).groupBy(F.col("tax_line_id").alias("tax_id"), "period").agg(F.sum("balance").alias("tax"))
-    tax = tax.select("tax_id", "period", F.lit(None).cast(MONEY).alias("net"), "tax")
-    return net.unionByName(tax).groupBy("tax_id", "period").agg(money(F.sum("net")).alias("net"), money(F.sum("tax")).alias("tax"))
+def _tax_amounts(lines: DataFrame, line_taxes: DataFrame, periods: list[Period]) -> DataFrame:
+    """Per tax a net and a tax sum for each period, from one pass over the ledger.
+
+    A line carries the set of its periods as bits, so it is one row however many there are, and sums pick their bit.
+    """
+    day = F.col("date")
+    inside = [(day <= F.lit(p.end)) & (day >= F.lit(p.start) if p.start else F.lit(True)) for p in periods]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(inside)])
+    marked = lines.filter(span(periods)).select("id", "tax_line_id", "balance", mask.alias("_in")).filter("_in <> 0")
+    part = lambda tax, net, amount: F.struct(tax.cast("long").alias("tax_id"), net.cast(MONEY).alias("net"), amount.cast(MONEY).alias("tax"))
+    nothing, none = F.lit(None), F.array().cast("array<struct<tax_id: bigint, net: decimal(18,2), tax: decimal(18,2)>>")
+    bases = F.coalesce(F.transform("_taxes", lambda t: part(t, F.col("balance"), nothing)), none)
+    own = F.when(F.col("tax_line_id").isNotNull(), F.array(part(F.col("tax_line_id"), nothing, F.col("balance")))).otherwise(none)
+    tagged = marked.join(line_taxes.groupBy(F.col("line_id").alias("id")).agg(F.collect_list("tax_id").alias("_taxes")), "id", "left")
+    amounts = [F.sum(F.when(F.col("_in").bitwiseAND(F.lit(1 << i)) != 0, F.col(n))).alias(f"_{n}_{i}") for i in range(len(periods)) for n in ("net", "tax")]
+    return tagged.select("_in", F.inline(F.concat(bases, own))).groupBy("tax_id").agg(*amounts)
 
 
 def taxes_by_period(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, accounts: DataFrame, where: LedgerFilter,
                     periods: list[Period]) -> DataFrame:
     """One row per tax with a net and a tax column for each period (A14); sale amounts change sign.
 
-    A group shows its own base and the tax of its children; children themselves stay hidden.
+    A group shows its own base and the tax of its children; children themselves stay hidden. A group's base also counts for its
+    children due on invoice.
     """
-    cells = _tax_cells(where.apply(lines, accounts), line_taxes, taxes, periods)
+    nets, owed = ([f"_{n}_{i}" for i in range(len(periods))] for n in ("net", "tax"))
+    amounts = _tax_amounts(where.apply(lines, accounts), line_taxes, periods)
+    nothing = F.lit(None).cast(MONEY)
     hidden = taxes.filter((F.col("type_tax_use") == "none") & F.col("parent_id").isNotNull())
-    up = cells.join(hidden.select(F.col("id").alias("tax_id"), "parent_id"), "tax_id").select(
-        F.col("parent_id").alias("tax_id"), "period", F.lit(0).cast(MONEY).alias("net"), "tax")
-    rows = cells.unionByName(up)
-    amounts = []
-    for i, p in enumerate(periods):
-        inside = F.col("period") == p.label
-        amounts += [money(F.sum(F.when(inside, F.col("net")))).alias(f"_net_{i}"), money(F.sum(F.when(inside, F.col("tax")))).alias(f"_tax_{i}")]
-    wide = rows.groupBy("tax_id").agg(*amounts)
+    # Which other taxes an amount also counts for: a group's net for its children, a hidden child's tax for its group.
+    through = taxes.filter(F.col("parent_id").isNotNull() & (F.col("exigibility") == "on_invoice") & (F.col("amount_type") != "group")).join(
+        taxes.filter(F.col("amount_type") == "group").select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(
+        F.col("parent_id").alias("tax_id"), F.col("id").alias("to"), F.lit("net").alias("what"))
+    up = hidden.select(F.col("id").alias("tax_id"), F.col("parent_id").alias("to"), F.lit("tax").alias("what"))
+    also = through.unionByName(up).groupBy("tax_id").agg(F.collect_list(F.struct("to", "what")).alias("_also"))
+    itself = F.array(F.struct(F.col("tax_id").alias("to"), F.lit("both").alias("what")))
+    spread = amounts.join(also, "tax_id", "left").withColumn("_t", F.explode(F.concat(itself, F.coalesce("_also", F.slice(itself, 1, 0)))))
+    kept = lambda c, kind: F.when(F.col("_t.what").isin("both", kind), F.col(c)).otherwise(nothing).alias(c)
+    wide = spread.select(F.col("_t.to").alias("tax_id"), *[kept(c, "net") for c in nets], *[kept(c, "tax") for c in owed]).groupBy("tax_id").agg(
+        *[money(F.sum(c)).alias(c) for c in [*nets, *owed]])
     groups = hidden.select(F.col("parent_id").alias("tax_id")).distinct().withColumn("_has_children", F.lit(True))
     shown = taxes.filter(F.col("type_tax_use") != "none").withColumnRenamed("id", "tax_id").join(groups, "tax_id", "left")
     shown = shown.filter((F.col("amount_type") != "group") | F.col("_has_children"))

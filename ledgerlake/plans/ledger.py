@@ -193,6 +193,19 @@ def _(t):
     return op.partner_ledger(t.move_line, t.account, t.journal, t.partner, ALL_YEAR, side="customer_supplier", reconciled=False)
 
 
+@FAMILY.query("a7_partner_page", sql("move_line account journal", f"""
+    SELECT row_no, line_id, date, journal_code, account_name, displayed_name, {d("debit", "credit")}, CAST(running_balance + opening AS DOUBLE) AS running_balance, line_count
+    FROM (SELECT ROW_NUMBER() OVER w AS row_no, m.id AS line_id, m.date, j.code AS journal_code, a.name AS account_name,
+          array_to_string([x FOR x IN [move_name, m.ref, m.name] IF x IS NOT NULL AND x NOT IN ('', '/')], '-') AS displayed_name, debit, credit,
+          SUM(debit - credit) OVER (ORDER BY m.date, m.id ROWS UNBOUNDED PRECEDING) AS running_balance, COUNT(*) OVER () AS line_count,
+          (SELECT COALESCE(SUM(debit - credit), 0) FROM move_line x JOIN account y ON y.id = x.account_id AND y.account_type = 'asset_receivable'
+           WHERE {OK} AND partner_id = 14 AND {BEFORE}) AS opening
+          FROM move_line m JOIN account a ON a.id = m.account_id AND NOT a.deprecated AND a.account_type = 'asset_receivable' LEFT JOIN journal j ON j.id = m.journal_id
+          WHERE {OK} AND m.partner_id = 14 AND {YEAR} WINDOW w AS (ORDER BY m.date, m.id)) WHERE row_no BETWEEN 6 AND 10"""))
+def _(t):
+    return op.partner_page(t.move_line, t.account, t.journal, 14, START, END, page=1, page_size=5)
+
+
 @FAMILY.query("a8_partner_totals", sql("move_line account", f"""
     SELECT partner_id, CAST(SUM(debit) AS DOUBLE) AS debit, CAST(SUM(credit) AS DOUBLE) AS credit, CAST(SUM(debit - credit) AS DOUBLE) AS balance
     {_PL.format(types=_CUST)} AND {YEAR} GROUP BY partner_id"""))
@@ -238,6 +251,18 @@ def _(t):
     return op.liquidity_book(t.move_line, t.account, t.journal, POSTED, "bank", t.partner)
 
 
+# Payment accounts as journals list them: the bank's incoming and outgoing ones, of whatever type.
+_PAYMENT = {3: ([1], [3, None]), 1: ([2], [])}
+
+
+@FAMILY.query("a23_bank_book_payment_accounts", _gl("m.date, m.move_id, m.id", opening=True, restrict="AND m.account_id IN (1, 3)"))
+def _(t):
+    kind = "array<bigint>"
+    listed = [F.coalesce(*[F.when(F.col("id") == j, F.array(*map(F.lit, accounts[i])).cast(kind)) for j, accounts in _PAYMENT.items()]) for i in (0, 1)]
+    journals = t.journal.withColumns({"inbound_account_ids": listed[0], "outbound_account_ids": listed[1]})
+    return op.liquidity_book(t.move_line, t.account, t.journal, POSTED, "bank", t.partner, journal_accounts=op.journal_payment_accounts(journals))
+
+
 @FAMILY.query("a24_day_book", sql("move_line", f"""SELECT date, CAST(SUM(debit) AS DOUBLE) AS debit, CAST(SUM(credit) AS DOUBLE) AS credit,
     CAST(SUM(debit - credit) AS DOUBLE) AS balance, COUNT(*) AS line_count FROM move_line WHERE {OK} AND {YEAR} GROUP BY date"""))
 def _(t):

@@ -86,11 +86,6 @@ def sql(tables: str, body: str, **ctes: str) -> str:
     return ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + body
 
 
-def filtered(name: str, condition: str) -> str:
-    """A derived table restricted to some rows, to be given as an extra CTE."""
-    return f"{TABLES[name][0]} WHERE {condition}"
-
-
 def ratio(numerator: str, denominator: str, scale: int = 2, factor: int = 1, unit: int = 100) -> str:
     """Exact half-away-from-zero quotient of two decimals, as DOUBLE.
 

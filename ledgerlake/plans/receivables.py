@@ -68,6 +68,24 @@ def _(t):
 
 _KB = "CASE WHEN late <= 0 THEN 0 " + " ".join(f"WHEN late <= {b} THEN {i + 1}" for i, b in enumerate(BOUNDS)) + " ELSE 6 END"
 _RANGES = [f"range_{i}" for i in range(7)]
+
+
+# Companies book in currencies 1 to 3; the user looks at amounts in currency 2.
+_FACTOR = f"""SELECT c AS company_id, CAST(ROUND((SELECT CAST(rate AS DOUBLE) FROM now WHERE currency_id = 2) / CAST(rate AS DOUBLE), 9) AS DECIMAL(18,9)) AS f
+    FROM (SELECT UNNEST([1, 2, 3]) AS c) JOIN now ON currency_id = c"""
+_CONVERTED = {
+    "now": f"SELECT currency_id, ARG_MAX(rate, date) AS rate FROM rate WHERE date <= DATE '{D}' GROUP BY currency_id", "factor": _FACTOR,
+    "partial_line": "SELECT debit_line_id, credit_line_id, max_date, ROUND(amount * f, 2) AS amount FROM partial JOIN factor USING (company_id)",
+    "matched": _MATCHED.replace("FROM partial", "FROM partial_line"),
+    "opened": _CTES["opened"].replace("balance = 0", "ROUND(balance * f, 2) = 0").replace("ELSE balance +", "ELSE ROUND(balance * f, 2) +").replace(
+        "LEFT JOIN matched x", "JOIN factor USING (company_id) LEFT JOIN matched x")}
+
+
+@FAMILY.query("b1_aged_balance_in_user_currency", sql("move_line account partial partner rate", _B1, **_CONVERTED))
+def _(t):
+    companies = t.spark.range(1, 4).select("id", F.col("id").alias("currency_id"))
+    factors = op.currency_factors(companies, t.rate, 2, D)
+    return op.aged_balance(t.move_line, t.account, t.partial, t.partner, AGEING, factors)
 _B4_CTES = {"matched": _MATCHED, "opened": _OPENED.format(states="'draft', 'posted'")}
 
 
@@ -233,6 +251,19 @@ def _(t):
     return op.letter_texts(t.move_line, t.account, t.level, 2)
 
 
+_BODY = " for %(partner_name)s of %(date)s, 100%% due. %(company_name)s %(user_signature)s"
+
+
+@FAMILY.query("b17_letters_filled", sql("move_line account level partner", f"""SELECT t.partner_id,
+    text || ' for ' || COALESCE(p.name, '') || ' of {D.strftime("%d/%m/%Y")}, 100% due. ledger & lake -- The office' AS text
+    FROM (SELECT partner_id, COALESCE(ARG_MAX(v.description, v.delay), 'first reminder') AS text
+      FROM (SELECT l.* {_UNREC} AND company_id = 2 AND debit <> 0) l LEFT JOIN level v ON v.id = l.followup_line_id GROUP BY partner_id) t
+    LEFT JOIN partner p ON p.id = t.partner_id"""))
+def _(t):
+    levels = t.level.withColumn("description", F.concat("description", F.lit(_BODY)))
+    return op.filled_letters(op.letter_texts(t.move_line, t.account, levels, 2), t.partner, D, "ledger & lake", "-- The office", "dd/MM/yyyy")
+
+
 @FAMILY.query("b18_followup_status", sql("invoice level", f"""SELECT partner_id, CAST(total_due AS DOUBLE) AS total_due, CAST(total_overdue AS DOUBLE) AS total_overdue, next_reminder_date,
     CASE WHEN total_overdue > 0 AND next_reminder_date > DATE '{D}' THEN 'with_overdue_invoices'
          WHEN total_due > 0 AND next_reminder_date <= DATE '{D}' THEN 'in_need_of_action' ELSE 'no_action_needed' END AS followup_status
@@ -244,8 +275,9 @@ def _(t):
     return op.followup_status(unpaid, t.level, D)
 
 
-@FAMILY.query("b19_credit_limits", sql("partner invoice", """SELECT p.id AS partner_id, p.name, CAST(COALESCE(due, 0) AS DOUBLE) AS due_amount, COALESCE(due, 0) > 0 AS has_due,
-    warning_stage <> 0 AND COALESCE(due, 0) >= warning_stage AS is_warning, blocking_stage <> 0 AND COALESCE(due, 0) >= blocking_stage AS is_blocked
+@FAMILY.query("b19_credit_limits", sql("partner invoice", """SELECT p.id AS partner_id, p.name, CAST(COALESCE(due, 0) AS DOUBLE) AS due_amount, COALESCE(active_limit, FALSE) AND COALESCE(due, 0) > 0 AS has_due,
+    COALESCE(active_limit, FALSE) AND warning_stage <> 0 AND COALESCE(due, 0) >= warning_stage AS is_warning,
+    COALESCE(active_limit, FALSE) AND blocking_stage <> 0 AND COALESCE(due, 0) >= blocking_stage AS is_blocked
     FROM partner p LEFT JOIN (SELECT partner_id, SUM(CASE WHEN move_type = 'out_invoice' THEN amount_residual WHEN move_type = 'out_refund' THEN -amount_residual ELSE 0 END)
       - SUM(CASE WHEN move_type = 'in_invoice' THEN amount_residual WHEN move_type = 'in_refund' THEN -amount_residual ELSE 0 END) AS due
       FROM invoice WHERE state = 'posted' GROUP BY partner_id) b ON b.partner_id = p.id"""))
@@ -264,6 +296,14 @@ def _(t):
     return op.partners_with_lines(t.move_line, t.account, t.partner, (op.RECEIVABLE,), page=2)
 
 
+@FAMILY.query("b20_partners_next_page", sql("move_line account partner", """SELECT p.id AS partner_id, p.name FROM partner p
+    WHERE p.id IN (SELECT partner_id FROM move_line m JOIN account a ON a.id = m.account_id AND a.account_type = 'asset_receivable')
+    ORDER BY p.name, p.id OFFSET 10 LIMIT 10"""))
+def _(t):
+    first = op.partners_with_lines(t.move_line, t.account, t.partner, (op.RECEIVABLE,))
+    return op.partners_with_lines(t.move_line, t.account, t.partner, (op.RECEIVABLE,), after=op.cursor(first, ["name", "partner_id"]))
+
+
 @FAMILY.query("p3_partner_label", sql("partner", """SELECT id AS partner_id, CASE WHEN LENGTH(long_name) >= 45 THEN SUBSTRING(long_name, 1, 40) || '...' ELSE long_name END AS label
     FROM (SELECT id, name || CASE WHEN id % 2 = 0 THEN ' of the northern trading company' ELSE '' END AS long_name FROM partner)"""))
 def _(t):

@@ -91,6 +91,7 @@ PARTIAL = {
     "credit_line_id": "lid * 8 + 4",
     "amount": _money("net + tax"),
     "max_date": "shipdate",
+    "company_id": "CAST(1 + orderkey % 3 AS BIGINT)",
 }
 _RATE = "CAST(rate * 100 AS BIGINT)"
 LINE_TAX = {
@@ -199,6 +200,7 @@ CUSTOMER_PARTNER = {
     "segment": "c_mktsegment",
     "warning_stage": _money("CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 200000 END"),
     "blocking_stage": _money("CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 600000 END"),
+    "active_limit": "c_custkey % 6 <> 0",
 }
 SUPPLIER_PARTNER = {
     "id": "s_suppkey * 2 + 1",
@@ -207,6 +209,7 @@ SUPPLIER_PARTNER = {
     "segment": "'SUPPLIER'",
     "warning_stage": _money("0"),
     "blocking_stage": _money("0"),
+    "active_limit": "CAST(NULL AS BOOLEAN)",
 }
 VEHICLE = {
     "id": "s_suppkey",

@@ -4,6 +4,7 @@ from datetime import date
 
 import pytest
 from ledger_helpers import line, money, rows
+from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import INITIAL, OPEN_START, LedgerFilter
 from ledgerlake.functions.labels import bound_labels, ledger_display_name, partner_label, period_labels
@@ -140,3 +141,63 @@ def test_report_tree_refuses_cycles(spark):
     nodes = spark.createDataFrame([(1, None, "A", 1, "account_report", 1, [], [], 2, "no_detail"), (2, None, "B", 2, "account_report", 1, [], [], 1, "no_detail")], NODE_SCHEMA)
     with pytest.raises(Exception, match="RECURSION"):
         st.node_closure(nodes).collect()
+
+
+def test_letter_placeholders(spark, partners):
+    texts = spark.createDataFrame([(1, "Dear %(partner_name)s, %(date)s: 5%% of %(company_name)s%(user_signature)s 100% %(other)s"), (9, "%(partner_name)s|%(date)s"), (2, None)],
+                                  "partner_id long, text string")
+    named = partners.withColumn("name", F.when(F.col("id") == 1, "%(date)s %% A").otherwise(F.col("name"))).withColumn("fmt", F.when(F.col("id") == 1, "dd.MM.yyyy"))
+    out = rec.filled_letters(texts, named, D, "C & %(date)s", "!", F.col("fmt"))
+    assert dict(rows(out)) == {1: "Dear %(date)s %% A, 30.06.2020: 5% of C & %(date)s! 100% %(other)s", 9: "|2020-06-30", 2: None}
+
+
+def test_credit_limit_switches(spark):
+    limits = spark.createDataFrame([(1, "a", 5, 10, True), (2, "b", 5, 10, False), (3, "c", 0, 0, True), (4, "d", 5, 10, None)],
+                                   "id long, name string, warning_stage int, blocking_stage int, active_limit boolean")
+    due = spark.createDataFrame([(i, money(12), money(0)) for i in range(1, 5)], "partner_id long, credit decimal(18,2), debit decimal(18,2)")
+    flags = ("partner_id", "has_due", "is_warning", "is_blocked")
+    assert rows(rec.credit_limits(due, limits), *flags) == [(1, True, True, True), (2, False, False, False), (3, True, False, False), (4, False, False, False)]
+    assert not any(r[1] or r[2] or r[3] for r in rows(rec.credit_limits(due, limits, enabled=False), *flags))
+
+
+def test_ageing_in_the_users_currency(spark, ledger, partials, accounts, partners):
+    lines = ledger(line(1, 2, "2020-05-01", 10, company_id=1), line(2, 2, "2020-05-01", 0.01, company_id=2), line(3, 2, "2020-05-01", 100, company_id=2))
+    links = partials((1, 90, 1, "2020-05-02"), (1, 91, 1, "2020-05-03")).withColumn("company_id", F.lit(1).cast("long"))
+    rates = spark.createDataFrame([(1, date(2020, 1, 1), money(3)), (2, date(2020, 1, 1), money(30)), (2, date(2021, 1, 1), money(99))],
+                                  "currency_id long, date date, rate decimal(18,2)")
+    companies = spark.createDataFrame([(1, 2), (2, 1)], "id long, currency_id long")
+    factors = rec.currency_factors(companies, rates, 1, D)
+    assert rows(factors) == [(1, 0.1), (2, 1.0)]
+    p = rec.AgeingParams(asof=D)
+    assert rows(rec.aged_lines(lines, accounts, links, p, factors), "line_id", "amount") == [(1, 0.8), (2, 0.01), (3, 100.0)]
+    assert rows(rec.aged_balance(lines, accounts, links, partners, p, factors), "total") == [(100.81,)]
+
+
+def test_pages_after_a_cursor(spark):
+    df = spark.createDataFrame([(None, 3), ("a", 1), ("a", 2), ("b", None), ("b", 0), (None, 1)], "k string, n int")
+    order, seen, after = ["k", "n"], [], None
+    for _ in range(4):
+        page = rec.next_page(df, order, 2, after)
+        seen.append([tuple(r) for r in page.collect()])
+        after = rec.cursor(page, order)
+    assert seen == [[(None, 1), (None, 3)], [("a", 1), ("a", 2)], [("b", None), ("b", 0)], []]
+
+
+def test_pages_of_accounts_and_partners(ledger, accounts, journals):
+    lines = ledger(*[line(i, 2, f"2020-0{1 + i // 10}-01", i, move_id=100 - i) for i in range(30)], line(90, 2, "2021-01-01", 1), line(91, 5, "2020-02-01", 1))
+    start, end = date(2020, 2, 1), date(2020, 12, 31)
+    before = sum(range(10))
+    order = sorted(range(10, 30), key=lambda i: (1 + i // 10, 100 - i))
+    want = [(n + 1, i, float(before + sum(order[:n + 1])), 20) for n, i in enumerate(order)]
+    columns = ("row_no", "line_id", "running_balance", "line_count")
+    for page in range(4):
+        assert rows(gl.ledger_page(lines, accounts, journals, 2, start, end, page, 7), *columns) == want[7 * page:7 * page + 7]
+    kept = gl.ledger_days(lines)
+    assert rows(gl.ledger_page(lines, accounts, journals, 2, start, end, 1, 7, days=kept), *columns) == want[7:14]
+    own = [(n + 1, i, float(before + sum(range(10, i + 1))), 20) for n, i in enumerate(range(10, 30))]
+    assert rows(gl.partner_page(lines.filter("account_id = 2"), accounts, journals, 1, start, end, 1, 7), *columns) == own[7:14]
+
+
+def test_payment_accounts_of_journals(spark):
+    listed = spark.createDataFrame([(1, [5, None], [6]), (2, None, [5]), (3, [], None)], "id long, inbound_account_ids array<long>, outbound_account_ids array<long>")
+    assert rows(gl.journal_payment_accounts(listed)) == [(1, 5), (1, 6), (2, 5)]

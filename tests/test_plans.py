@@ -64,3 +64,64 @@ def test_running_balance_shuffles_rows_by_cell(spark, accounts, journals, tmp_pa
     lines = written_ledger(spark, tmp_path)
     text = plan(gl.general_ledger(lines, accounts, journals, LedgerFilter(date_from=START, date_to=END)))
     assert re.search(r"hashpartitioning\(_k#\d+, _l0#\d+, _l1#\d+, _l2#\d+", text)
+
+
+def executed(df, kind: str) -> list:
+    """The operators of a kind that were really run, those of subqueries among them and reused ones once; without adaptive re-planning."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        if node.nodeName().startswith("Reused"):
+            return
+        if node.nodeName().startswith(kind):
+            found.append(node)
+        for plans in (node.children(), node.subqueries()):
+            for i in range(plans.size()):
+                walk(plans.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def executed_scans(df, columns=("debit", "account_id")) -> list[int]:
+    """Rows out of each scan of the written ledger that was run."""
+    scans = {n.id(): n for n in executed(df, "Scan parquet") if all(f"{c}#" in n.output().toString() for c in columns)}
+    return [n.metrics().get("numOutputRows").get().value() for n in scans.values()]
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_opening_balances_cost_no_further_scan(spark, accounts, journals, tmp_path, fixed_plans):
+    lines = written_ledger(spark, tmp_path)
+    where = LedgerFilter(date_from=START, date_to=END)
+    assert len(executed_scans(gl.general_ledger(lines, accounts, journals, where, initial_balance=True))) <= 2
+    kept = spark.createDataFrame([(3, 1)], "journal_id long, account_id long")
+    assert len(executed_scans(gl.liquidity_book(lines, accounts, journals, where, "bank", journal_accounts=kept))) <= 2
+
+
+def test_a_page_reads_only_the_days_that_hold_it(spark, accounts, journals, tmp_path, fixed_plans):
+    path = str(tmp_path / "by_day")
+    Testbed(spark, SF_DIR).move_line.repartitionByRange(40, "date").sortWithinPartitions("date").write.parquet(path)
+    lines = spark.read.parquet(path)
+    days = str(tmp_path / "days")
+    gl.ledger_days(lines.filter("parent_state = 'posted'")).write.parquet(days)
+    page = gl.ledger_page(lines, accounts, journals, 2, START, END, 2, where=LedgerFilter(state="posted"), days=spark.read.parquet(days))
+    read = executed_scans(page)
+    assert len(page.collect()) == 20 and len(read) <= 2 and max(read) < lines.count() / 8
+
+
+def test_taxes_by_period_read_the_ledger_once(spark, accounts, tmp_path, fixed_plans):
+    from ledgerlake.operators import taxes
+    from ledgerlake.plans.statements import POSTED_ANY, YEARS
+    lines, t = written_ledger(spark, tmp_path), Testbed(spark, SF_DIR)
+    assert len(executed_scans(taxes.taxes_by_period(lines, t.line_tax, t.tax, accounts, POSTED_ANY, YEARS), ("balance", "tax_line_id"))) == 1
+
+
+def test_cumulative_share_needs_few_exchanges(spark, fixed_plans):
+    assert len(executed(QUERIES["d2_xyz"](spark, SF_DIR), "Exchange")) <= 6

@@ -9,7 +9,7 @@ from ledger_helpers import money, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.prefix import block, magnitude, range_sums, row_numbers, running_totals
+from ledgerlake.functions.prefix import block, magnitude, openings, range_sums, row_numbers, running_totals, scan_totals
 
 BASE = date(2020, 1, 1)
 
@@ -100,3 +100,25 @@ def test_no_window_exceeds_its_cell(spark):
     assert out.withColumn("want", F.sum("v").over(plain)).filter("t <> want").count() == 0
     parts = re.findall(r"Window \[.*\], \[(_k[^\]]*)\], \[", out.select("t")._jdf.queryExecution().optimizedPlan().toString())
     assert sorted(len(p.split(", ")) for p in parts) == [1, 2, 3, 4] and all("_k" in p for p in parts)
+
+
+@pytest.mark.parametrize("pieces", [1, 5, 64])
+def test_prefix_scan_over_ranges(spark, pieces):
+    r = random.Random(4)
+    data = [(r.choice([None, 7, r.randint(-50, 50)]), i, r.choice([None, r.randint(0, 9)])) for i in range(500)]
+    df = spark.createDataFrame(data, "v int, id long, m int").repartition(7)
+    got = {x.id: x.t for x in scan_totals(df, {"v": -F.col("v"), "i": F.col("id")}, F.col("m"), "t", pieces, 40).collect()}
+    total = 0
+    for v, i, m in sorted(data, key=lambda x: (x[0] is not None, -(x[0] or 0), x[1])):
+        total += m or 0
+        assert (got[i] or 0) == total
+    assert scan_totals(df.filter("id < 0"), {"i": F.col("id")}, F.col("m"), "t").count() == 0
+
+
+def test_carried_rows_only_add_to_the_others(spark):
+    df = spark.createDataFrame([(1, None, 5, 1), (1, 0, 7, 0), (1, 3, 1, 0), (2, 1, 4, 4), (2, None, 2, 0), (3, 0, 9, 9)], "k int, day int, plus int, minus int")
+    carried, measure = F.col("day") == 0, (F.col("plus"), F.col("minus"))
+    ahead = F.coalesce(carried, F.lit(False))
+    run = running_totals(df, ["k"], [F.col("day")], {"t": measure}, {"day": F.col("day")}, {"b": block("plus")}, carried=ahead)
+    assert rows(run, "k", "day", "t") == [(1, 3, 12.0), (1, None, 11.0), (2, 1, 2.0), (2, None, 2.0)]
+    assert rows(openings(df, ["k"], measure, "t", {"day": F.col("day")}, {"b": block("plus")}, ahead)) == [(1, 7, 0), (3, 9, 9)]
