@@ -30,7 +30,7 @@ from ledgerlake.llm.common import Remembered, hand_back, settle, ship, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHED_BYTES = 32 << 20
+CACHED_BYTES = 128 << 20
 # A comma or stop after a letter (ASCII or Latin-1) at the end of a word; words of such letters in lower case.
 STOPPED = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]$")
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
