@@ -32,7 +32,7 @@ BLANK = "▁"
 # Kinds of pieces and of models, fields of the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-PART_BYTES, CHUNK_BYTES = 24 << 20, 48 << 20  # of remembered parts and of chunks between blanks
+PART_BYTES, CHUNK_BYTES = 32 << 20, 128 << 20  # of remembered parts and of chunks between blanks
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 PAIRS = 700_000
 
@@ -88,7 +88,9 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.fallback = 10.0 - min(self.scores, default=0.0)  # what a character without a piece costs
+        # Pieces by all that they end with: -1 where that is no piece itself.
+        self.suffixes = {p[i:]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
         # Characters that are neighbours in some piece.
         self.together = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.pairs: dict[int, bool] = {}
@@ -134,16 +136,20 @@ class Transducer:
             good = self.pairs[key] = self.merged(a + b) == [a, b]
         return good
 
-    def arcs_to(self, text: str, end: int):
-        """(start, piece or -1 for byte fallback, cost) of the arcs that arrive at a position, longest first."""
-        ids, single = self.ids, False
-        for start in range(max(0, end - self.longest), end):
-            piece = ids.get(text[start:end])
-            if piece is not None:
-                single = start == end - 1
-                yield start, piece, -self.scores[piece] if self.kind == UNIGRAM else 0.0
-        if not single:
-            yield end - 1, -1, 10.0 - min(self.scores) if self.kind == UNIGRAM else 0.0
+    def arcs_to(self, text: str, end: int) -> list[tuple[int, int]]:
+        """(start, piece or -1 for byte fallback) of the arcs that arrive at a position, longest first."""
+        suffixes, found, start = self.suffixes, [], end - 1
+        while start >= 0:
+            piece = suffixes.get(text[start:end])
+            if piece is None:  # nothing that reaches further back is a piece
+                break
+            if piece >= 0:
+                found.append((start, piece))
+            start -= 1
+        if not found or found[0][0] != end - 1:
+            found.insert(0, (end - 1, -1))
+        found.reverse()
+        return found
 
     def shortest_path(self, text: str) -> list[tuple[int, str]]:
         """Pieces of the least costly path through the composition.
@@ -152,14 +158,17 @@ class Transducer:
         there is one state a position, and the first arc found for it settles it.
         """
         cost, start_of, last = [0.0] + [inf] * len(text), [0] * (len(text) + 1), [-1] * (len(text) + 1)
+        merging, fallback = self.kind == BPE, self.fallback
         for end in range(1, len(text) + 1):
-            for start, piece, weight in self.arcs_to(text, end):
-                if self.kind == BPE:
+            for start, piece in self.arcs_to(text, end):
+                if merging:
                     if start == 0 or self.neighbours(last[start], piece):
-                        cost[end], start_of[end], last[end] = 0.0, start, piece
+                        start_of[end], last[end] = start, piece
                         break
-                elif cost[start] + weight < cost[end]:
-                    cost[end], start_of[end], last[end] = cost[start] + weight, start, piece
+                else:
+                    weight = cost[start] + (-self.scores[piece] if piece >= 0 else fallback)
+                    if weight < cost[end]:
+                        cost[end], start_of[end], last[end] = weight, start, piece
         out, end = [], len(text)
         while end:
             out.append((last[end], text[start_of[end]:end]))
@@ -174,6 +183,8 @@ class Transducer:
 
     def encode_chunk(self, chunk: str) -> bytes:
         cuts = [0, *[i for i in range(1, len(chunk)) if chunk[i - 1:i + 1] not in self.together], len(chunk)]
+        if len(cuts) == 2:
+            return self.encode_part(chunk)
         return b"".join(self.parts.get(chunk[a:b], self.encode_part) for a, b in zip(cuts, cuts[1:]))
 
     def encode(self, text: str) -> bytes:
