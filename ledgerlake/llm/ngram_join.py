@@ -419,15 +419,15 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def with_digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the digest of each text's sequence of words (``_digest``)."""
+def with_digests(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """``docs`` with the digest of each text's sequence of words as a further column ``name``."""
     place = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             digests = [sequence_digest(v.as_py() or b"") for v in batch.column(place).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, name])
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -180,9 +180,12 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return raw.mapInArrow(index, INDEX).sortWithinPartitions(*ORDER)
 
 
+RANGE_ROWS = 250_000  # captures that one task merges, about
+
+
 def merge_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Sorted runs to one globally ordered index."""
-    ranges = ranges or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Sorted runs to one globally ordered index; as many ranges as keep the merge of one within a task's memory."""
+    ranges = ranges or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
 
     def merge(batches):
         got = [b for b in batches if b.num_rows]
