@@ -30,20 +30,29 @@ def keep_by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name for digests that ``docs`` does not have."""
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_one_by_digest(docs: DataFrame, digested: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, digest) is in ``kept``, and of repeats of such a pair one.
 
     Where no ``doc_id`` occurs twice among the kept rows their ids say it all; only the others are looked at by digest (``digested`` has
-    the columns of ``docs`` and ``_digest``).
+    the columns of ``docs`` and, last, the digest).
     """
+    digest = digested.columns[-1]
     kept = settle(kept.select("doc_id", "digest"), "kept")
     twice = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice"))
     if twice.isEmpty():
         return keep_by_id(docs, kept)
     once = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
     pairs = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi").distinct().select(F.col("doc_id").alias("_kept"), "digest")
-    own = digested.join(pairs, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("digest")), "left_semi")
-    return keep_by_id(docs, once).unionByName(own.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns))
+    own = digested.join(pairs, digested["doc_id"].eqNullSafe(pairs["_kept"]) & (digested[digest] == pairs["digest"]), "left_semi")
+    return keep_by_id(docs, once).unionByName(own.dropDuplicates(["doc_id", digest]).select(*docs.columns))
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +61,7 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null ``doc_id`` is smaller than any other; of rows that repeat the largest one any stays. Different texts under one ``doc_id`` are told apart.
     """
     done = settle(dedup(docs), "exact-classes")
-    digested = docs.withColumn("_digest", sha256(normalised(F.col("text"))))
+    digested = docs.withColumn(free_name(docs), sha256(normalised(F.col("text"))))
     # A repeated largest id and an id of several texts are settled by id and digest.
     return keep_one_by_digest(docs, digested, safe(docs, done))
 
@@ -77,7 +86,7 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = best.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
     kept = first.select("doc_id", "digest").join(best.select("digest", F.col("doc_id").alias("_best")), "digest").filter(
         F.col("doc_id").eqNullSafe(F.col("_best"))).select("doc_id", "digest")
-    return keep_one_by_digest(docs, with_digests(docs), kept.unionByName(again.select("doc_id", "digest")))
+    return keep_one_by_digest(docs, with_digests(docs, free_name(docs)), kept.unionByName(again.select("doc_id", "digest")))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
