@@ -78,10 +78,13 @@ def exact_overlap(a: bytes, b: bytes, width: int = SHINGLE) -> tuple[int, int, i
 
 
 def occupancy(prints: np.ndarray) -> bytes:
-    """Which of some four to eight times as many places the fingerprints of a set occupy, as bits; the width is a power of two."""
+    """Which of some 16 to 32 times as many places the fingerprints of a set occupy, as bits; the width is a power of two.
+
+    Few members share a place, so that sets which differ by a little more than they may are told apart.
+    """
     if not len(prints):
         return b""
-    power = len(prints).bit_length() + 2
+    power = len(prints).bit_length() + 4
     bits = np.zeros(1 << power, np.uint8)
     bits[(prints >> np.uint64(64 - power)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
