@@ -32,7 +32,7 @@ BLANK = "▁"
 # Kinds of pieces and of models, fields of the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-PART_BYTES, CHUNK_BYTES = 32 << 20, 128 << 20  # of remembered parts and of chunks between blanks
+PART_BYTES, CHUNK_BYTES = 32 << 20, 192 << 20  # of remembered parts and of chunks between blanks
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 PAIRS = 700_000
 
@@ -97,6 +97,7 @@ class Transducer:
         self.parts, self.chunks = Remembered(PART_BYTES), Remembered(CHUNK_BYTES)
         # Blanks start a piece in all usual models; then inputs fall apart before each run of blanks.
         self.splits = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if not any(p[1] == BLANK and p[0] != BLANK for p in self.together) else re.compile("(?s).+")
+        self.by_words = self.dummy_prefix and self.splits.pattern != "(?s).+"
         self.out = [p.replace(BLANK, " ") if k in (NORMAL, USER, UNUSED) else "" for p, k in zip(self.pieces, self.kinds)]
         if UNKNOWN in self.kinds:
             self.out[self.unknown] = " ⁇ "
@@ -189,13 +190,19 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        chunks = self.splits.findall(self.normalise(text))
+        if self.by_words and text and "  " not in text and text[0] != " " != text[-1] and BLANK not in text:
+            chunks, find = text.split(" "), self.encode_word  # each stands for itself with the blank in front
+        else:
+            chunks, find = self.splits.findall(self.normalise(text)), self.encode_chunk
         known = list(map(self.chunks.young.get, chunks))
         if None in known:
             for i in [i for i, ids in enumerate(known) if ids is None]:
-                known[i] = self.chunks.get(chunks[i], self.encode_chunk)
+                known[i] = self.chunks.get(chunks[i], find)
         return b"".join(known)
 
+    def encode_word(self, word: str) -> bytes:
+        return self.encode_chunk(BLANK + word)
+
     def decode(self, ids: np.ndarray) -> str:
         """The inverse transduction; bytes that are no character become U+FFFD each, as the library does."""
         out, own, at = self.out, self.byte_of[ids], 0
