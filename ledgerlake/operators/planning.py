@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.prefix import block, range_sums, running_totals
@@ -107,6 +107,15 @@ def budget_violations(lines: DataFrame, budgets: DataFrame) -> DataFrame:
 
 # --- assets --------------------------------------------------------------------------------------
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows to be joined by sorting both sides.
+
+    Rows out of an exploded schedule are estimated by the packed table they come from, so a broadcast would be chosen by a size that is
+    many times too small.
+    """
+    return rows.hint("merge")
+
+
 def posted_summary(lines: DataFrame) -> DataFrame:
     """Per asset: number, amount and last date of its posted depreciation lines."""
     return lines.filter("posted").groupBy(F.col("asset_id").alias("id")).agg(
@@ -116,14 +125,14 @@ def posted_summary(lines: DataFrame) -> DataFrame:
 def residual_values(assets: DataFrame, lines: DataFrame) -> DataFrame:
     """Value less posted depreciation less salvage."""
     done = posted_summary(lines).select("id", "posted_amount")
-    return assets.join(done, "id", "left").withColumn(
+    return assets.join(_by_key(done), "id", "left").withColumn(
         "value_residual", (F.col("value") - F.coalesce("posted_amount", F.lit(0)) - F.col("salvage")).cast(MONEY)).drop("posted_amount")
 
 
 def last_depreciation(assets: DataFrame, lines: DataFrame) -> DataFrame:
     """Date of the last posted line, else the asset's own date."""
     done = posted_summary(lines).select("id", "last_posted")
-    return assets.select("id", "date").join(done, "id", "left").select("id", F.coalesce("last_posted", "date").alias("last_date"))
+    return assets.select("id", "date").join(_by_key(done), "id", "left").select("id", F.coalesce("last_posted", "date").alias("last_date"))
 
 
 def _closing(day: Column, last_month: int, last_day: int) -> Column:
@@ -143,7 +152,7 @@ def depreciation_board(assets: DataFrame, posted: DataFrame | None = None, last_
     if posted is None:
         a = a.withColumns({"posted_count": F.lit(0), "posted_amount": F.lit(0).cast(MONEY), "last_posted": F.lit(None).cast("date")})
     else:
-        a = a.join(posted_summary(posted), "id", "left").withColumns(
+        a = a.join(_by_key(posted_summary(posted)), "id", "left").withColumns(
             {"posted_count": F.coalesce("posted_count", F.lit(0)), "posted_amount": money(F.col("posted_amount"))})
     months = F.col("method_period")
     fiscal_start = F.date_add(_closing(F.make_date(F.year("date"), F.lit(1), F.lit(1)), last_month, last_day), 1)
@@ -185,7 +194,7 @@ def disposal_lines(assets: DataFrame, lines: DataFrame, today: date) -> DataFram
     """One closing line with the residual for every asset that still has open lines."""
     per = lines.groupBy(F.col("asset_id").alias("id")).agg(
         F.count_if("posted").cast("int").alias("_posted"), F.count_if(~F.col("posted")).alias("_open"))
-    rows = residual_values(assets, lines).join(per.filter("_open > 0"), "id")
+    rows = residual_values(assets, lines).join(_by_key(per.filter("_open > 0")), "id")
     return rows.select(F.col("id").alias("asset_id"), (F.col("_posted") + 1).alias("sequence"), F.lit(today).alias("date"),
                        F.col("value_residual").alias("amount"), F.lit(0).cast(MONEY).alias("remaining_value"),
                        (F.col("value") - F.col("salvage")).cast(MONEY).alias("depreciated_value"))
@@ -203,14 +212,15 @@ def depreciation_entries(lines: DataFrame, assets: DataFrame, categories: DataFr
     """Journal lines of depreciation lines, one pair per line or per category (C11)."""
     cat = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"), "depreciation_account_id", "expense_account_id")
     owner = assets.select(F.col("id").alias("asset_id"), "category_id", F.col("name").alias("asset"))
-    rows = lines.join(owner, "asset_id").join(cat, "category_id")
+    # How many lines the asset has: all of them lie together for the join anyway.
+    counted = lines if grouped else lines.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("asset_id")))
+    rows = _by_key(counted).join(owner, "asset_id").join(cat, "category_id")
     if grouped:
         rows = rows.groupBy("category_id", "category", "depreciation_account_id", "expense_account_id").agg(money(F.sum("amount")).alias("amount"))
         rows = rows.select("*", F.concat("category", F.lit(" (grouped)")).alias("name"), F.lit(post_date).alias("date"))
         return _two_sides(rows, ["category_id", "name", "date"], "depreciation_account_id", "expense_account_id", "amount")
-    counts = lines.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_n"))
     name = F.concat("asset", F.lit(" ("), F.col("sequence").cast("string"), F.lit("/"), F.col("_n").cast("string"), F.lit(")"))
-    rows = rows.join(counts, "asset_id").select("*", name.alias("name"))
+    rows = rows.select("*", name.alias("name"))
     return _two_sides(rows, ["asset_id", "sequence", "name", "date"], "depreciation_account_id", "expense_account_id", "amount")
 
 
@@ -256,7 +266,7 @@ def outstanding_occurrences(templates: DataFrame, posted: DataFrame, today: date
     """Occurrences whose ``id/date`` code has not been posted yet (C14)."""
     due = recurring_dates(templates, today).withColumn(
         "recurring_ref", F.concat_ws("/", F.col("id").cast("string"), F.date_format("date", "yyyy-MM-dd")))
-    return due.join(posted.select("recurring_ref").filter(F.col("recurring_ref").isNotNull()), "recurring_ref", "left_anti")
+    return due.join(_by_key(posted.select("recurring_ref").filter(F.col("recurring_ref").isNotNull())), "recurring_ref", "left_anti")
 
 
 def recurring_entries(occurrences: DataFrame) -> DataFrame:

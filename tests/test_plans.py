@@ -125,3 +125,9 @@ def test_taxes_by_period_read_the_ledger_once(spark, accounts, tmp_path, fixed_p
 
 def test_cumulative_share_needs_few_exchanges(spark, fixed_plans):
     assert len(executed(QUERIES["d2_xyz"](spark, SF_DIR), "Exchange")) <= 6
+
+
+@pytest.mark.parametrize("name, small", [("c7_depreciation_board_continued", 0), ("c8_residual_value", 0), ("c9_last_depreciation", 0), ("c10_disposal_lines", 0),
+                                         ("c11_depreciation_entries", 1), ("c14_outstanding_occurrences", 0)])
+def test_rows_out_of_schedules_are_not_broadcast(spark, name, small):
+    assert plan(QUERIES[name](spark, SF_DIR)).count("BroadcastHashJoin") == small
