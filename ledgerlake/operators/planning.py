@@ -226,9 +226,9 @@ def depreciation_entries(lines: DataFrame, assets: DataFrame, categories: DataFr
 
 def asset_analysis(lines: DataFrame, assets: DataFrame) -> DataFrame:
     """Depreciation facts with the gross value on an asset's first line only."""
-    first = lines.groupBy("asset_id").agg(F.min("id").alias("_first"))
+    numbered = lines.withColumn("_first", F.min("id").over(Window.partitionBy("asset_id")))
     a = assets.select(F.col("id").alias("asset_id"), F.col("date").alias("asset_date"), F.col("value"), "category_id", "partner_id", "state", "company_id")
-    rows = lines.join(a, "asset_id").join(first, "asset_id")
+    rows = _by_key(numbered).join(a, "asset_id")
     out = rows.groupBy("amount", "asset_id", F.col("date").alias("depreciation_date"), "asset_date", "posted", "state", "category_id", "partner_id",
                        "company_id", "value", "_first").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("installment_nbr"))
     zero = F.lit(0).cast(MONEY)

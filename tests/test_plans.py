@@ -128,6 +128,6 @@ def test_cumulative_share_needs_few_exchanges(spark, fixed_plans):
 
 
 @pytest.mark.parametrize("name, small", [("c7_depreciation_board_continued", 0), ("c8_residual_value", 0), ("c9_last_depreciation", 0), ("c10_disposal_lines", 0),
-                                         ("c11_depreciation_entries", 1), ("c14_outstanding_occurrences", 0)])
+                                         ("c11_depreciation_entries", 1), ("c12_asset_analysis", 0), ("c14_outstanding_occurrences", 0)])
 def test_rows_out_of_schedules_are_not_broadcast(spark, name, small):
     assert plan(QUERIES[name](spark, SF_DIR)).count("BroadcastHashJoin") == small
