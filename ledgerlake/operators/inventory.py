@@ -8,7 +8,7 @@ warehouse of its company; ``warehouses=None`` leaves that out.
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import ProductFilter
@@ -144,23 +144,28 @@ def classified(df: DataFrame, keep_fsn: str | None = None, keep_xyz: str | None
 def stock_ageing(moves: DataFrame, layers: DataFrame, products: DataFrame, asof: date, where: ProductFilter = ALL_PRODUCTS) -> DataFrame:
     """Stock on hand with first receipt, stock before the last movement day, and shares."""
     done = moves.filter(F.col("state") == "done")
-    per_day = done.groupBy("product_id", "company_id", "date").agg(money(F.sum("qty")).alias("_q"))
+    # Layers are added up per move first, so that a move stays one row and is read once for its dates and its stock.
+    left = layers.groupBy(F.col("stock_move_id").alias("id")).agg(F.sum("remaining_qty").alias("_left"), F.lit(True).alias("_held"))
+    stock = done.select("id", "product_id", "company_id", "date", "qty").join(left, "id", "left").drop("id")
+    # One exchange for days and products: sums by day hold too many groups to be worth one of their own.
+    per_day = stock.repartition("product_id", "company_id").groupBy("product_id", "company_id", "date").agg(
+        money(F.sum("qty")).alias("_q"), F.sum("_left").alias("_left"), F.max("_held").alias("_held"))
     per_company = per_day.groupBy("product_id", "company_id").agg(
         F.min("date").alias("receipt_date"),
-        F.when(F.count(F.lit(1)) > 1, F.sum("_q") - F.max_by("_q", "date")).alias("_before"))
-    before = per_company.groupBy("product_id").agg(F.sum("_before").cast(MONEY).alias("_prev"))
-    held = done.select("id", "product_id", "company_id").join(
-        layers.select(F.col("stock_move_id").alias("id"), "remaining_qty"), "id").groupBy("product_id", "company_id").agg(
-        money(F.sum("remaining_qty")).alias("qty_available"))
+        F.when(F.count(F.lit(1)) > 1, F.sum("_q") - F.max_by("_q", "date")).alias("_before"),
+        money(F.sum("_left")).alias("qty_available"), F.max("_held").alias("_held"))
+    # A window over the companies of a product; it counts those that hold nothing as well.
+    before = per_company.withColumn("_prev", F.sum("_before").over(Window.partitionBy("product_id")).cast(MONEY))
+    held = before.filter(F.col("_held") & F.col("company_id").isNotNull()).drop("_held", "_before")
     p = products.filter(F.col("type") == "product")
     rows = _labelled(held, p, False, ("standard_price",)).filter(where.predicate())
-    rows = rows.join(per_company.drop("_before"), ["product_id", "company_id"]).join(before, "product_id")
     price = F.coalesce("standard_price", F.lit(0))
     rows = (rows.withColumn("prev_qty_available", F.coalesce("_prev", "qty_available"))
             .withColumn("days_since_receipt", F.datediff(F.lit(asof), "receipt_date"))
             .withColumn("current_value", (F.col("qty_available") * price).cast(MONEY))
             .withColumn("prev_value", (F.col("prev_qty_available") * price).cast(MONEY)))
-    totals = rows.agg(F.struct(F.sum("qty_available").alias("q"), F.sum("current_value").alias("v"))).scalar()
+    rows = rows.drop("_prev", "standard_price")
+    totals = rows.agg(F.struct(F.sum("qty_available").alias("q"), F.sum("current_value").alias("v"), used(rows))).scalar()
     return rows.select(
         "product_id", "product_label", "category", "company_id", "qty_available", "prev_qty_available", "receipt_date",
         "days_since_receipt", "current_value", "prev_value",

@@ -131,3 +131,9 @@ def test_cumulative_share_needs_few_exchanges(spark, fixed_plans):
                                          ("c11_depreciation_entries", 1), ("c12_asset_analysis", 0), ("c14_outstanding_occurrences", 0)])
 def test_rows_out_of_schedules_are_not_broadcast(spark, name, small):
     assert plan(QUERIES[name](spark, SF_DIR)).count("BroadcastHashJoin") == small
+
+
+@pytest.mark.parametrize("name", ["d4_stock_ageing"])
+def test_moves_and_layers_are_read_once(spark, fixed_plans, name):
+    scans = {n.id() for n in executed(QUERIES[name](spark, SF_DIR), "Scan parquet") if "l_orderkey#" in n.output().toString()}
+    assert len(scans) == 2
