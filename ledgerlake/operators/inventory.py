@@ -21,8 +21,12 @@ ALL_PRODUCTS = ProductFilter()
 PLANNED = ["assigned", "confirmed", "waiting"]
 
 
+def _part(cond: Column, value: str = "qty") -> Column:
+    return F.when(cond, F.col(value))
+
+
 def _q(cond: Column, name: str, value: str = "qty") -> Column:
-    return money(F.sum(F.when(cond, F.col(value)))).alias(name)
+    return money(F.sum(_part(cond, value))).alias(name)
 
 
 def _into(usage: str) -> Column:
@@ -33,10 +37,14 @@ def _from(usage: str) -> Column:
     return F.coalesce(F.col("src_usage") == usage, F.lit(False))
 
 
+def _net(cond: Column) -> Column:
+    signed = F.when(_into("internal"), F.col("qty")).otherwise(F.lit(0)) - F.when(_from("internal"), F.col("qty")).otherwise(F.lit(0))
+    return F.when(cond, signed)
+
+
 def _level(cond: Column, name: str) -> Column:
     """Net stock of internal locations."""
-    signed = F.when(_into("internal"), F.col("qty")).otherwise(F.lit(0)) - F.when(_from("internal"), F.col("qty")).otherwise(F.lit(0))
-    return money(F.sum(F.when(cond, signed))).alias(name)
+    return money(F.sum(_net(cond))).alias(name)
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -67,11 +75,14 @@ def share_class(cumulative: Column) -> Column:
     return F.when(cumulative < 70, "X").when(cumulative <= 90, "Y").otherwise("Z")
 
 
+def _fsn_parts(start: date, end: date) -> dict[str, Column]:
+    """What a move adds to each figure."""
+    return {"opening_stock": _net(F.col("date") <= F.lit(start)), "closing_stock": _net(F.col("date") <= F.lit(end)),
+            "sales": _part(F.col("date").between(F.lit(start), F.lit(end)) & _into("customer"))}
+
+
 def _fsn_measures(start: date, end: date) -> list[Column]:
-    return [
-        _level(F.col("date") <= F.lit(start), "opening_stock"), _level(F.col("date") <= F.lit(end), "closing_stock"),
-        _q(F.col("date").between(F.lit(start), F.lit(end)) & _into("customer"), "sales"),
-    ]
+    return [money(F.sum(part)).alias(name) for name, part in _fsn_parts(start, end).items()]
 
 
 def _fsn(df: DataFrame) -> DataFrame:
@@ -117,12 +128,15 @@ def fsn_xyz(moves: DataFrame, layers: DataFrame, products: DataFrame, warehouses
             where: ProductFilter = ALL_PRODUCTS, keep_fsn: str | None = None, keep_xyz: str | None = None) -> DataFrame:
     """Turnover class and value class combined (D3); equal values share one cumulative figure."""
     valued = layers.filter(F.col("remaining_value").isNotNull()).select(F.col("stock_move_id").alias("id"), "remaining_qty", "remaining_value")
-    sums = moves.filter(F.col("state") == "done").join(valued, "id").groupBy("product_id", "company_id").agg(
-        money(F.sum("remaining_qty")).alias("current_stock"), money(F.sum("remaining_value")).alias("stock_value"), *_fsn_measures(start, end))
+    # Moves meet their layers with what they add to the figures: narrower than their places and dates.
+    parts = _fsn_parts(start, end)
+    done = moves.filter(F.col("state") == "done").select("id", "product_id", "company_id", *[c.cast(MONEY).alias(n) for n, c in parts.items()])
+    sums = done.join(valued, "id").groupBy("product_id", "company_id").agg(
+        money(F.sum("remaining_qty")).alias("current_stock"), money(F.sum("remaining_value")).alias("stock_value"), *[money(F.sum(n)).alias(n) for n in parts])
     rows = _with_warehouses(_fsn(_labelled(sums, products, True)).filter(where.predicate()), warehouses, where)
     rows = _with_share(rows)
-    per_value = rows.groupBy("stock_value").agg(F.sum("stock_percentage").alias("_p"))
-    upto = scan_totals(per_value, {"v": -F.col("stock_value")}, F.col("_p"), "cumulative_percentage")
+    per_value = rows.groupBy("stock_value").agg(F.sum("stock_percentage").alias("_p"), used(rows))
+    upto = scan_totals(per_value, {"v": -F.col("stock_value")}, F.col("_p"), "cumulative_percentage").filter(F.col("_used").isNotNull())
     out = rows.join(upto.select("stock_value", F.col("cumulative_percentage").cast(MONEY).alias("cumulative_percentage")), "stock_value")
     out = out.withColumn("xyz_classification", share_class(F.col("cumulative_percentage")))
     out = out.withColumn("combined_classification", F.concat(F.substring("fsn_classification", 1, 1), F.col("xyz_classification"))).select(
