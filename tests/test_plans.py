@@ -133,7 +133,23 @@ def test_rows_out_of_schedules_are_not_broadcast(spark, name, small):
     assert plan(QUERIES[name](spark, SF_DIR)).count("BroadcastHashJoin") == small
 
 
-@pytest.mark.parametrize("name", ["d3_fsn_xyz", "d4_stock_ageing", "f5_combined_class_filter"])
+@pytest.mark.parametrize("name", ["b2_aged_lines", "p4_aged_lines_labelled", "d3_fsn_xyz", "d4_stock_ageing", "f5_combined_class_filter"])
 def test_moves_and_layers_are_read_once(spark, fixed_plans, name):
     scans = {n.id() for n in executed(QUERIES[name](spark, SF_DIR), "Scan parquet") if "l_orderkey#" in n.output().toString()}
     assert len(scans) == 2
+
+
+def test_report_items_are_not_shuffled_by_account(spark, accounts, tmp_path):
+    from ledgerlake.operators import statements
+    lines = written_ledger(spark, tmp_path)
+    text = plan(statements.report_items(lines, accounts, Testbed(spark, SF_DIR).node, 1, LedgerFilter()))
+    probe = text[:text.index("BroadcastExchange")]
+    assert "BroadcastHashJoin [account_id" in probe and "SortMergeJoin" not in probe
+
+
+def test_joined_names_need_no_numbers(spark, fixed_plans):
+    links = spark.createDataFrame([(1, "abcdefghZ"), (1, "abcdefghA"), (1, "ab"), (1, None), (1, "\u00e9"), (1, "ab"), (2, None)], "k long, n string")
+    from ledgerlake.operators import inventory
+    df = inventory.joined_names(links, "k", "n")
+    assert sorted(map(tuple, df.collect())) == [(1, "ab, abcdefghA, abcdefghZ, \u00e9"), (2, "")]
+    assert len(executed(df, "Exchange")) <= 3
