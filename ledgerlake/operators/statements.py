@@ -116,7 +116,8 @@ def report_items(lines: DataFrame, accounts: DataFrame, nodes: DataFrame, node_i
     leaves = leaf_accounts(nodes, accounts)
     used = node_closure(nodes).filter(F.col("node_id") == node_id).join(leaves, "leaf_id").select("account_id").distinct()
     named = used.join(accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name")), "account_id")
-    return where.apply(lines, accounts).join(named, "account_id").select(
+    # Accounts are few but come out of a recursion, whose size Spark cannot tell; sorting by account would put a third of the ledger into one task.
+    return where.apply(lines, accounts).join(F.broadcast(named), "account_id").select(
         "account_id", strip_symbols("account_name").alias("account_key"), F.col("id").alias("line_id"), "date", "move_name", "debit", "credit", "balance")
 
 
