@@ -319,17 +319,16 @@ def stock_value(moves: DataFrame, products: DataFrame) -> DataFrame:
         (F.col("standard_price") * F.coalesce("qty_available", F.lit(0))).cast("decimal(20,2)").alias("stock_value"))
 
 
-def joined_names(links: DataFrame, key: str, name: str, chunk: int = 4096) -> DataFrame:
+def joined_names(links: DataFrame, key: str, name: str, chunk: int = 8) -> DataFrame:
     """The distinct names of each key as one text, in name order.
 
-    Names are numbered in order without holding a key in one task, joined ``chunk`` at a time, and the pieces joined once more.
+    Names that start alike in ``chunk`` letters are sorted and joined first, then these pieces by what they start with: beginnings are in the order of the names.
     """
     rows = links.select(key, F.col(name).alias("_name")).distinct()
-    cuts = {f"start{n}": F.substring("_name", 1, n) for n in (4, 8)} | {"name": F.col("_name")}
-    numbered = row_numbers(rows, "_n", [F.col("_name")], {"start": F.substring("_name", 1, 2)}, cuts, keys=[key])
 
     def joined(order: str) -> Column:
         return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_name"))), lambda x: x["_name"]), ", ")
 
-    pieces = numbered.withColumn("_chunk", F.floor((F.col("_n") - 1) / chunk)).groupBy(key, "_chunk").agg(joined("_n").alias("_name"))
-    return pieces.groupBy(key).agg(joined("_chunk").alias("names"))
+    alike = F.array_join(F.sort_array(F.collect_list("_name")), ", ")
+    pieces = rows.groupBy(key, F.substring("_name", 1, chunk).alias("_start")).agg(F.when(F.count("_name") > 0, alike).alias("_name"))
+    return pieces.groupBy(key).agg(joined("_start").alias("names"))
