@@ -10,10 +10,6 @@ from ledgerlake.functions.periods import Period, span
 from ledgerlake.operators.ledger import MONEY, money
 
 
-def _base_lines(lines: DataFrame, line_taxes: DataFrame) -> DataFrame:
-    return lines.join(line_taxes.select(F.col("line_id").alias("id"), "tax_id"), "id")
-
-
 def journal_taxes(lines: DataFrame, line_taxes: DataFrame, journals: DataFrame, accounts: DataFrame, where: LedgerFilter,
                   target_move: str = "all") -> DataFrame:
     """Base and tax amount per journal and tax, signs turned for sale journals."""
@@ -46,11 +42,17 @@ def reported_taxes(taxes: DataFrame) -> DataFrame:
 
 def tax_report(lines: DataFrame, line_taxes: DataFrame, taxes: DataFrame, accounts: DataFrame, where: LedgerFilter) -> DataFrame:
     """Absolute tax and net amount of each tax that carries any."""
-    chosen = where.apply(lines, accounts)
-    net = _base_lines(chosen, line_taxes).groupBy("tax_id").agg(F.abs(F.sum("balance")).cast(MONEY).alias("net"))
-    tax = chosen.filter(F.col("tax_line_id").isNotNull()).groupBy(F.col("tax_line_id").alias("tax_id")).agg(
-        F.abs(F.sum("balance")).cast(MONEY).alias("tax"))
-    return (reported_taxes(taxes).join(tax, "tax_id").filter(F.col("tax") != 0).join(net, "tax_id", "left")
+    # Each line once, with its own tax and those it is a base of, so the ledger is read once.
+    chosen = where.apply(lines, accounts).select("id", "tax_line_id", "balance")
+    # Dealt out by line before they are listed: pairs are narrower than lists of one.
+    taxed = line_taxes.select(F.col("line_id").alias("id"), "tax_id").repartition("id").groupBy("id").agg(F.collect_list("tax_id").alias("_taxes"))
+    part = lambda tax, net, amount: F.struct(tax.cast("long").alias("tax_id"), net.cast(MONEY).alias("net"), amount.cast(MONEY).alias("tax"))
+    nothing, none = F.lit(None), F.array().cast("array<struct<tax_id: bigint, net: decimal(18,2), tax: decimal(18,2)>>")
+    bases = F.coalesce(F.transform("_taxes", lambda t: part(t, F.col("balance"), nothing)), none)
+    own = F.when(F.col("tax_line_id").isNotNull(), F.array(part(F.col("tax_line_id"), nothing, F.col("balance")))).otherwise(none)
+    amounts = chosen.join(taxed, "id", "left").select(F.inline(F.concat(bases, own))).groupBy("tax_id").agg(
+        *[F.abs(F.sum(n)).cast(MONEY).alias(n) for n in ("net", "tax")])
+    return (reported_taxes(taxes).join(amounts.filter(F.col("tax") != 0), "tax_id")
             .select("section", "tax_id", "name", money(F.col("net")).alias("net"), "tax"))
 
 

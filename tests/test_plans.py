@@ -133,7 +133,7 @@ def test_rows_out_of_schedules_are_not_broadcast(spark, name, small):
     assert plan(QUERIES[name](spark, SF_DIR)).count("BroadcastHashJoin") == small
 
 
-@pytest.mark.parametrize("name", ["b2_aged_lines", "p4_aged_lines_labelled", "d3_fsn_xyz", "d4_stock_ageing", "f5_combined_class_filter"])
+@pytest.mark.parametrize("name", ["a13_tax_report", "b2_aged_lines", "p4_aged_lines_labelled", "d3_fsn_xyz", "d4_stock_ageing", "f5_combined_class_filter"])
 def test_moves_and_layers_are_read_once(spark, fixed_plans, name):
     scans = {n.id() for n in executed(QUERIES[name](spark, SF_DIR), "Scan parquet") if "l_orderkey#" in n.output().toString()}
     assert len(scans) == 2
