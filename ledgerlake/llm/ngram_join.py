@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import settle, ship, table
+from ledgerlake.llm.common import large_batches, settle, ship, table
 from ledgerlake.llm.components import components
-from ledgerlake.llm.shingles import SHINGLE, exact_overlap, least_difference, mix, occupancy, sequence_digest, shingle_set
+from ledgerlake.llm.shingles import SHINGLE, exact_overlap, folded, least_difference, mix, parities, sequence_digest, shingle_set
 
 SIMILARITY = (75, 100)
 # Segments of a band: this many percent of the most that a set may need, and so many at least.
@@ -161,9 +161,10 @@ def signatures(docs: DataFrame, text: str, width: int, similarity: tuple[int, in
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """Rows whose key is an entry of one class and a row of another, with ``cost``, the number of entries; and all spare counts.
+    """Rows whose key is an entry of one class and a row of another, each once, with ``cost``, the number of entries; and all spare counts.
 
-    Keys arrive sorted, so a task holds one key's rows at a time besides the batch.
+    Keys arrive sorted, so a task holds one key's rows at a time besides the batch. Copies in other tasks told the same rows; they go here, where all
+    rows of a key meet.
     """
     def shared(batches):
         rest = [np.zeros(0, np.int64)] * 3
@@ -171,19 +172,23 @@ def shared_rows(rows: DataFrame) -> DataFrame:
         def keep(key, who, unit):
             if not len(key):
                 return None
-            kind = who & 7
-            spare = kind >= SPARE
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            group = np.cumsum(first) - 1
-            starts = np.flatnonzero(first)
-            entry = ((kind == ENTRY) | (kind == ENTRY_DELETED))
-            cost = np.add.reduceat(entry.astype(np.int64), starts)
-            cls = who >> 3
-            mixed = (np.minimum.reduceat(np.where(spare, 2**62, cls), starts) < np.maximum.reduceat(np.where(spare, -1, cls), starts)) & (cost > 0)
-            kept = mixed[group] | spare
+            cls, spare = who >> 3, (who & 7) >= SPARE
+            entry = ((who & 7) == ENTRY) | ((who & 7) == ENTRY_DELETED)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            mixed = np.minimum.reduceat(np.where(spare, 2**62, cls), starts) < np.maximum.reduceat(np.where(spare, -1, cls), starts)
+            kept = np.repeat(mixed & np.logical_or.reduceat(entry, starts), np.diff(np.append(starts, len(key)))) | spare
+            key, who, unit, entry = key[kept], who[kept], unit[kept], entry[kept]
+            if not len(key):
+                return None
+            order = np.lexsort((unit, who, key))
+            key, who, unit, entry = key[order], who[order], unit[order], entry[order]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1]) | (unit[1:] != unit[:-1])])
+            key, who, unit, entry = key[once], who[once], unit[once], entry[once]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            cost = np.repeat(np.add.reduceat(entry.astype(np.int64), starts), np.diff(np.append(starts, len(key))))
             return pa.RecordBatch.from_pydict({
-                "key": pa.array(key[kept]), "cls": pa.array(cls[kept]), "kind": pa.array(kind[kept].astype(np.int32)),
-                "unit": pa.array(unit[kept].astype(np.int32)), "cost": pa.array(cost[group][kept])})
+                "key": pa.array(key), "cls": pa.array(who >> 3), "kind": pa.array((who & 7).astype(np.int32)), "unit": pa.array(unit.astype(np.int32)),
+                "cost": pa.array(cost)})
 
         for batch in batches:
             parts = [np.concatenate([r, c.to_numpy().astype(np.int64)]) for r, c in zip(rest, batch.columns)]
@@ -202,7 +207,7 @@ def probes_of(shared: DataFrame) -> DataFrame:
     kind = F.col("kind")
     low = kind.isin(LOW1, LOW2, LOW_SPARE)
     spare = shared.filter(kind.isin(SPARE, LOW_SPARE)).groupBy("cls", low.alias("low")).agg(F.min("unit").alias("spare"))
-    rows = shared.filter(kind.isin(ENTRY, PROBE2, LOW1, LOW2)).select("key", "cls", low.alias("low"), F.when(kind.isin(PROBE2, LOW2), 2).otherwise(1).alias("budget"), "unit", "cost").distinct()
+    rows = shared.filter(kind.isin(ENTRY, PROBE2, LOW1, LOW2)).select("key", "cls", low.alias("low"), F.when(kind.isin(PROBE2, LOW2), 2).otherwise(1).alias("budget"), "unit", "cost")
     # Budget 1 on each segment that came back; budget 2 on top of it where the segment allows it, never cheaper than budget 1.
     single = rows.filter("unit < 0").select("cls", "low", "key", "unit", F.lit(1).alias("budget"), "cost")
     sums = rows.filter("unit >= 0").groupBy("cls", "low", "unit").agg(
@@ -216,7 +221,7 @@ def probes_of(shared: DataFrame) -> DataFrame:
     chosen = kept.select("cls", "low", "budget", "unit", "key")
     by_key = chosen.filter("unit < 0").select("key", "cls")
     by_unit = rows.filter("unit >= 0").join(chosen.filter("unit >= 0").drop("key"), ["cls", "low", "budget", "unit"]).select("key", "cls")
-    return by_key.unionByName(by_unit).distinct()
+    return by_key.unionByName(by_unit)
 
 
 def overlaps(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -271,15 +276,9 @@ def left_pairs(probe: DataFrame, entry: DataFrame, sketches: DataFrame, similari
         probe.select("key", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("x").alias("rep"), F.col("cx").alias("c"))]
     rows = sides[0].unionByName(sides[1]).join(sketches, "rep").select("key", "block", "role", "rep", "c", "n", "bits")
 
-    def folded(bits: list[bytes], width: int) -> np.ndarray:
+    def sketched(bits: list[bytes], width: int) -> np.ndarray:
         """Sketches of at least ``width`` bytes as rows of that width."""
-        out = np.zeros((len(bits), width), np.uint8)
-        for i, b in enumerate(bits):
-            if len(b) == width:
-                out[i] = np.frombuffer(b, np.uint8)
-            else:
-                out[i] = np.packbits(np.unpackbits(np.frombuffer(b, np.uint8)).reshape(width * 8, -1).max(axis=1))
-        return out.view(np.uint64 if width % 8 == 0 else np.uint8)
+        return np.stack([folded(b, width) for b in bits]).view(np.uint64 if width % 8 == 0 else np.uint8)
 
     def matches(entries: list[tuple], probes: list[tuple]):
         """Pairs of one block: by the width of the entries' sketches, the smaller sets."""
@@ -289,7 +288,7 @@ def left_pairs(probe: DataFrame, entry: DataFrame, sketches: DataFrame, similari
             if not asked:
                 continue
             y, cy, ny = (np.array([e[i] for e in own], dtype=np.int64) for i in range(3))
-            held, ask = folded([e[3] for e in own], width), folded([p[3] for p in asked], width)
+            held, ask = sketched([e[3] for e in own], width), sketched([p[3] for p in asked], width)
             for (x, cx, nx, _), bits in zip(asked, ask):
                 near = np.flatnonzero((cy != cx) & (y != x) & (ny <= nx) & (ny * den >= nx * num))
                 if len(near):
@@ -341,7 +340,7 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
             sets = [shingle_set(t, width) for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digests, pa.binary()),
-                "cls": pa.array([class_of(d) for d in digests], pa.int64()), "bits": pa.array([occupancy(s) for s in sets], pa.binary())})
+                "cls": pa.array([class_of(d) for d in digests], pa.int64()), "bits": pa.array([parities(s) for s in sets], pa.binary())})
 
     def digested(batches):
         for batch in batches:
@@ -355,18 +354,24 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
         F.min("doc_id").alias("doc_id"), F.first("cls").alias("cls"), F.first("n_shingles").alias("n"), F.max("bits").alias("bits"))
     classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    shared = settle(shared_rows(signatures(docs, "text", width, similarity, None, plenty)), "shared")
+    def looked_up(opened: frozenset[int] | None) -> DataFrame:
+        with large_batches(docs.sparkSession):
+            return settle(shared_rows(signatures(docs, "text", width, similarity, opened, plenty)), "shared")
+
+    shared = looked_up(None)
     short = shared.filter(F.col("kind").isin(SPARE, LOW_SPARE) & (F.col("unit") < 0)).select("cls", (F.col("kind") == LOW_SPARE).cast("int").alias("low"))
     band = F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int") - F.col("low")
     opened = frozenset(r["band"] for r in short.join(classes, "cls").select(band.alias("band")).distinct().collect())  # a few dozen bands at most
     rows, probes = shared, probes_of(shared)
     if opened:
-        again = settle(shared_rows(signatures(docs, "text", width, similarity, opened, plenty)), "shared")
-        rows, probes = rows.unionByName(again), probes.unionByName(probes_of(again))
+        again = looked_up(opened)
+        rows, probes = rows.unionByName(again), probes.unionByName(probes_of(again)).distinct()
     sized = classes.select("cls", "rep", "n")
     probe = settle(probes.join(sized, "cls").select("key", F.col("rep").alias("x"), F.col("n").alias("nx")), "probes")
-    entry = rows.filter(F.col("kind").isin(ENTRY, ENTRY_DELETED)).groupBy("key", "cls").agg(F.max("cost").alias("cost")).join(
-        probe.select("key").distinct(), "key", "left_semi").join(sized, "cls").select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "cost")
+    entry = rows.filter(F.col("kind").isin(ENTRY, ENTRY_DELETED)).select("key", "cls", "cost")
+    if opened:
+        entry = entry.groupBy("key", "cls").agg(F.max("cost").alias("cost"))
+    entry = entry.join(probe.select("key").distinct(), "key", "left_semi").join(sized, "cls").select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "cost")
     entry = settle(entry, "entries")
     involved = probe.select(F.col("x").alias("rep")).unionByName(entry.select(F.col("y").alias("rep"))).distinct()
     wanted = settle(classes.join(involved, "rep").select("rep", "digest", "doc_id"), "wanted")

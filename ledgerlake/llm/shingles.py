@@ -77,23 +77,24 @@ def exact_overlap(a: bytes, b: bytes, width: int = SHINGLE) -> tuple[int, int, i
     return len(x), len(y), len(x & y)
 
 
-def occupancy(prints: np.ndarray) -> bytes:
-    """Which of some 16 to 32 times as many places the fingerprints of a set occupy, as bits; the width is a power of two.
+def parities(prints: np.ndarray) -> bytes:
+    """Which of some 4 to 8 times as many places an odd number of the fingerprints of a set falls on, as bits; the width is a power of two.
 
-    Few members share a place, so that sets which differ by a little more than they may are told apart.
+    What two sets share cancels out, so that only members of one of them can share a place, and sets which differ by a little more than they may are told apart.
     """
     if not len(prints):
         return b""
-    power = len(prints).bit_length() + 4
-    bits = np.zeros(1 << power, np.uint8)
-    bits[(prints >> np.uint64(64 - power)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    power = len(prints).bit_length() + 2
+    return np.packbits((np.bincount((prints >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A sketch of at least ``width`` bytes, as one of that width: neighbouring places are added up."""
+    own = np.frombuffer(bits, np.uint8)
+    return own if len(own) == width else np.packbits(np.bitwise_xor.reduce(np.unpackbits(own).reshape(width * 8, -1), axis=1))
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    """In how many members two sets differ at least: a place that only one of them occupies holds one of its own."""
-    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
-    if len(x) < len(y):
-        x, y = y, x
-    x = x.reshape(len(y), -1).max(axis=1)
-    return int((x != y).sum())
+    """In how many members two sets differ at least: a place with an odd number in only one of them holds a member of only one."""
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())

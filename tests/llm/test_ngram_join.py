@@ -5,8 +5,8 @@ import pytest
 from text_data import SF, awkward, classes, frame, shingles, words
 
 from ledgerlake.llm.components import components
-from ledgerlake.llm.ngram_join import SEGMENTS, SIMILARITY, SPARE, signature_rows, similar_classes
-from ledgerlake.llm.shingles import exact_overlap, shingle_set
+from ledgerlake.llm.ngram_join import ENTRY, PROBE2, SEGMENTS, SIMILARITY, SPARE, shared_rows, signature_rows, similar_classes
+from ledgerlake.llm.shingles import exact_overlap, least_difference, parities, shingle_set
 
 
 def plain(df):
@@ -99,3 +99,23 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.u: r.v for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 50)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sketches_are_small_and_bound_the_difference():
+    r = random.Random(5)
+    for n in (1, 2, 7, 60, 127, 128, 500, 3000):
+        x = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+        for cut, more in ((0, 0), (n // 7, n // 7), (n // 3, 0), (0, n), (n, 5)):
+            y = np.unique(np.concatenate([np.delete(x, r.sample(range(n), cut)), np.array([r.getrandbits(64) for _ in range(more)], np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            if len(y):
+                least = least_difference(parities(x), parities(y))
+                assert least == least_difference(parities(y), parities(x)) <= apart and (apart > n // 3 or least >= 0.7 * apart - 3)
+        assert len(parities(x)) <= max(n, 1)
+
+
+def test_rows_of_copies_in_other_tasks_are_told_once(spark):
+    """Key 1: entries of classes 5 and 6, told by two tasks each; key 2: one class only; the spare counts always stay, once."""
+    told = [(1, 5 << 3 | ENTRY, -1), (1, 6 << 3 | ENTRY, -1), (1, 6 << 3 | PROBE2, 3), (2, 5 << 3 | ENTRY, -1), (5, 5 << 3 | SPARE, 7)]
+    got = shared_rows(spark.createDataFrame(told * 2, "key long, who long, unit int").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, ENTRY, -1, 2), (1, 6, ENTRY, -1, 2), (1, 6, PROBE2, 3, 2), (5, 5, SPARE, 7, 0)]
