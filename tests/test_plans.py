@@ -105,6 +105,14 @@ def test_opening_balances_cost_no_further_scan(spark, accounts, journals, tmp_pa
     assert len(executed_scans(gl.liquidity_book(lines, accounts, journals, where, "bank", journal_accounts=kept))) <= 2
 
 
+@pytest.mark.parametrize("sort_by, windows", [("date", 4)])
+def test_totals_and_rows_of_a_ledger_share_one_shuffle(spark, accounts, journals, partners, tmp_path, fixed_plans, sort_by, windows):
+    lines = written_ledger(spark, tmp_path)
+    df = gl.general_ledger(lines, accounts, journals, LedgerFilter(date_from=START, date_to=END), partners, sort_by=sort_by)
+    assert len(executed_scans(df)) == 1
+    assert len({n.id() for n in executed(df, "Window")}) <= windows
+
+
 def test_a_page_reads_only_the_days_that_hold_it(spark, accounts, journals, tmp_path, fixed_plans):
     path = str(tmp_path / "by_day")
     Testbed(spark, SF_DIR).move_line.repartitionByRange(40, "date").sortWithinPartitions("date").write.parquet(path)

@@ -9,7 +9,7 @@ from ledger_helpers import money, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.prefix import block, magnitude, openings, range_sums, row_numbers, running_totals, scan_totals
+from ledgerlake.functions.prefix import block, dense_ranks, magnitude, openings, range_sums, row_numbers, running_totals, scan_totals
 
 BASE = date(2020, 1, 1)
 
@@ -122,3 +122,20 @@ def test_carried_rows_only_add_to_the_others(spark):
     run = running_totals(df, ["k"], [F.col("day")], {"t": measure}, {"day": F.col("day")}, {"b": block("plus")}, carried=ahead)
     assert rows(run, "k", "day", "t") == [(1, 3, 12.0), (1, None, 11.0), (2, 1, 2.0), (2, None, 2.0)]
     assert rows(openings(df, ["k"], measure, "t", {"day": F.col("day")}, {"b": block("plus")}, ahead)) == [(1, 7, 0), (3, 9, 9)]
+
+
+def test_totals_share_the_shuffle_of_the_rows(spark):
+    """The same totals, with missing keys and cells and carried rows, also where rows are dealt out once for both."""
+    df = spark.createDataFrame([(i, i % 3 or None, i % 5 or None, i % 7, i) for i in range(200)], "id long, k int, day int, doc long, v long")
+    carried = F.col("day") == 2
+    plain = Window.partitionBy("k").orderBy(~F.coalesce(carried, F.lit(False)), "day", "doc", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows(df.withColumn("t", F.sum("v").over(plain)).filter(~F.coalesce(carried, F.lit(False))))
+    for whole in (False, True):
+        run = running_totals(df, ["k"], [F.col("day"), F.col("doc"), F.col("id")], {"t": F.col("v")}, {"day": F.col("day")},
+                             {"docs": block("doc", 3), "ids": F.struct("doc", block("id", 16).alias("b"))}, carried=carried, whole=whole)
+        assert rows(run) == want
+
+
+def test_dense_ranks(spark):
+    df = spark.createDataFrame([(n,) for n in ["b", "a", "", None, "b", "\u00e9", "ab", "Z"]], "n string")
+    assert rows(dense_ranks(df, "n", "r"), "r", "n") == [(1, ""), (2, "Z"), (3, "a"), (4, "ab"), (5, "b"), (6, "\u00e9")]
