@@ -201,3 +201,16 @@ def test_pages_of_accounts_and_partners(ledger, accounts, journals):
 def test_payment_accounts_of_journals(spark):
     listed = spark.createDataFrame([(1, [5, None], [6]), (2, None, [5]), (3, [], None)], "id long, inbound_account_ids array<long>, outbound_account_ids array<long>")
     assert rows(gl.journal_payment_accounts(listed)) == [(1, 5), (1, 6), (2, 5)]
+
+
+def test_balance_by_partner_name(spark, ledger, accounts, journals):
+    """Partners of one name are mixed by document; an empty name comes first, none at all last."""
+    named = spark.createDataFrame([(1, "Zoe"), (2, "Ann"), (3, "Ann"), (4, ""), (5, None)], "id long, name string")
+    lines = ledger(*[line(i, 2, "2020-01-01", i, partner_id=p, move_id=m) for i, p, m in [
+        (1, 1, 1), (2, 2, 9), (3, 3, 8), (4, 4, 7), (5, 5, 1), (6, None, 2), (7, 99, 3), (8, 2, 7), (9, 1, 1)]])
+    out = gl.general_ledger(lines, accounts, journals, LedgerFilter(), named, sort_by="journal_partner")
+    total, want = 0, []
+    for i in (4, 8, 3, 2, 1, 9, 5, 6, 7):
+        total += i
+        want.append((i, float(total)))
+    assert rows(out, "line_id", "running_balance") == sorted(want)

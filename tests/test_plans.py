@@ -105,7 +105,7 @@ def test_opening_balances_cost_no_further_scan(spark, accounts, journals, tmp_pa
     assert len(executed_scans(gl.liquidity_book(lines, accounts, journals, where, "bank", journal_accounts=kept))) <= 2
 
 
-@pytest.mark.parametrize("sort_by, windows", [("date", 4)])
+@pytest.mark.parametrize("sort_by, windows", [("date", 4), ("journal_partner", 6)])
 def test_totals_and_rows_of_a_ledger_share_one_shuffle(spark, accounts, journals, partners, tmp_path, fixed_plans, sort_by, windows):
     lines = written_ledger(spark, tmp_path)
     df = gl.general_ledger(lines, accounts, journals, LedgerFilter(date_from=START, date_to=END), partners, sort_by=sort_by)
