@@ -1,11 +1,12 @@
 """Hierarchical language identification: family first, then one-versus-one inside the family.
 
 Features are frequencies of byte pairs and hashed byte triples of the whole lower-cased text. All
-deciders are linear support vector machines, trained on the driver from a bounded sample of labelled
-rows whose features are computed in the tasks. A prediction is a sum of weights over the n-grams of a
+deciders are linear support vector machines, trained in one task from a bounded sample of labelled
+rows whose features are computed in many; the driver gets the weights. A prediction is a sum of weights over the n-grams of a
 text, done for a whole batch at once.
 """
 
+import pickle
 import re
 from itertools import combinations
 
@@ -67,6 +68,12 @@ def features(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def sparse(dense: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of the n-grams that occur."""
+    at = np.flatnonzero(dense)
+    return at.astype(np.int32).tobytes(), dense[at].astype(np.float32).tobytes()
+
+
 def svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Linear support vector machine by dual coordinate descent; rows are (indices, values). The bias is a further feature."""
     w, bias, dual = np.zeros(2 << BITS), 0.0, np.zeros(len(rows))
@@ -133,7 +140,8 @@ class Model:
                 for ids, width in zip(grams(part), (1, 2)):
                     ends = np.maximum(at[1:] - width, at[:-1])
                     for k, (w, _) in self.deciders.items():
-                        run = np.concatenate([[0.0], np.cumsum(w[ids], dtype=np.float64)])
+                        run = np.zeros(len(ids) + 1)
+                        np.cumsum(w[ids], dtype=np.float64, out=run[1:])
                         sums[k][first:last] += run[np.minimum(ends, len(ids))] - run[np.minimum(at[:-1], len(ids))]
             first = last
         lengths = np.maximum(np.diff(offsets), 1)
@@ -168,16 +176,26 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, families: dict
     def encode(batches):
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
-            out = [(np.flatnonzero(f), f) for f in (features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))]
+            out = [sparse(features(data[a:b])) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_pydict({
-                "lang": batch.column(0), "at": pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()),
-                "v": pa.array([f[i].astype(np.float32).tobytes() for i, f in out], pa.binary())})
+                "lang": batch.column(0), "at": pa.array([at for at, _ in out], pa.binary()), "v": pa.array([v for _, v in out], pa.binary())})
+        hand_back()
+
+    def learn(samples: list[tuple[str, bytes, bytes]]) -> Model:
+        return Model([(lang, np.frombuffer(at, np.int32), np.frombuffer(v, np.float32).astype(np.float64)) for lang, at, v in sorted(samples)],
+                     FAMILY_OF if families is None else families)
+
+    def train(batches):
+        samples = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        if samples:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(learn(samples))], pa.binary())})
+        samples.clear()
+        hand_back()
 
     ship(docs.sparkSession)
-    sample = usable.filter(uniform < chance).select("lang", "text").mapInArrow(encode, "lang string, at binary, v binary").collect()
-    samples = sorted(((r["lang"], bytes(r["at"]), bytes(r["v"])) for r in sample))
-    return Model([(lang, np.frombuffer(at, np.int32), np.frombuffer(v, np.float32).astype(np.float64)) for lang, at, v in samples],
-                 FAMILY_OF if families is None else families)
+    sample = usable.filter(uniform < chance).select("lang", "text").mapInArrow(encode, "lang string, at binary, v binary")
+    model = sample.repartition(1).mapInArrow(train, "model binary").first()
+    return learn([]) if model is None else pickle.loads(model["model"])
 
 
 def language_id(docs: DataFrame, model: Model, text: str = "text", only_lettered: bool = False) -> DataFrame:

@@ -401,9 +401,13 @@ def similar_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, s
             pairs = left_pairs(p, e, sketches, similarity)
         pairs = settle(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.unionByName(pairs)
+        if turn and pairs.isEmpty():  # nothing was joined, so components and open keys are those of the round before
+            continue
         links = overlaps(pairs, sketches, texts, width, similarity)
         at = lambda c: label.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}"))
         links = settle(links.join(at("u"), "u").join(at("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")), "links")
+        if turn and links.isEmpty():
+            continue
         joined = components(links)  # of components found so far, so each round's graph is small
         label = settle(label.join(joined, F.col("component") == F.col("u"), "left").select("rep", F.coalesce("v", "component").alias("component")), "labels")
         if turn < HUB_ROUNDS:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from text_data import SF, awkward, frame
 
+from ledgerlake.llm import language_id as module
 from ledgerlake.llm.language_id import Model, fit, grams, held_out, language_id, op4_language_id
 
 
@@ -75,3 +76,13 @@ def test_held_out_rows_follow_the_checksum(spark):
     from pyspark.sql import functions as F
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_the_driver_gets_weights_and_no_sample(spark, monkeypatch):
+    """Training is a task: what the driver would need for it is out of its reach here."""
+    def refuse(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(module, "svm", refuse)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert fit(docs, per_language=20).deciders

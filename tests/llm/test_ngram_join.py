@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from text_data import SF, awkward, classes, frame, shingles, words
 
+from ledgerlake.llm import components as stars
+from ledgerlake.llm import ngram_join
 from ledgerlake.llm.components import components
 from ledgerlake.llm.ngram_join import ENTRY, PROBE2, SEGMENTS, SIMILARITY, SPARE, shared_rows, signature_rows, similar_classes
 from ledgerlake.llm.shingles import exact_overlap, least_difference, parities, shingle_set
@@ -119,3 +121,21 @@ def test_rows_of_copies_in_other_tasks_are_told_once(spark):
     told = [(1, 5 << 3 | ENTRY, -1), (1, 6 << 3 | ENTRY, -1), (1, 6 << 3 | PROBE2, 3), (2, 5 << 3 | ENTRY, -1), (5, 5 << 3 | SPARE, 7)]
     got = shared_rows(spark.createDataFrame(told * 2, "key long, who long, unit int").repartition(3)).collect()
     assert sorted(map(tuple, got)) == [(1, 5, ENTRY, -1, 2), (1, 6, ENTRY, -1, 2), (1, 6, PROBE2, 3, 2), (5, 5, SPARE, 7, 0)]
+
+
+def test_finished_components_and_rounds_without_links_write_nothing(spark, monkeypatch):
+    """Every table written is several stages that the driver keeps: none for what is settled already."""
+    written = []
+
+    def settle(df, purpose, real=ngram_join.settle):
+        written.append(purpose)
+        return real(df, purpose)
+
+    monkeypatch.setattr(stars, "settle", settle)
+    monkeypatch.setattr(ngram_join, "settle", settle)
+    assert {r.u: r.v for r in components(spark.createDataFrame([(2, 1), (3, 1), (9, 8)], "u long, v long")).collect()} == {2: 1, 3: 1, 9: 8}
+    assert written == ["links"]
+    written.clear()
+    rows = [(1, words(1, 60)), (2, words(1, 60) + " x"), (3, words(2, 60))]
+    assert plain(similar_classes(frame(spark, rows))) == classes(rows)
+    assert written.count("labels") == 1 and written.count("pairs") == ngram_join.HUB_ROUNDS + 1
