@@ -9,6 +9,8 @@ from ledgerlake.operators.inventory import _level
 from ledgerlake.operators.ledger import MONEY, money
 
 RATE = "decimal(18,4)"
+# A product's lines and receipts are dealt out in this many parts; its issue figures are repeated for each.
+PRODUCT_PARTS = 8
 
 
 def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_lines: DataFrame, moves: DataFrame,
@@ -16,16 +18,15 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
     """One row per requisition line with its purchase, receipt and issue figures.
 
     The purchase is the newest order of the requisition for the product. Issued quantities are per
-    product, so every line of a product shows the same figure.
+    product, so every line of a product shows the same figure. Lines are dealt out twice: by
+    requisition, where they meet their orders, and by product, where they meet receipts and issues.
     """
-    po = purchase_lines.groupBy("requisition_id", "product_id").agg(
-        F.max_by(F.struct("order_name", "date_order", "partner_id", "price_unit", "product_qty"), F.struct("order_id", "id")).alias("po"))
-    po = po.select("requisition_id", "product_id", F.col("po.order_name").alias("po_number"), F.col("po.date_order").alias("po_date"),
-                   F.col("po.partner_id").alias("vendor_id"), F.col("po.price_unit").alias("parts_price"),
-                   F.col("po.product_qty").alias("ordered_quantity"))
+    bought = purchase_lines.filter(F.col("requisition_id").isNotNull() & F.col("product_id").isNotNull()).select(
+        "requisition_id", "product_id", F.struct("order_id", "id").alias("_newest"), F.col("order_name").alias("po_number"), F.col("date_order").alias("po_date"),
+        F.col("partner_id").alias("vendor_id"), F.col("price_unit").alias("parts_price"), F.col("product_qty").alias("ordered_quantity"))
     done = moves.filter(F.col("state") == "done")
-    received = done.filter((F.col("picking_type") == "incoming") & F.col("origin").isNotNull()).groupBy(
-        "product_id", F.col("origin").alias("po_number")).agg(F.min("date").alias("received_date"), money(F.sum("qty")).alias("_received"))
+    received = done.filter((F.col("picking_type") == "incoming") & F.col("origin").isNotNull() & F.col("product_id").isNotNull()).select(
+        "product_id", F.col("origin").alias("po_number"), F.col("date").alias("_date"), F.col("qty").alias("_qty"))
     issued = done.filter(F.col("picking_type") == "outgoing").groupBy("product_id").agg(
         F.min("date").alias("issue_date"), money(F.sum("qty")).alias("_issued"))
     head = requisitions.select(F.col("id").alias("requisition_id"), "car_id", "department_id", "employee_id", "request_date")
@@ -37,9 +38,22 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
         order = [F.col("request_date").desc(), F.col("requisition_id").desc(), F.col("line_id").desc()]
         rows = row_numbers(rows, "row_no", order, {"day": F.to_date("request_date")}, {"time": F.col("request_date")} | documents("requisition_id", "line_id"),
                            descending=("day", "time", "documents", "lines"))
-    rows = (rows.join(po, ["requisition_id", "product_id"], "left")
-            .join(received, ["product_id", "po_number"], "left")
-            .join(issued, "product_id", "left")
+    # Orders and lines of a requisition become rows of one table; the window needs no further shuffle where the rows lie by requisition already.
+    of_line = Window.partitionBy("requisition_id", "product_id")
+    rows = rows.withColumn("_line", F.lit(True)).unionByName(bought, allowMissingColumns=True)
+    rows = rows.withColumns({c: F.max_by(c, "_newest").over(of_line) for c in bought.columns[3:]}).filter("_line").drop("_line", "_newest")
+
+    # So do receipts and lines of a product, each dealt out while narrow. A product is cut into parts by order, so that a frequent one is not one task;
+    # its issues go to each part, which a size estimate does not see, so they are joined by sorting.
+    def dealt(df: DataFrame, key: Column) -> DataFrame:
+        return df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PRODUCT_PARTS)).cast("int")).repartition("product_id", "_part")
+
+    rows = dealt(rows, F.coalesce("po_number", F.col("requisition_id").cast("string"))).withColumn("_line", F.lit(True)).unionByName(
+        dealt(received, F.col("po_number")), allowMissingColumns=True)
+    of_order = Window.partitionBy("product_id", "_part", "po_number")
+    rows = rows.withColumns({"received_date": F.min("_date").over(of_order), "_received": money(F.sum("_qty").over(of_order))}).filter("_line")
+    parts = F.explode(F.array(*[F.lit(i) for i in range(PRODUCT_PARTS)]))
+    rows = (rows.join(issued.withColumn("_part", parts).hint("merge"), ["product_id", "_part"], "left")
             .join(vehicles.select(F.col("id").alias("car_id"), "vin_sn"), "car_id", "left"))
     zero = F.lit(0).cast(MONEY)
     used = F.when(F.col("_received") > 0, F.round(F.least("_issued", "_received") / F.nullif(F.col("_received"), F.lit(0)), 4)).otherwise(F.lit(0)).cast(RATE)

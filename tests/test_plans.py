@@ -161,3 +161,16 @@ def test_joined_names_need_no_numbers(spark, fixed_plans):
     df = inventory.joined_names(links, "k", "n")
     assert sorted(map(tuple, df.collect())) == [(1, "ab, abcdefghA, abcdefghZ, \u00e9"), (2, "")]
     assert len(executed(df, "Exchange")) <= 3
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_indicator_lines_move_once_after_their_requisition(spark, fixed_plans, no_broadcasts):
+    shuffles = {n.id(): n.output().toString() for n in executed(QUERIES["f4_kpi_point_selection"](spark, SF_DIR), "Exchange")}
+    # Without broadcasts the rows move once more at the end, for the names of the vehicles.
+    assert len([columns for columns in shuffles.values() if "line_status#" in columns and "issue_date#" not in columns]) == 1
