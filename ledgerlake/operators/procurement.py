@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.filters import KPI_POINTS, kpi_point
-from ledgerlake.functions.prefix import block, documents, row_numbers
+from ledgerlake.functions.prefix import block, document_numbers, row_numbers
 from ledgerlake.operators.inventory import _level
 from ledgerlake.operators.ledger import MONEY, money
 
@@ -19,7 +19,7 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
 
     The purchase is the newest order of the requisition for the product. Issued quantities are per
     product, so every line of a product shows the same figure. Lines are dealt out twice: by
-    requisition, where they meet their orders, and by product, where they meet receipts and issues.
+    requisition, where they are numbered and meet their orders, and by product, where they meet receipts and issues.
     """
     bought = purchase_lines.filter(F.col("requisition_id").isNotNull() & F.col("product_id").isNotNull()).select(
         "requisition_id", "product_id", F.struct("order_id", "id").alias("_newest"), F.col("order_name").alias("po_number"), F.col("date_order").alias("po_date"),
@@ -29,15 +29,15 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
         "product_id", F.col("origin").alias("po_number"), F.col("date").alias("_date"), F.col("qty").alias("_qty"))
     issued = done.filter(F.col("picking_type") == "outgoing").groupBy("product_id").agg(
         F.min("date").alias("issue_date"), money(F.sum("qty")).alias("_issued"))
-    head = requisitions.select(F.col("id").alias("requisition_id"), "car_id", "department_id", "employee_id", "request_date")
+    # The vehicle meets the requisition, of which there are fewer than lines, and narrower ones.
+    head = requisitions.select(F.col("id").alias("requisition_id"), "car_id", "department_id", "employee_id", "request_date").join(
+        vehicles.select(F.col("id").alias("car_id"), "vin_sn"), "car_id", "left")
     lines = requisition_lines.select(F.col("id").alias("line_id"), "requisition_id", "product_id", "part_type", "line_status",
                                      F.col("qty").alias("requested_qty"))
     rows = lines.join(head, "requisition_id")
     if numbered:
         # Numbered while still narrow: every later join keeps the rows as they are.
-        order = [F.col("request_date").desc(), F.col("requisition_id").desc(), F.col("line_id").desc()]
-        rows = row_numbers(rows, "row_no", order, {"day": F.to_date("request_date")}, {"time": F.col("request_date")} | documents("requisition_id", "line_id"),
-                           descending=("day", "time", "documents", "lines"))
+        rows, bought = document_numbers(rows, "row_no", "request_date", "requisition_id", "line_id"), bought.repartition("requisition_id")
     # Orders and lines of a requisition become rows of one table; the window needs no further shuffle where the rows lie by requisition already.
     of_line = Window.partitionBy("requisition_id", "product_id")
     rows = rows.withColumn("_line", F.lit(True)).unionByName(bought, allowMissingColumns=True)
@@ -53,8 +53,7 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
     of_order = Window.partitionBy("product_id", "_part", "po_number")
     rows = rows.withColumns({"received_date": F.min("_date").over(of_order), "_received": money(F.sum("_qty").over(of_order))}).filter("_line")
     parts = F.explode(F.array(*[F.lit(i) for i in range(PRODUCT_PARTS)]))
-    rows = (rows.join(issued.withColumn("_part", parts).hint("merge"), ["product_id", "_part"], "left")
-            .join(vehicles.select(F.col("id").alias("car_id"), "vin_sn"), "car_id", "left"))
+    rows = rows.join(issued.withColumn("_part", parts).hint("merge"), ["product_id", "_part"], "left")
     zero = F.lit(0).cast(MONEY)
     used = F.when(F.col("_received") > 0, F.round(F.least("_issued", "_received") / F.nullif(F.col("_received"), F.lit(0)), 4)).otherwise(F.lit(0)).cast(RATE)
     return rows.select(

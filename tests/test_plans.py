@@ -174,3 +174,11 @@ def test_indicator_lines_move_once_after_their_requisition(spark, fixed_plans, n
     shuffles = {n.id(): n.output().toString() for n in executed(QUERIES["f4_kpi_point_selection"](spark, SF_DIR), "Exchange")}
     # Without broadcasts the rows move once more at the end, for the names of the vehicles.
     assert len([columns for columns in shuffles.values() if "line_status#" in columns and "issue_date#" not in columns]) == 1
+
+
+def test_numbered_indicator_lines_move_once_after_their_requisition(spark, fixed_plans, no_broadcasts):
+    df = QUERIES["e1_parts_kpi"](spark, SF_DIR)
+    shuffles = {n.id(): n.output().toString() for n in executed(df, "Exchange")}
+    assert len([columns for columns in shuffles.values() if "line_status#" in columns]) == 1
+    # Lines, purchases and moves; the numbers read the lines from where they lie.
+    assert len({n.id() for n in executed(df, "Scan parquet") if "l_orderkey#" in n.output().toString()}) == 3

@@ -139,3 +139,17 @@ def test_totals_share_the_shuffle_of_the_rows(spark):
 def test_dense_ranks(spark):
     df = spark.createDataFrame([(n,) for n in ["b", "a", "", None, "b", "\u00e9", "ab", "Z"]], "n string")
     assert rows(dense_ranks(df, "n", "r"), "r", "n") == [(1, ""), (2, "Z"), (3, "a"), (4, "ab"), (5, "b"), (6, "\u00e9")]
+
+
+def test_numbers_by_document(spark):
+    from ledgerlake.functions.prefix import document_numbers
+    rnd = random.Random(8)
+    # Blocks of documents on both sides of a bound, a day with half of the documents, one without a day and one with two days; a long document.
+    documents = {m: None if m == 5 else BASE + timedelta(days=rnd.choice([0, 0, 0, 1, 2, 40])) for m in [*range(20), *range(65_530, 65_550)]}
+    data = [(m, i, d, f"x{i}") for m, d in documents.items() for i in range(300 if m == 7 else rnd.randint(1, 4))] + [(9, i, BASE - timedelta(days=1), "y") for i in range(3)]
+    df = spark.createDataFrame(data, "doc long, id long, d date, t string")
+    want = sorted(data, key=lambda r: (r[2] or date.min, r[0], r[1]), reverse=True)
+    out = document_numbers(df, "n", "d", "doc", "id")
+    assert out.columns == [*df.columns, "n"]
+    assert [tuple(r) for r in out.orderBy("n").collect()] == [(*r, n) for n, r in enumerate(want, 1)]
+    assert document_numbers(df.filter("id < 0"), "n", "d", "doc", "id").count() == 0
