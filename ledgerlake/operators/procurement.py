@@ -38,20 +38,34 @@ def parts_kpi(requisition_lines: DataFrame, requisitions: DataFrame, purchase_li
     if numbered:
         # Numbered while still narrow: every later join keeps the rows as they are.
         rows, bought = document_numbers(rows, "row_no", "request_date", "requisition_id", "line_id"), bought.repartition("requisition_id")
+
+    # Where lines share a table with rows of another kind, their other columns are one value that those rows lack, which keeps these narrow in a sort. A numbered list
+    # is wanted whole; without numbers the columns stay apart, since those that are not read are dropped then.
+    def packed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name)) if numbered else df.withColumn(name, F.lit(True))
+
+    def unpacked(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[c for c in df.columns if c != name], f"{name}.*") if numbered else df.drop(name)
+
     # Orders and lines of a requisition become rows of one table; the window needs no further shuffle where the rows lie by requisition already.
-    of_line = Window.partitionBy("requisition_id", "product_id")
-    rows = rows.withColumn("_line", F.lit(True)).unionByName(bought, allowMissingColumns=True)
-    rows = rows.withColumns({c: F.max_by(c, "_newest").over(of_line) for c in bought.columns[3:]}).filter("_line").drop("_line", "_newest")
+    key = ["requisition_id", "product_id"]
+    of_line, order = Window.partitionBy(*key), bought.columns[3:]
+    both = packed(rows, "_line", *key).unionByName(packed(bought, "_order", *key), allowMissingColumns=True)
+    newest = {"_order": F.max("_order")} if numbered else {c: F.max_by(c, "_newest") for c in order}
+    rows = both.withColumns({c: e.over(of_line) for c, e in newest.items()}).filter(F.col("_line").isNotNull())
+    rows = unpacked(unpacked(rows, "_line"), "_order").drop("_newest")
 
     # So do receipts and lines of a product, each dealt out while narrow. A product is cut into parts by order, so that a frequent one is not one task;
     # its issues go to each part, which a size estimate does not see, so they are joined by sorting.
     def dealt(df: DataFrame, key: Column) -> DataFrame:
         return df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PRODUCT_PARTS)).cast("int")).repartition("product_id", "_part")
 
-    rows = dealt(rows, F.coalesce("po_number", F.col("requisition_id").cast("string"))).withColumn("_line", F.lit(True)).unionByName(
+    key = ["product_id", "_part", "po_number"]
+    of_order = Window.partitionBy(*key)
+    both = packed(dealt(rows, F.coalesce("po_number", F.col("requisition_id").cast("string"))), "_line", *key).unionByName(
         dealt(received, F.col("po_number")), allowMissingColumns=True)
-    of_order = Window.partitionBy("product_id", "_part", "po_number")
-    rows = rows.withColumns({"received_date": F.min("_date").over(of_order), "_received": money(F.sum("_qty").over(of_order))}).filter("_line")
+    rows = both.withColumns({"received_date": F.min("_date").over(of_order), "_received": money(F.sum("_qty").over(of_order))})
+    rows = unpacked(rows.filter(F.col("_line").isNotNull()).drop("_date", "_qty"), "_line")
     parts = F.explode(F.array(*[F.lit(i) for i in range(PRODUCT_PARTS)]))
     rows = rows.join(issued.withColumn("_part", parts).hint("merge"), ["product_id", "_part"], "left")
     zero = F.lit(0).cast(MONEY)
